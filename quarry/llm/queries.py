@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash, url_filter
+from quarry.llm import packing, simhash, token_counts, url_filter
 from quarry.llm._shared import table
 
 
@@ -12,6 +12,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -36,6 +44,8 @@ FROM q
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op5_packing": op5_packing,
     "op8_url_filters": op8_url_filters,
 }
 
