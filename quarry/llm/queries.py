@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import langid, packing, simhash, token_counts, url_filter
+from quarry.llm import langid, packing, simhash, substring_dedup, token_counts, url_filter
 from quarry.llm._shared import table
 
 
@@ -28,6 +28,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -46,14 +51,34 @@ SELECT page_id, host, path,
 FROM q
 """
 
+OP10_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), v AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t)
+), f AS (SELECT win, min(doc_id) AS owner FROM v GROUP BY win),
+g AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM v JOIN f USING (win), range(50) r(k) WHERE f.owner < v.doc_id
+), u AS (
+  SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op8_url_filters": op8_url_filters,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op10_substring_dedup": OP10_SQL,
     "op8_url_filters": OP8_SQL,
 }
