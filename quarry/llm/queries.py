@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import langid, packing, simhash, substring_dedup, token_counts, url_filter
+from quarry.llm import decontaminate, langid, packing, simhash, substring_dedup, token_counts, url_filter
 from quarry.llm._shared import table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ FROM t LEFT JOIN k USING (doc_id)
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op8_url_filters": op8_url_filters,
