@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -210,69 +210,79 @@ def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> lis
     return list(range(-(-int(total) // BLOCK_WINDOWS) or 1))
 
 
-def find_leaks(
+_LEAK = pa.struct(
+    [
+        ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int64()), ("verbatim", pa.bool_()),
+        ("first_token", pa.int64()), ("n_tokens", pa.int64()),
+    ]
+)
+_LEAKS = (
+    "array<struct<item_id:bigint,n_matched:bigint,n_windows:bigint,verbatim:boolean,first_token:bigint,n_tokens:bigint>>"
+)
+
+
+def annotate(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
     literals: int = LITERALS,
     coverage: float = COVERAGE,
-    id_col: str = "doc_id",
+    carry: Sequence[str] = ("doc_id",),
     text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, coverage, verbatim, first_token,
-    n_tokens): one row per document and benchmark item whose windows it holds to
-    at least `coverage` along one diagonal with consistent slots. verbatim is
-    false for a re-parameterised item.
-
-    Every text is read whole and only once per block of the benchmark; the
-    documents are never shuffled. Null, empty or punctuation-only texts on either
-    side match nothing; null ids are carried along; repeated rows each give their
-    rows; empty tables give an empty result; other columns are ignored.
+    """The columns in carry, then leaks, for each row of docs: the benchmark items
+    (item_id, text) whose windows the text holds to at least `coverage` along one
+    diagonal with consistent slots. verbatim is false for a re-parameterised item.
+
+    Every text is read whole, once per block of the benchmark, and the documents
+    are never shuffled. A null, empty or punctuation-only text on either side
+    matches nothing; null ids are carried along; repeated rows each give a row;
+    an empty table of documents gives an empty result, an empty benchmark no
+    leaks; other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = _blocks(items, window, "item_id", "text")
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    names = ["item_id", "n_matched", "n_windows", "verbatim", "first_token", "n_tokens"]
+    rows = docs.select(
+        F.struct(*carry).alias("carried"), F.col(text_col).cast("string").alias("text"), F.array().cast(_LEAKS).alias("leaks")
+    )
+    kind = rows.schema["carried"].dataType.simpleString()
 
-    def scan(block: int) -> DataFrame:
-        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == block)
+    def scan(before: DataFrame, block: int) -> DataFrame:
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == block).orderBy("item_id", "text")
         sent = spark.sparkContext.broadcast(
             Index([(r["item_id"], r["text"]) for r in mine.collect()], window, literals, coverage)
         )
-
         key = uuid.uuid4().hex
+        names = [f.name for f in _LEAK]
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             tokens = _tokens_of(key, index)
             for batch in batches:
-                rows, owner = [], []
-                for at, text in enumerate(batch.column(1).cast(pa.binary())):
-                    found = index.leaks((text.as_py() or b"").split(), tokens)
-                    rows += found
-                    owner += [at] * len(found)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(c) for c in zip(*rows)],
-                        ["doc_id", *names],
-                    )
-
-        return texts.mapInArrow(
-            search,
-            f"doc_id {kinds[0]}, item_id {kinds[1]}, n_matched bigint, n_windows bigint, verbatim boolean, "
-            "first_token bigint, n_tokens bigint",
-        )
+                found = [
+                    held.as_py() + [dict(zip(names, r)) for r in index.leaks((text.as_py() or b"").split(), tokens)]
+                    for text, held in zip(batch.column(1).cast(pa.binary()), batch.column(2))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(found, pa.list_(_LEAK))], ["carried", "text", "leaks"]
+                )
+
+        return before.mapInArrow(search, f"carried {kind}, text string, leaks {_LEAKS}")
 
-    found = scan(blocks[0])
-    for block in blocks[1:]:
-        found = found.unionByName(scan(block))
-    return found.select(
-        "doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        "verbatim", "first_token", "n_tokens",
+    for block in blocks:
+        rows = scan(rows, block)
+    return rows.select("carried.*", "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, coverage, verbatim, first_token,
+    n_tokens): one row per leak that `annotate` finds, so none for clean documents."""
+    leak = F.col("leak")
+    return annotate(docs, benchmark, **options).select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", leak["item_id"].alias("item_id"), leak["n_matched"].alias("n_matched"),
+        leak["n_windows"].alias("n_windows"), (leak["n_matched"] / leak["n_windows"]).alias("coverage"),
+        leak["verbatim"].alias("verbatim"), leak["first_token"].alias("first_token"), leak["n_tokens"].alias("n_tokens"),
     )

@@ -13,7 +13,7 @@ import math
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -188,9 +188,10 @@ def _shuffled(word: str) -> tuple[int, str]:
 
 
 def predict(
-    docs: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: dict[str, list[str]], text_col: str = "text", carry: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """docs' id, lang_pred and score for each row, from the whole text only."""
+    """The columns in carry, then lang_pred and score, for each row of docs, from
+    the whole text only. No shuffle."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(words)
@@ -205,12 +206,13 @@ def predict(
             found = [model.predict(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                ["carried", "lang_pred", "score"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        guess, f"doc_id {kind}, lang_pred string, score double"
+    rows = docs.select(F.struct(*carry).alias("carried"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["carried"].dataType.simpleString()
+    return rows.mapInArrow(guess, f"carried {kind}, lang_pred string, score double").select(
+        "carried.*", "lang_pred", "score"
     )
 
 

@@ -16,8 +16,7 @@ the window's first owner.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -313,9 +312,11 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
     )
 
 
-def deduplicate(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = 256) -> DataFrame:
-    """docs' doc_id with n_words, n_removed, kept_text and kept_sha256 (lowercase
-    hex of the kept words, joined by one space), one row per row of docs.
+def deduplicate(
+    docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = 256, carry: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The columns in carry, then n_words, n_removed, spans (half-open, of words)
+    and kept_text, the kept words joined by one space; one row per row of docs.
 
     Words are maximal runs without ASCII white space, unchanged, over the whole
     text. Null text: no words. Null doc_id: the row keeps all its words and
@@ -327,29 +328,43 @@ def deduplicate(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts
     prepare(spark)
     gram = min(gram, length)
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.struct(*carry).alias("carried"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
     ).withColumn("text_key", F.xxhash64("text"))
     able = rows.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")
-    spans = removals(able, length, gram, shard_texts)
-    names = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]
+    found = removals(able, length, gram, shard_texts)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, cuts in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 words = (text.as_py() or b"").split()
-                kept, at = [], 0
+                kept, at, spans = [], 0, []
                 for span in cuts.as_py() or ():
-                    kept += words[at : span["lo"]]
-                    at = max(at, span["hi"])
+                    low, high = max(at, span["lo"]), max(at, span["hi"])
+                    kept += words[at:low]
+                    if spans and spans[-1]["hi"] == low:
+                        spans[-1]["hi"] = high
+                    elif high > low:
+                        spans.append({"lo": low, "hi": high})
+                    at = high
                 kept += words[at:]
-                joined = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), joined.decode("utf-8", "replace"), hashlib.sha256(joined).hexdigest()))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")))
+            span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
+            types = [pa.int64(), pa.int64(), pa.list_(span), pa.string()]
             columns = zip(*out) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types)], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types)],
+                ["carried", "n_words", "n_removed", "spans", "kept_text"],
+            )
 
+    kind = rows.schema["carried"].dataType.simpleString()
     return (
-        rows.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
-        .mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
+        rows.join(found, ["doc_id", "text_key"], "left").select("carried", "text", "spans")
+        .mapInArrow(
+            keep,
+            f"carried {kind}, n_words bigint, n_removed bigint, spans array<struct<lo:int,hi:int>>, kept_text string",
+        )
+        .select("carried.*", "n_words", "n_removed", "spans", "kept_text")
     )
