@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, packing, simhash, substring_dedup, token_counts, url_filter
+from quarry.llm import decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter
 from quarry.llm._shared import table
 
 
@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -74,17 +78,34 @@ SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM t LEFT JOIN k USING (doc_id)
 """
 
+OP6_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.r <> b.r AND array_cosine_similarity(a.v, b.v) >= 0.9
+), c(u, w) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT c.u, l.v FROM c JOIN l ON l.u = c.w
+), m AS (SELECT u, min(w) AS component_id FROM c GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_url_filters": op8_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_embedding_dedup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op8_url_filters": OP8_SQL,
 }
