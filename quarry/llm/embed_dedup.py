@@ -1,10 +1,12 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products.
 
-Every vector lives in the cell of its nearest centre and also visits each cell
-that could hold a vector within the wanted angle of it. A vector is compared, in
-blocks, with all vectors living in or visiting its own cell, which finds every
-link: a linked vector of another cell is beyond the plane between both centres
-by no more than that angle, so it is a visitor.
+Every vector lives in the cell of its nearest centre and visits the next nearest
+cells. A cell's residents are compared, in blocks, with all its residents and
+visitors, so a link is found if one of both vectors visits the other's home. With
+visits=None a vector visits every cell that could hold a vector within the wanted
+angle: a linked vector of another cell is beyond the plane between both centres
+by no more than that angle. That finds every link, at the price of many more
+products where vectors are spread evenly.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from quarry.llm._shared import connected_components, materialise, prepare
 
 #: Vectors the centres are fitted on at most, centres at most, vectors of a cell
-#: aimed at, and vectors of a block.
-FIT_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS = 20_000, 512, 500, 1024
-_ROUNDS = 12
+#: aimed at, cells of a vector, and vectors of a block.
+FIT_ROWS, MAX_CELLS, CELL_ROWS, VISITS, BLOCK_ROWS = 20_000, 1024, 500, 8, 1024
+_ROUNDS = 8
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
@@ -57,29 +59,40 @@ def _unit(found: np.ndarray) -> np.ndarray:
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
-def reach(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell of each vector, and a mask of the cells it belongs to or visits."""
+def reach(unit: np.ndarray, centres: np.ndarray, threshold: float, visits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and a mask of the cells it lives in or visits."""
     dots = unit @ centres.T
     home = dots.argmax(axis=1)
-    own = dots[np.arange(len(unit)), home]
-    gaps = np.linalg.norm(centres[home][:, None, :] - centres[None, :, :], axis=2)
-    sine = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
-    mask = (own[:, None] - dots) <= sine * gaps
-    mask[np.arange(len(unit)), home] = True
+    each = np.arange(len(unit))
+    if visits is None:
+        gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)[home]
+        sine = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
+        mask = (dots[each, home][:, None] - dots) <= sine * gaps
+    else:
+        mask = np.zeros(dots.shape, dtype=bool)
+        nearest = np.argpartition(-dots, min(visits, dots.shape[1]) - 1, axis=1)[:, :visits]
+        mask[each[:, None], nearest] = True
+    mask[each, home] = True
     return home, mask
 
 
-def block_links(nodes: list[str], unit: np.ndarray, weight: np.ndarray, living: np.ndarray, threshold: float):
-    """Links of the rows marked living with all rows that are columns (not living,
-    or in both roles): the summed weight per living row and a spanning forest."""
-    rows, cols = np.flatnonzero(living), np.flatnonzero(~living)
-    near = unit[rows] @ unit[cols].T >= threshold
+def block_links(
+    nodes: list[str], unit: np.ndarray, weight: np.ndarray, homes: np.ndarray, seen: np.ndarray, rows: np.ndarray,
+    cols: np.ndarray, cell: int, threshold: float,
+) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """Links of residents (rows) with residents and visitors (cols) of a cell:
+    the summed weight of each vector's links, and a spanning forest of them. seen
+    is the mask of the cells of each vector. A visitor counts a link here only if
+    its own home does not show it the resident."""
     place = {name: at for at, name in enumerate(dict.fromkeys(nodes))}
-    of = np.array([place[name] for name in nodes])
+    of = np.array([place[name] for name in nodes], dtype=np.int64)
+    near = unit[rows] @ unit[cols].T >= threshold
     near &= of[rows][:, None] != of[cols][None, :]
-    links = near @ weight[cols]
-    label = np.arange(len(place))
-    big = len(place)
+    links = np.zeros(len(place), dtype=np.int64)
+    np.add.at(links, of[rows], near @ weight[cols])
+    unseen = near & ~seen[rows][:, homes[cols]] & (homes[cols] != cell)[None, :]
+    np.add.at(links, of[cols], weight[rows] @ unseen)
+    label, big = np.arange(len(place)), len(place)
     while near.any():
         before = label.copy()
         lows = np.where(near, label[of[cols]][None, :], big).min(axis=1)
@@ -90,11 +103,16 @@ def block_links(nodes: list[str], unit: np.ndarray, weight: np.ndarray, living:
         if (label == before).all():
             break
     names = list(place)
-    forest = [(names[at], names[to]) for at, to in enumerate(label.tolist()) if at != to]
-    return rows, links, forest
+    return links, [(names[at], names[to]) for at, to in enumerate(label.tolist()) if at != to]
 
 
-def links(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def links(
+    embeddings: DataFrame,
+    threshold: float = 0.9,
+    visits: int | None = VISITS,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of embeddings.
 
     n_links counts the other rows at a cosine of threshold (over 0, double
@@ -135,33 +153,42 @@ def links(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                home, mask = reach(_unit(_matrix(batch.column(1))), sent.value, threshold)
+                home, mask = reach(_unit(_matrix(batch.column(1))), sent.value, threshold, visits)
                 at, cell = np.nonzero(mask)
+                ends = np.cumsum(np.concatenate(([0], mask.sum(axis=1)))).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell))
+                rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    batch.take(pa.array(at)).columns + [pa.array(cell), pa.array(cell == home[at])],
-                    ["node", "vector", "n", "cell", "living"],
+                    batch.take(rows).columns + [pa.array(cell), pa.array(home[at]), cells.take(rows)],
+                    ["node", "vector", "n", "cell", "home", "cells"],
                 )
 
     kinds = "node string, vector array<double>, n bigint"
     members = materialise(
-        classes.select("node", "vector", "n").mapInArrow(place, f"{kinds}, cell bigint, living boolean")
+        classes.select("node", "vector", "n").mapInArrow(place, f"{kinds}, cell bigint, home bigint, cells array<bigint>")
     )
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     blocked = members.join(F.broadcast(sizes), "cell").withColumn("block", block)
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    rows_of = blocked.where("living").select("cell", F.col("block").alias("a"), others.alias("b"), "node", "vector", "n", "living")
-    cols_of = blocked.select("cell", others.alias("a"), F.col("block").alias("b"), "node", "vector", "n", F.lit(False).alias("living"))
+    held = ["node", "vector", "n", "home", "cells"]
+    rows_of = blocked.where("home = cell").select("cell", F.col("block").alias("a"), others.alias("b"), *held, F.lit(True).alias("living"))
+    cols_of = blocked.select("cell", others.alias("a"), F.col("block").alias("b"), *held, F.lit(False).alias("living"))
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = {name: group.column(name).combine_chunks() for name in ("node", "vector", "n", "living")}
+        column = {name: group.column(name).combine_chunks() for name in group.column_names}
         nodes, living = column["node"].to_pylist(), column["living"].to_numpy(zero_copy_only=False)
-        at, found, forest = block_links(nodes, _unit(_matrix(column["vector"])), column["n"].to_numpy(), living, threshold)
+        seen = np.zeros((len(nodes), len(sent.value)), dtype=bool)
+        seen[np.repeat(np.arange(len(nodes)), column["cells"].value_lengths().to_numpy()), column["cells"].flatten().to_numpy()] = True
+        found, forest = block_links(
+            nodes, _unit(_matrix(column["vector"])), column["n"].to_numpy(), column["home"].to_numpy(), seen,
+            np.flatnonzero(living), np.flatnonzero(~living), column["cell"][0].as_py(), threshold,
+        )
+        names = list(dict.fromkeys(nodes))
         some = np.flatnonzero(found)
         return pa.table(
             {
-                "node": pa.array([nodes[at[i]] for i in some] + [u for u, _ in forest], pa.string()),
+                "node": pa.array([names[i] for i in some] + [u for u, _ in forest], pa.string()),
                 "n": pa.array(found[some].tolist() + [0] * len(forest), pa.int64()),
                 "other": pa.array([None] * len(some) + [v for _, v in forest], pa.string()),
             }
