@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter
+from quarry.llm import chat, decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter
 from quarry.llm._shared import table
 
 
@@ -33,6 +33,13 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.links(table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(chats.unionByName(planted)))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -93,6 +100,22 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN m ON m.u = vec_id LEFT JOIN n ON n.u = vec_id
 """
 
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '<s>|</s>|\[INST\]|\[/INST\]|\[SEP\]', '.\0', 'g')) AS n,
+         length(regexp_replace(replace(role, '\', '\\'), '<s>|</s>|\[INST\]|\[/INST\]|\[SEP\]', '.\0', 'g')) AS r FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(CASE WHEN role = 'assistant' THEN n + 4 ELSE n + r + 18 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -100,11 +123,13 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_url_filters": op8_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_chat_formatting": OP7_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op8_url_filters": OP8_SQL,
