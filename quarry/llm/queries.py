@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter
+from quarry.llm import chat, decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter, warc
 from quarry.llm._shared import table
 
 
@@ -44,6 +44,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -116,6 +120,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, html FROM p),
+b AS (
+  SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS INT) >> (15 - 5 * (k % 4))) & 31), 1), '' ORDER BY k)
+            FROM range(32) r(k)) AS payload_digest,
+         max(page_id) OVER (PARTITION BY html) AS top FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM b
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -125,10 +141,12 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_url_filters": op8_url_filters,
+    "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_warc": OP9_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
