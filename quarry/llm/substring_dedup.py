@@ -29,6 +29,8 @@ from quarry.llm.wordhash import Prefix, word_hashes
 
 #: Words of the grams among which a window's minimiser is chosen.
 GRAM = 8
+#: Texts around one minimiser up to which they share an automaton.
+SHARD_TEXTS = 2048
 #: Windows handled at a time in a very long text.
 _STEP = 1 << 16
 
@@ -257,14 +259,23 @@ def _by_window(texts: DataFrame, length: int) -> DataFrame:
         )
     )
     first = windows.groupBy("gram", "window").agg(F.min("owner").alias("least"))
-    return (
-        windows.join(first, ["gram", "window"])
+    earlier = (
+        windows.join(first.withColumnRenamed("gram", "g").withColumnRenamed("window", "w"),
+                     (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")) & (F.col("least") < F.col("owner")))
         .groupBy("gram", "content")
-        .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("least").alias("owner"))).alias("runs"))
+        .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("least").alias("owner"))).alias("more"))
+    )
+    # the text's own owner has all its windows; only still earlier owners need naming
+    own = texts.select(
+        "gram", "content",
+        F.array(F.struct(F.lit(0).alias("at"), (F.size("words") - length + 1).alias("n"), "owner")).cast(_RUNS).alias("runs"),
+    )
+    return own.join(earlier, ["gram", "content"], "left").select(
+        "gram", "content", F.concat("runs", F.coalesce(F.col("more").cast(_RUNS), F.array().cast(_RUNS))).alias("runs")
     )
 
 
-def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = 256) -> DataFrame:
+def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(doc_id, text_key, spans): per text the half-open word spans, sorted and
     disjoint, covered by windows that also start in a document with a smaller id.
     docs has doc_id bigint, text_key and text. Shards of more than shard_texts
@@ -313,7 +324,7 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
 
 
 def deduplicate(
-    docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = 256, carry: Sequence[str] = ("doc_id",)
+    docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: int = SHARD_TEXTS, carry: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """The columns in carry, then n_words, n_removed, spans (half-open, of words)
     and kept_text, the kept words joined by one space; one row per row of docs.
