@@ -13,7 +13,7 @@ import numpy as np
 
 #: Words kept per worker process, and the longest one kept; beyond the first
 #: bound the table starts anew, so its memory is bounded.
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
 
 _encoders: dict[str, "WordEncoder"] = {}
 
