@@ -1 +1,149 @@
+"""Queries on chunks, offsets and annotations of document texts."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.operators import spans as P
+from quarry.registry import query
+from quarry.session import table
+
+N = F.count(F.lit(1))
+PARA_CTE = """pr AS (SELECT doc_id, n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, text
+  FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+
+
+@query("paragraph_offsets", f"WITH {PARA_CTE} SELECT doc_id, n, CAST(start AS BIGINT) AS start, length(text) AS size, md5(text) AS digest FROM pr WHERE text <> ''")
+def paragraph_offsets(spark, sf_dir):
+    return P.paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "n", "start", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+@query("reconstruction", f"WITH {PARA_CTE}, a AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY n) AS t, count(*) AS parts FROM pr GROUP BY doc_id) SELECT doc_id, parts, t = text AS same FROM a JOIN documents USING (doc_id)")
+def reconstruction(spark, sf_dir):
+    """Parts put together again give the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = F.split("text", "\n")
+    return docs.select("doc_id", F.size(parts).alias("parts"), (F.array_join(parts, "\n") == F.col("text")).alias("same"))
+
+
+@query("chunk_numbering", """WITH s AS (SELECT doc_id, 0 AS place, 'Introduction' AS title, 1 AS parts FROM documents UNION ALL SELECT doc_id, 1, 'Body', greatest(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), 1) FROM documents UNION ALL SELECT doc_id, 2, 'End', 1 FROM documents),
+    n AS (SELECT doc_id, place, title, parts, 1 + coalesce(sum(1 + parts) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section_number FROM s)
+    SELECT doc_id, title, CAST(section_number AS BIGINT) AS section_number, 'd' || doc_id || '_chunk_' || lpad(CAST(section_number + k AS VARCHAR), 4, '0') AS chunk_id FROM (SELECT *, unnest(range(1, parts + 1)) AS k FROM n)""")
+def chunk_numbering(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    empty = F.array().cast("array<string>")
+    sections = docs.select("doc_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit("Introduction").alias("title"), empty.alias("parts")),
+        F.struct(F.lit(1).alias("place"), F.lit("Body").alias("title"), body.alias("parts")),
+        F.struct(F.lit(2).alias("place"), F.lit("End").alias("title"), empty.alias("parts")),
+    )))
+    numbered = P.numbered_sections(sections)
+    parts = numbered.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))))
+    number = F.lpad((F.col("section_number") + F.col("k")).cast("string"), 4, "0")
+    return parts.select("doc_id", "title", "section_number", F.concat(F.lit("d"), "doc_id", F.lit("_chunk_"), number).alias("chunk_id"))
+
+
+@query("packed_chunks")
+def packed_chunks(spark, sf_dir):
+    """Greedy packing of paragraphs; checked by tests."""
+    chunks = P.packed(F.split("text", "\n"), glue="\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_index", "text")).select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+@query("sentence_split")
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.sentences("text")).alias("n", "sentence")).select("doc_id", "n", F.md5("sentence").alias("digest"))
+
+
+@query("offset_chunks")
+def offset_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(P.offset_chunks("text"))).select("doc_id", "start", F.length("chunk").alias("size"), F.md5("chunk").alias("digest"))
+
+
+@query("entity_chunk_overlap", f"""WITH {PARA_CTE}, c AS (SELECT doc_id, n, start, start + length(text) AS stop FROM pr WHERE text <> ''),
+    s AS (SELECT doc_id, 7 * k AS lo, 7 * k + 20 AS hi FROM documents, (SELECT unnest(range(0, 40)) AS k))
+    SELECT doc_id, n, lo, hi, CAST(greatest(lo - start, 0) AS BIGINT) AS relative_lo, CAST(least(hi - start, stop - start) AS BIGINT) AS relative_hi FROM s JOIN c USING (doc_id) WHERE lo < stop AND hi > start""")
+def entity_chunk_overlap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = P.paragraphs(docs).select("doc_id", "n", "start", (F.col("start") + F.length("text")).alias("stop"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("doc_id", (F.col("k") * 7).cast("bigint").alias("lo"), (F.col("k") * 7 + 20).cast("bigint").alias("hi"))
+    return P.overlap_join(spans, chunks).select("doc_id", "n", "lo", "hi", "relative_lo", "relative_hi")
+
+
+@query("mapping_metrics", f"""WITH {PARA_CTE}, c AS (SELECT doc_id, start, start + length(text) AS stop FROM pr WHERE text <> ''), s AS (SELECT doc_id, 300 * k AS lo, 300 * k + 5 AS hi FROM documents, (SELECT unnest(range(0, 10)) AS k)),
+    m AS (SELECT s.*, EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND lo < stop AND hi > start) AS hit FROM s)
+    SELECT count(*) AS total, count(*) FILTER (hit) AS mapped, count(*) FILTER (NOT hit) AS no_chunk_overlap FROM m""")
+def mapping_metrics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = P.paragraphs(docs).select("doc_id", "start", (F.col("start") + F.length("text")).alias("stop"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("doc_id", (F.col("k") * 300).cast("bigint").alias("lo"), (F.col("k") * 300 + 5).cast("bigint").alias("hi"))
+    hits = P.overlap_join(spans, chunks).select("doc_id", "lo").distinct().withColumn("hit", F.lit(True))
+    joined = spans.join(hits, ["doc_id", "lo"], "left")
+    return joined.agg(N.alias("total"), F.count("hit").alias("mapped"), F.count_if(F.col("hit").isNull()).alias("no_chunk_overlap"))
+
+
+@query("chunk_positions", f"WITH {PARA_CTE}, f AS (SELECT doc_id, n, pr.text AS chunk, strpos(documents.text, trim(pr.text)) - 1 AS start FROM pr JOIN documents USING (doc_id) WHERE trim(pr.text) <> '') SELECT doc_id, n, start, start + length(trim(chunk)) AS stop FROM f WHERE start >= 0")
+def chunk_positions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = P.paragraphs(docs).where("trim(text) != ''").select("doc_id", "n", F.col("text").alias("chunk"))
+    return P.located(chunks, docs).select("doc_id", "n", "start", "stop")
+
+
+@query("offset_reconstruction")
+def offset_reconstruction(spark, sf_dir):
+    """Chunks whose white space was re-flowed; checked by tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = docs.select("doc_id", F.regexp_replace(F.substring("text", 11, 400), r"\s+", " ").alias("chunk"))
+    return P.reconstructed(chunks, docs).select("doc_id", "lo", "hi")
+
+
+@query("highlights")
+def highlights(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.highlighted(F.col("text"), ["the", "und"])).alias("n", "fragment"))
+
+
+@query("match_diagnostics", """SELECT doc_id, starts_with(text, substr(text, 1, 50)) AS prefix, contains(replace(text, ' ', ''), replace(substr(text, 20, 60), ' ', '')) AS no_space, contains(lower(text), lower(substr(text, 5, 30))) AS any_case, contains(text, upper(substr(text, 5, 30))) AS upper_case FROM documents""")
+def match_diagnostics(spark, sf_dir):
+    text = F.col("text")
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.startswith(F.substring(text, 1, 50)).alias("prefix"), F.contains(bare(text), bare(F.substring(text, 20, 60))).alias("no_space"),
+        F.contains(F.lower(text), F.lower(F.substring(text, 5, 30))).alias("any_case"), F.contains(text, F.upper(F.substring(text, 5, 30))).alias("upper_case"),
+    )
+
+
+@query("chunk_statistics", f"WITH {PARA_CTE} SELECT n % 5 AS level, count(*) AS chunks, count(*) FILTER (length(text) > 200) AS split, CAST(sum(length(text)) AS BIGINT) AS size FROM pr WHERE text <> '' GROUP BY 1")
+def chunk_statistics(spark, sf_dir):
+    return P.paragraphs(table(spark, sf_dir, "documents")).groupBy((F.col("n") % 5).alias("level")).agg(
+        N.alias("chunks"), F.count_if(F.length("text") > 200).alias("split"), F.sum(F.length("text")).alias("size")
+    )
+
+
+@query("evidence_to_chunks", f"""WITH {PARA_CTE}, e AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 3, 10) ELSE '@@none@@' END AS evidence FROM documents), h AS (SELECT doc_id, n FROM e JOIN pr USING (doc_id) WHERE contains(pr.text, evidence) AND pr.text <> '')
+    SELECT doc_id, n FROM h UNION ALL SELECT doc_id, n FROM pr WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM h)""")
+def evidence_to_chunks(spark, sf_dir):
+    """The chunks that hold the evidence, else all of the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    evidence = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 3, 10)).otherwise("@@none@@").alias("evidence"))
+    both = P.paragraphs(docs).join(evidence, "doc_id").withColumn("hit", F.contains("text", "evidence"))
+    found = F.max("hit").over(Window.partitionBy("doc_id"))
+    return both.withColumn("found", found).where("hit or not found").select("doc_id", "n")
+
+
+@query("section_parts", f"WITH {PARA_CTE} SELECT doc_id, n, CASE n % 3 WHEN 0 THEN 'sg:Section' WHEN 1 THEN 'sg:Paragraph' ELSE 'sg:ListItem' END AS class, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS part, count(*) OVER (PARTITION BY doc_id) AS parts FROM pr WHERE text <> ''")
+def section_parts(spark, sf_dir):
+    classes = F.create_map(F.lit(0), F.lit("sg:Section"), F.lit(1), F.lit("sg:Paragraph"), F.lit(2), F.lit("sg:ListItem"))
+    w = Window.partitionBy("doc_id")
+    return P.paragraphs(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", F.element_at(classes, F.col("n") % 3).alias("class"), F.row_number().over(w.orderBy("n")).alias("part"), N.over(w).alias("parts")
+    )
+
+
+@query("lines_of_layout", "SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) ORDER BY l_linenumber, l_returnflag) AS text, count(*) AS lines FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def lines_of_layout(spark, sf_dir):
+    """Blocks of one kind joined in order."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linenumber").alias("t"))))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("text"), N.alias("lines"))
