@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def load() -> None:
-    from quarry.plans import entities, graph, relational, search, spans, streams, texts  # noqa: F401
+    from quarry.plans import entities, graph, outputs, relational, search, spans, streams, texts  # noqa: F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +20,19 @@ def session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in local mode
+    without that setting, in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own_scratch:
+            _own_scratch.append(tempfile.mkdtemp(prefix="quarry-"))
+        root = f"file://{_own_scratch[0]}"
+    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
