@@ -188,7 +188,7 @@ class _Expression:
         if self._take("."):
             _, field = self._tokens[self._at] if self._at < len(self._tokens) else (None, None)
             self._at += 1
-            owner = "m" if value == self._loop else value
+            owner = None if self._loop is None else "m" if value == self._loop else "loop" if value == "loop" else None
             if (owner, field) not in _FIELDS:
                 raise TemplateError(f"no field {value}.{field}")
             return Name(owner, field)
