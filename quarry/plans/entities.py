@@ -12,7 +12,11 @@ from quarry.operators import search as S
 from quarry.registry import query
 from quarry.session import table
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
+
+
 _ORGS = (
     # name, base, country, cleaned, type, class, uri, needs country
     ("Ministry of Health (Japan)", "Ministry of Health", "Japan", "public", "HealthMinistry", "sg:Org_ministry_of_health_japan", False),
@@ -178,19 +182,19 @@ def metric_recommendation(spark, sf_dir):
 
 @query("chunking_comparison", """SELECT lang, round(avg(n_chars), 4) AS mean_size, round(var_pop(n_chars), 2) AS variance, count(*) AS chunks FROM documents GROUP BY lang""")
 def chunking_comparison(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("mean_size"), F.round(F.var_pop("n_chars"), 2).alias("variance"), N.alias("chunks"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("mean_size"), F.round(F.var_pop("n_chars"), 2).alias("variance"), rows_n().alias("chunks"))
 
 
 @query("entity_summary", """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS contexts, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 4) AS mean FROM events GROUP BY event_type""")
 def entity_summary(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        N.alias("n"), F.countDistinct("user_id").alias("contexts"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 4).alias("mean")
+        rows_n().alias("n"), F.countDistinct("user_id").alias("contexts"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 4).alias("mean")
     )
 
 
 @query("top_entities_per_type", """SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 10""")
 def top_entities_per_type(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(N.alias("n"))
+    counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(rows_n().alias("n"))
     nth = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))
     return counts.withColumn("r", nth).where("r <= 10").drop("r")
 

@@ -15,7 +15,9 @@ from quarry.operators import graph as G
 from quarry.registry import query
 from quarry.session import table
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
 
 
 def _edges(spark, sf_dir):
@@ -133,7 +135,7 @@ def graph_update(spark, sf_dir):
 def graph_management(spark, sf_dir):
     data = _triples(spark, sf_dir)
     results = {"clear": G.clear(data, "nations"), "copy": G.copy(data, "regions", "nations"), "move": G.move(data, "regions", "nations"), "add": G.add(data, "regions", "nations")}
-    parts = [rows.agg(N.alias("n")).select(F.lit(op).alias("op"), "n") for op, rows in results.items()]
+    parts = [rows.agg(rows_n().alias("n")).select(F.lit(op).alias("op"), "n") for op, rows in results.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
@@ -177,12 +179,12 @@ def concept_documents(spark, sf_dir):
 def concept_co_occurrences(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     asked = lines.where(F.col("l_partkey").isin(1, 2, 3)).withColumnRenamed("l_partkey", "asked")
-    return asked.join(lines.withColumnRenamed("l_partkey", "other"), "l_orderkey").where("asked != other").groupBy("other").agg(N.alias("n"))
+    return asked.join(lines.withColumnRenamed("l_partkey", "other"), "l_orderkey").where("asked != other").groupBy("other").agg(rows_n().alias("n"))
 
 
 @query("concept_summary", "SELECT l_orderkey, l_partkey, count(*) AS mentions, round(avg(l_discount), 6) AS confidence FROM lineitem GROUP BY ALL")
 def concept_summary(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(N.alias("mentions"), F.round(F.avg("l_discount"), 6).alias("confidence"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(rows_n().alias("mentions"), F.round(F.avg("l_discount"), 6).alias("confidence"))
 
 
 @query("chunks_by_concept", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_partkey = 10 AND l_discount >= 0.03 ORDER BY l_discount DESC, l_orderkey, l_linenumber")
@@ -194,7 +196,7 @@ def chunks_by_concept(spark, sf_dir):
 def entity_neighbourhood(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_orderkey")
     known = table(spark, sf_dir, "part").select("p_partkey")
-    return lines.join(known, "p_partkey").groupBy("p_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("documents"), N.alias("mentions"))
+    return lines.join(known, "p_partkey").groupBy("p_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("documents"), rows_n().alias("mentions"))
 
 
 @query("one_hop_pattern", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2 AND s_acctbal > 0")

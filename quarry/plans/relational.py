@@ -9,7 +9,9 @@ from quarry.operators import tables as M
 from quarry.registry import query
 from quarry.session import table
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
 
 
 @query(
@@ -32,7 +34,7 @@ def job_stats(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
     days = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.col("l_shipdate")) / 86400
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(
-        N.alias("n"), F.round(F.avg(days), 6).alias("mean_days"), F.round(F.min("o_totalprice"), 2).alias("low"),
+        rows_n().alias("n"), F.round(F.avg(days), 6).alias("mean_days"), F.round(F.min("o_totalprice"), 2).alias("low"),
         F.round(F.max("o_totalprice"), 2).alias("high"),
     ).orderBy("o_orderstatus")
 
@@ -43,7 +45,7 @@ def job_stats(spark, sf_dir):
 )
 def content_type_breakdown(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        N.alias("n"), F.countDistinct("user_id").alias("users"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
+        rows_n().alias("n"), F.countDistinct("user_id").alias("users"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
 
 
@@ -68,7 +70,7 @@ def id_set_diff(spark, sf_dir):
     b = table(spark, sf_dir, "labels").select("doc_id", F.lit(2).alias("bit"))
     mask = a.union(b).groupBy("doc_id").agg(F.bit_or("bit").alias("mask"))
     m = F.col("mask")
-    counts = mask.agg(F.count_if(m == 3).alias("both"), F.count_if(m == 1).alias("documents"), F.count_if(m == 2).alias("labels"), N.alias("either"))
+    counts = mask.agg(F.count_if(m == 3).alias("both"), F.count_if(m == 1).alias("documents"), F.count_if(m == 2).alias("labels"), rows_n().alias("either"))
     return counts.select(F.expr("stack(4, 'both', both, 'documents', documents, 'labels', labels, 'either', either) AS (side, n)"))
 
 
@@ -80,10 +82,10 @@ def id_set_diff(spark, sf_dir):
 )
 def source_overlaps(spark, sf_dir):
     bit = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("p_size") % 3 + 1).cast("int"))
-    names = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.bit_or(bit).alias("m"), N.alias("c"))
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.bit_or(bit).alias("m"), rows_n().alias("c"))
     has = lambda bits: F.count_if(F.col("m").bitwiseAND(bits) == bits)
     return names.agg(
-        has(1).alias("public_n"), has(2).alias("international_n"), has(4).alias("private_n"), N.alias("total_n"),
+        has(1).alias("public_n"), has(2).alias("international_n"), has(4).alias("private_n"), rows_n().alias("total_n"),
         has(3).alias("public_international"), has(5).alias("public_private"), has(7).alias("all_three"), F.sum("c").alias("mentions"),
     )
 
@@ -91,7 +93,7 @@ def source_overlaps(spark, sf_dir):
 @query("most_frequent", """SELECT kind, name, n FROM (SELECT split_part(p_type, ' ', 1) AS kind, p_brand AS name, count(*) AS n FROM part GROUP BY 1, 2)
     QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) <= 3""")
 def most_frequent(spark, sf_dir):
-    counts = table(spark, sf_dir, "part").groupBy(F.split("p_type", " ")[0].alias("kind"), F.col("p_brand").alias("name")).agg(N.alias("n"))
+    counts = table(spark, sf_dir, "part").groupBy(F.split("p_type", " ")[0].alias("kind"), F.col("p_brand").alias("name")).agg(rows_n().alias("n"))
     nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
     return counts.withColumn("r", nth).where("r <= 3").drop("r")
 
@@ -102,7 +104,7 @@ def vocab_frequencies(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     whole = part.select(F.lit("raw").alias("form"), F.col("p_type").alias("value"))
     parts = part.select(F.lit("parts").alias("form"), F.explode(F.split("p_type", " ")).alias("value"))
-    return whole.union(parts).groupBy("form", "value").agg(N.alias("n"))
+    return whole.union(parts).groupBy("form", "value").agg(rows_n().alias("n"))
 
 
 @query("distinct_usage", """SELECT p_brand, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY p_brand""")
@@ -123,14 +125,14 @@ def doc_overview_distincts(spark, sf_dir):
 
 @query("mentions_per_section", """SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS mentions FROM lineitem GROUP BY ALL""")
 def mentions_per_section(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey").agg(N.alias("mentions"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey").agg(rows_n().alias("mentions"))
 
 
 @query("coverage_counts", """SELECT count(*) FILTER (r_regionkey IS NOT NULL) AS mapped, count(*) FILTER (r_regionkey IS NULL) AS unmapped, count(*) AS total FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey""")
 def coverage_counts(spark, sf_dir):
     known = table(spark, sf_dir, "region").where("r_regionkey < 3")
     joined = table(spark, sf_dir, "nation").join(known, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return joined.agg(F.count("r_regionkey").alias("mapped"), F.count_if(F.col("r_regionkey").isNull()).alias("unmapped"), N.alias("total"))
+    return joined.agg(F.count("r_regionkey").alias("mapped"), F.count_if(F.col("r_regionkey").isNull()).alias("unmapped"), rows_n().alias("total"))
 
 
 @query("class_members", """SELECT c_mktsegment, count(*) AS n, array_to_string(list_sort(list(c_name))[1:5], '|') AS first_names FROM customer GROUP BY c_mktsegment""")
@@ -139,12 +141,12 @@ def class_members(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_name")
     nth = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_name"))
     few = rows.withColumn("r", nth).where("r <= 5").groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list("c_name")), "|").alias("first_names"))
-    return rows.groupBy("c_mktsegment").agg(N.alias("n")).join(few, "c_mktsegment")
+    return rows.groupBy("c_mktsegment").agg(rows_n().alias("n")).join(few, "c_mktsegment")
 
 
 @query("cumulative_levels", """WITH h AS (SELECT p_size // 10 AS level, count(*) AS n FROM part GROUP BY 1) SELECT level, CAST(sum(n) OVER (ORDER BY level) AS BIGINT) AS upto, round(100.0 * sum(n) OVER (ORDER BY level) / sum(n) OVER (), 6) AS percent FROM h""")
 def cumulative_levels(spark, sf_dir):
-    counts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_size") / 10).alias("level")).agg(N.alias("n"))
+    counts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_size") / 10).alias("level")).agg(rows_n().alias("n"))
     upto = F.sum("n").over(Window.orderBy("level"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("level", upto.alias("upto"), F.round(100.0 * upto / F.col("total"), 6).alias("percent"))
@@ -154,7 +156,7 @@ def cumulative_levels(spark, sf_dir):
 def scenario_coverage(spark, sf_dir):
     size = F.col("p_size")
     return table(spark, sf_dir, "part").agg(
-        F.count_if(size <= 10).alias("small"), F.count_if(size <= 25).alias("medium"), F.count_if(F.col("p_type").startswith("PROMO")).alias("promo"), N.alias("total")
+        F.count_if(size <= 10).alias("small"), F.count_if(size <= 25).alias("medium"), F.count_if(F.col("p_type").startswith("PROMO")).alias("promo"), rows_n().alias("total")
     )
 
 
@@ -170,8 +172,8 @@ def term_document_frequency(spark, sf_dir):
 def status_counters(spark, sf_dir):
     s = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.count_if(s == "F").alias("f"), F.count_if(s == "O").alias("o"), F.count_if(s == "P").alias("p"), N.alias("total"),
-        F.round(F.when(N == 0, 0.0).otherwise(100.0 * F.count_if(s == "F") / N), 6).alias("rate"),
+        F.count_if(s == "F").alias("f"), F.count_if(s == "O").alias("o"), F.count_if(s == "P").alias("p"), rows_n().alias("total"),
+        F.round(F.when(rows_n() == 0, 0.0).otherwise(100.0 * F.count_if(s == "F") / rows_n()), 6).alias("rate"),
     )
 
 
@@ -179,7 +181,7 @@ def status_counters(spark, sf_dir):
     SELECT service, round(sum(cost), 2) AS total, count(*) AS days FROM d GROUP BY service HAVING sum(cost) > 0.01 ORDER BY 2 DESC, service LIMIT 10""")
 def daily_cost_top(spark, sf_dir):
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("service"), F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("cost"))
-    total = days.groupBy("service").agg(F.sum("cost").alias("t"), N.alias("days")).where("t > 0.01")
+    total = days.groupBy("service").agg(F.sum("cost").alias("t"), rows_n().alias("days")).where("t > 0.01")
     return total.select("service", F.round("t", 2).alias("total"), "days").orderBy(F.desc("total"), "service").limit(10)
 
 
@@ -187,7 +189,7 @@ def daily_cost_top(spark, sf_dir):
 def batch_rollup(spark, sf_dir):
     failed = F.col("l_returnflag") == "R"
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("batch")).agg(
-        N.alias("processed"), F.count_if(failed).alias("failed"), (F.count_if(~failed) * 3).alias("chunks"), F.sum("l_quantity").cast("double").alias("pages")
+        rows_n().alias("processed"), F.count_if(failed).alias("failed"), (F.count_if(~failed) * 3).alias("chunks"), F.sum("l_quantity").cast("double").alias("pages")
     )
 
 
@@ -196,12 +198,12 @@ def page_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.round(F.avg("n_chars"), 4).alias("mean_size"), F.floor(F.avg("n_chars") * 1000).alias("estimated"))
 
 
-@query("guarded_averages", """SELECT c_custkey, count(o_orderkey) AS n, coalesce(round(avg(o_totalprice), 2), 0) AS mean_price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+@query("guarded_averages", """SELECT c_custkey, count(o_orderkey) AS n, coalesce(round(sum(o_totalprice), 2) / count(o_orderkey), 0) AS mean_price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def guarded_averages(spark, sf_dir):
     """The average of nothing is zero."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     joined = table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.coalesce(F.round(F.avg("o_totalprice"), 2), F.lit(0.0)).alias("mean_price"))
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.coalesce(F.round(F.sum("o_totalprice"), 2) / F.nullif(F.count("o_orderkey"), F.lit(0)), F.lit(0.0)).alias("mean_price"))
 
 
 @query("group_concat", """SELECT n_regionkey, string_agg(n_name, ' ' ORDER BY n_name) AS names, min(n_name) AS first_name, max(n_name) AS last_name FROM nation GROUP BY n_regionkey""")
@@ -231,7 +233,7 @@ def stage_status_map(spark, sf_dir):
     SELECT user_id, CAST(bundle AS BIGINT) AS bundle, any_value(event_type) AS op, count(*) AS n, min(event_id) AS first_id FROM b GROUP BY user_id, bundle""")
 def op_run_bundles(spark, sf_dir):
     rows = M.runs(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], "event_type")
-    return rows.groupBy("user_id", "bundle").agg(F.min("event_type").alias("op"), N.alias("n"), F.min("event_id").alias("first_id"))
+    return rows.groupBy("user_id", "bundle").agg(F.min("event_type").alias("op"), rows_n().alias("n"), F.min("event_id").alias("first_id"))
 
 
 @query("commit_bundles", """WITH k AS (SELECT event_id, user_id, event_id // 100 AS commit_num, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS turn FROM events WINDOW w AS (PARTITION BY event_id // 100, user_id ORDER BY event_id))
@@ -240,7 +242,7 @@ def commit_bundles(spark, sf_dir):
     """Default mode: a bundle never crosses a commit."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor(F.col("event_id") / 100).alias("commit_num"))
     found = M.runs(rows, ["commit_num", "user_id"], ["event_id"], "event_type")
-    return found.groupBy("commit_num", "user_id").agg(F.max("bundle").alias("bundles"), N.alias("records"))
+    return found.groupBy("commit_num", "user_id").agg(F.max("bundle").alias("bundles"), rows_n().alias("records"))
 
 
 @query("fixed_batches", """SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 7 AS batch FROM events""")
@@ -259,7 +261,7 @@ def upsert_last_wins(spark, sf_dir):
 @query("delete_by_query", """SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
 def delete_by_query(spark, sf_dir):
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return M.delete(table(spark, sf_dir, "lineitem").select("l_orderkey"), gone, "l_orderkey").groupBy("l_orderkey").agg(N.alias("n"))
+    return M.delete(table(spark, sf_dir, "lineitem").select("l_orderkey"), gone, "l_orderkey").groupBy("l_orderkey").agg(rows_n().alias("n"))
 
 
 @query("cleanup_dry_run", """SELECT 'orders' AS table_name, count(*) AS rows FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7))""")
@@ -267,7 +269,7 @@ def cleanup_dry_run(spark, sf_dir):
     who = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(who, "o_custkey", "left_semi")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey", "left_semi")
-    return orders.agg(N.alias("rows")).select(F.lit("orders").alias("table_name"), "rows").union(lines.agg(N.alias("rows")).select(F.lit("lineitem"), "rows"))
+    return orders.agg(rows_n().alias("rows")).select(F.lit("orders").alias("table_name"), "rows").union(lines.agg(rows_n().alias("rows")).select(F.lit("lineitem"), "rows"))
 
 
 @query("constraint_violations", """SELECT 'status' AS rule, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS n FROM orders UNION ALL SELECT 'price', count(*) FILTER (o_totalprice <= 1000) FROM orders UNION ALL SELECT 'required', count(*) FILTER (o_custkey IS NULL OR coalesce(o_orderpriority, '') = '') FROM orders""")
@@ -294,7 +296,7 @@ def pending_partial_index(spark, sf_dir):
 def systematic_sample(spark, sf_dir):
     """Every n-th document by size, twenty in all (a sampling operator)."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    total = rows.agg(N.alias("n"))
+    total = rows.agg(rows_n().alias("n"))
     nth = F.row_number().over(Window.orderBy("n_chars", "doc_id"))
     placed = rows.join(F.broadcast(total)).withColumn("r", nth)
     return placed.where((F.col("r") - 1) % F.greatest(F.floor(F.col("n") / 20), F.lit(1)) == 0).orderBy("r").limit(20).select("doc_id")
@@ -329,7 +331,7 @@ def shared_value_pairs(spark, sf_dir):
     """Orders sharing suppliers with a stated set of orders."""
     pairs = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey").distinct()
     asked = pairs.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "a")
-    return asked.join(pairs.withColumnRenamed("l_orderkey", "b"), "l_suppkey").where("a < b").groupBy("a", "b").agg(N.alias("shared"))
+    return asked.join(pairs.withColumnRenamed("l_orderkey", "b"), "l_suppkey").where("a < b").groupBy("a", "b").agg(rows_n().alias("shared"))
 
 
 @query("co_occurrence_pairs", """SELECT l_orderkey, least(a, b) AS a, greatest(a, b) AS b, distance FROM (SELECT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b, abs(x.l_linenumber - y.l_linenumber) AS distance FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)""")
@@ -349,7 +351,7 @@ def metadata_enrichment(spark, sf_dir):
 
 @query("repository_counts", """SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size, max(doc_id) AS last_id FROM documents GROUP BY source""")
 def repository_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(N.alias("n"), F.sum("n_chars").alias("size"), F.max("doc_id").alias("last_id"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(rows_n().alias("n"), F.sum("n_chars").alias("size"), F.max("doc_id").alias("last_id"))
 
 
 @query("section_unpivot", """SELECT p_partkey, section, text FROM (SELECT p_partkey, 'description' AS section, p_name AS text FROM part UNION ALL SELECT p_partkey, 'highlights', CASE WHEN p_size > 20 THEN p_type ELSE '' END FROM part UNION ALL SELECT p_partkey, 'results', p_brand FROM part) WHERE trim(text) <> ''""")
@@ -361,4 +363,4 @@ def section_unpivot(spark, sf_dir):
 @query("max_score_per_group", """SELECT label, max(norm) AS best, count(*) AS hits FROM (SELECT label, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS norm FROM embeddings) GROUP BY label""")
 def max_score_per_group(spark, sf_dir):
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 6)
-    return table(spark, sf_dir, "embeddings").select("label", norm.alias("norm")).groupBy("label").agg(F.max("norm").alias("best"), N.alias("hits"))
+    return table(spark, sf_dir, "embeddings").select("label", norm.alias("norm")).groupBy("label").agg(F.max("norm").alias("best"), rows_n().alias("hits"))

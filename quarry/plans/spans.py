@@ -9,7 +9,11 @@ from quarry.operators import spans as P
 from quarry.registry import query
 from quarry.session import table
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
+
+
 PARA_CTE = """pr AS (SELECT doc_id, n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, text
   FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
 
@@ -81,7 +85,7 @@ def mapping_metrics(spark, sf_dir):
     spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("doc_id", (F.col("k") * 300).cast("bigint").alias("lo"), (F.col("k") * 300 + 5).cast("bigint").alias("hi"))
     hits = P.overlap_join(spans, chunks).select("doc_id", "lo").distinct().withColumn("hit", F.lit(True))
     joined = spans.join(hits, ["doc_id", "lo"], "left")
-    return joined.agg(N.alias("total"), F.count("hit").alias("mapped"), F.count_if(F.col("hit").isNull()).alias("no_chunk_overlap"))
+    return joined.agg(rows_n().alias("total"), F.count("hit").alias("mapped"), F.count_if(F.col("hit").isNull()).alias("no_chunk_overlap"))
 
 
 @query("chunk_positions", f"WITH {PARA_CTE}, f AS (SELECT doc_id, n, pr.text AS chunk, strpos(documents.text, trim(pr.text)) - 1 AS start FROM pr JOIN documents USING (doc_id) WHERE trim(pr.text) <> '') SELECT doc_id, n, start, start + length(trim(chunk)) AS stop FROM f WHERE start >= 0")
@@ -117,7 +121,7 @@ def match_diagnostics(spark, sf_dir):
 @query("chunk_statistics", f"WITH {PARA_CTE} SELECT n % 5 AS level, count(*) AS chunks, count(*) FILTER (length(text) > 200) AS split, CAST(sum(length(text)) AS BIGINT) AS size FROM pr WHERE text <> '' GROUP BY 1")
 def chunk_statistics(spark, sf_dir):
     return P.paragraphs(table(spark, sf_dir, "documents")).groupBy((F.col("n") % 5).alias("level")).agg(
-        N.alias("chunks"), F.count_if(F.length("text") > 200).alias("split"), F.sum(F.length("text")).alias("size")
+        rows_n().alias("chunks"), F.count_if(F.length("text") > 200).alias("split"), F.sum(F.length("text")).alias("size")
     )
 
 
@@ -137,7 +141,7 @@ def section_parts(spark, sf_dir):
     classes = F.create_map(F.lit(0), F.lit("sg:Section"), F.lit(1), F.lit("sg:Paragraph"), F.lit(2), F.lit("sg:ListItem"))
     w = Window.partitionBy("doc_id")
     return P.paragraphs(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n", F.element_at(classes, F.col("n") % 3).alias("class"), F.row_number().over(w.orderBy("n")).alias("part"), N.over(w).alias("parts")
+        "doc_id", "n", F.element_at(classes, F.col("n") % 3).alias("class"), F.row_number().over(w.orderBy("n")).alias("part"), rows_n().over(w).alias("parts")
     )
 
 
@@ -146,4 +150,4 @@ def lines_of_layout(spark, sf_dir):
     """Blocks of one kind joined in order."""
     rows = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linenumber").alias("t"))))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("text"), N.alias("lines"))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("text"), rows_n().alias("lines"))

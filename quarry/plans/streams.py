@@ -8,7 +8,9 @@ from quarry.registry import query
 from quarry.session import scratch, table
 from quarry.streaming import changes as S
 
-N = F.count(F.lit(1))
+
+def rows_n():
+    return F.count(F.lit(1))
 
 
 @query("stream_bundles", """WITH t AS (SELECT user_id AS key, event_id // 100 AS commit_num, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY event_id // 100, user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS turn FROM events)
@@ -22,7 +24,7 @@ def stream_bundles(spark, sf_dir):
         S.bundled(records).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     S.drain(S.table_stream(spark, sf_dir, "events"), each, scratch(spark))
-    return spark.read.parquet(out).groupBy("commit_num", "key").agg(F.max("bundle").alias("bundles"), N.alias("records"))
+    return spark.read.parquet(out).groupBy("commit_num", "key").agg(F.max("bundle").alias("bundles"), rows_n().alias("records"))
 
 
 @query("stream_upsert", """SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
@@ -50,7 +52,7 @@ def stream_fan_out(spark, sf_dir):
     root = scratch(spark)
     sinks = {"errors": lambda b: b.where("event_type = 'error'").select("event_id"), "users": lambda b: b.select("user_id").distinct()}
     S.drain(S.table_stream(spark, sf_dir, "events"), S.fan_out(sinks, root), scratch(spark))
-    errors = spark.read.parquet(f"{root}/errors").agg(N.alias("n")).select(F.lit("errors").alias("sink"), "n")
+    errors = spark.read.parquet(f"{root}/errors").agg(rows_n().alias("n")).select(F.lit("errors").alias("sink"), "n")
     return errors.union(spark.read.parquet(f"{root}/users").agg(F.countDistinct("user_id").alias("n")).select(F.lit("users"), "n"))
 
 

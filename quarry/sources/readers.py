@@ -87,7 +87,7 @@ def read_turtle_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(block): statements of Turtle files that end with a full stop on a line's end;
     prefixes and comments go."""
     blocks = spark.read.option("lineSep", " .\n").text(path).select(F.regexp_replace("value", r"(?m)^\s*(?:#|@prefix).*$", "").alias("b"))
-    return blocks.select(F.trim(F.regexp_replace("b", r"\s*\.\s*$", "")).alias("block")).where(F.trim("block") != "")
+    return blocks.select(F.regexp_replace("b", r"^\s+|\s*\.?\s*$", "").alias("block")).where("block != ''")
 
 
 def feature_codes(spark: SparkSession, path: str) -> DataFrame:
