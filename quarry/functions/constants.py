@@ -46,7 +46,7 @@ ORG_ABBREVIATIONS = {
     "National Aeronautics and Space Administration": "nasa",
 }
 PREFIXES = {
-    "kr": "http://solve.global/knowledge-commons/schema#", "foaf": "http://xmlns.com/foaf/0.1/",
+    "kr": "http://example.org/schema#", "foaf": "http://xmlns.com/foaf/0.1/",
     "schema": "https://schema.org/", "dcterms": "http://purl.org/dc/terms/",
     "skos": "http://www.w3.org/2004/02/skos/core#", "qudt": "http://qudt.org/schema/qudt/",
     "time": "http://www.w3.org/2006/time#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#",

@@ -140,3 +140,26 @@ def subject_documents(data: DataFrame) -> DataFrame:
     """(s, predicates): a map from predicate to the list of its values with graph."""
     per = data.groupBy("s", "p").agg(F.array_sort(F.collect_set(F.struct(F.col("o").alias("value"), F.col("g").alias("graph")))).alias("values"))
     return per.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "values")))).alias("predicates"))
+
+
+def whitelisted(data: DataFrame, rules: dict[str, Sequence[str]]) -> DataFrame:
+    """Triples whose graph lists their predicate: a semi join with a small rule table."""
+    pairs = data.sparkSession.createDataFrame([(g, p) for g, ps in rules.items() for p in ps], "g string, p string")
+    return data.join(F.broadcast(pairs), ["g", "p"], "left_semi").select(*data.columns)
+
+
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def indexable(data: DataFrame, text_types: Sequence[str] = ("string", "langString")) -> DataFrame:
+    """Statements a text index takes: no blank subjects; string literals, and any
+    object of rdf:type."""
+    plain = F.col("o_datatype").isNull() | F.substring_index("o_datatype", "#", -1).isin(*text_types)
+    text = (F.col("o_kind") == "literal") & plain
+    return data.where(~F.col("s").startswith("_:") & (text | (F.col("p") == RDF_TYPE)))
+
+
+def indexable_properties(records: DataFrame, edges: bool = False) -> DataFrame:
+    """Property-graph records (type, dataType) with string values; edges on request."""
+    kinds = ["vl", "vp", "e", "ep"] if edges else ["vl", "vp"]
+    return records.where(F.col("type").isin(*kinds) & (F.col("dataType") == "String"))

@@ -223,3 +223,19 @@ def test_text_cases(spark):
     assert one(spark, "07 in 2012, 12").select(T.years(F.col("v"))).first()[0] == ["2012"]
     lists = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "v array<string>").select(T.oxford_list(F.col("v"))).collect()
     assert [r[0] for r in lists] == ["", "a", "a and b", "a, b, and c"]
+
+
+def test_index_filters(spark):
+    from quarry.functions.constants import INDEXED_PREDICATES
+
+    label, name = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.geonames.org/ontology#name"
+    places = "http://www.geonames.org/ontology/data"
+    rows = [
+        ("a", name, "x", "literal", None, places), ("a", label, "x", "literal", None, places), ("_:b", name, "x", "literal", None, places),
+        ("a", name, "1", "literal", "http://www.w3.org/2001/XMLSchema#integer", places), ("a", G.RDF_TYPE, "t", "iri", None, places), ("a", "p", "t", "iri", None, None),
+    ]
+    data = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, g string")
+    assert G.whitelisted(data, INDEXED_PREDICATES).count() == 3
+    assert sorted((r.s, r.p) for r in G.indexable(data).collect()) == sorted([("a", name), ("a", label), ("a", G.RDF_TYPE)])
+    records = spark.createDataFrame([("vp", "String"), ("vp", "Int"), ("e", "String")], "type string, dataType string")
+    assert G.indexable_properties(records).count() == 1 and G.indexable_properties(records, edges=True).count() == 2
