@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from quarry.session import ship_code
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -14,7 +17,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     def add(function: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark, sf_dir):
+            ship_code(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql
         return function

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,27 @@ def scratch(spark: SparkSession) -> str:
             _own_scratch.append(tempfile.mkdtemp(prefix="quarry-"))
         root = f"file://{_own_scratch[0]}"
     return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once per application.
+
+    It goes out through Spark's own file server, so executors need neither a shared
+    folder nor an installation.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "quarry_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
