@@ -6,17 +6,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship_code
+
 #: Bytes of one Arrow batch sent to a Python worker, where the session sets none.
 BATCH_BYTES = 8 << 20
 #: Rows of one Arrow batch: texts can be long.
 BATCH_ROWS = 1000
 
-_shipped: set[str] = set()
 _own_root: list[str] = []
 
 
@@ -25,26 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable on every executor and keep Arrow batches small.
-
-    The package goes out through Spark's own file server, so executors need no
-    shared folder for it.
-    """
+    """Make this package importable on every executor and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(), "quarry_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(os.path.join(top, "quarry")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, top))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+    ship_code(spark)
 
 
 def shared_root(spark: SparkSession) -> str:
