@@ -163,3 +163,45 @@ def indexable_properties(records: DataFrame, edges: bool = False) -> DataFrame:
     """Property-graph records (type, dataType) with string values; edges on request."""
     kinds = ["vl", "vp", "e", "ep"] if edges else ["vl", "vp"]
     return records.where(F.col("type").isin(*kinds) & (F.col("dataType") == "String"))
+
+
+class Ontology:
+    """Lookups over the triples of an ontology."""
+
+    def __init__(self, data: DataFrame, label: str = "name", parent: str = "within"):
+        self.data, self.label, self.parent = data, label, parent
+
+    def by_type(self, kind: str) -> DataFrame:
+        return self.data.where((F.col("p") == RDF_TYPE) & (F.col("o") == kind)).select("s")
+
+    def by_uri(self, uri: str) -> DataFrame:
+        return self.data.where(F.col("s") == uri).select("p", "o")
+
+    def by_label(self, text: str, edits: int = 2) -> DataFrame:
+        """Concepts whose label contains the text or is a few edits from it."""
+        low = F.lower("o")
+        near = low.contains(text.lower()) | (F.levenshtein(low, F.lit(text.lower())) <= edits)
+        return self.data.where((F.col("p") == self.label) & near).select("s", F.col("o").alias("label"))
+
+    def relations(self, uri: str) -> DataFrame:
+        """Links from and to a concept."""
+        out = self.data.where((F.col("s") == uri) & (F.col("o_kind") == "iri")).select(F.lit("out").alias("direction"), "p", F.col("o").alias("other"))
+        return out.union(self.data.where((F.col("o") == uri) & (F.col("o_kind") == "iri")).select(F.lit("in"), "p", "s"))
+
+    def problems(self) -> DataFrame:
+        """(s, problem): concepts without a label or with a parent that is none."""
+        subjects = self.data.select("s").distinct()
+        unlabelled = subjects.join(self.data.where(F.col("p") == self.label).select("s"), "s", "left_anti").withColumn("problem", F.lit("no_label"))
+        links = self.data.where(F.col("p") == self.parent).select("s", F.col("o").alias("up"))
+        lost = links.join(subjects.withColumnRenamed("s", "up"), "up", "left_anti").select("s", F.lit("unknown_parent").alias("problem"))
+        return unlabelled.union(lost)
+
+    def statistics(self) -> DataFrame:
+        return self.data.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"))
+
+
+def gazetteer_ids(rows: DataFrame, names: DataFrame, column: str = "country") -> DataFrame:
+    """rows with uri from names(name, uri), compared without case and outer blanks;
+    null where there is none."""
+    known = names.select(F.lower(F.trim("name")).alias("_name"), "uri").dropDuplicates(["_name"])
+    return rows.withColumn("_name", F.lower(F.trim(column))).join(known, "_name", "left").drop("_name")

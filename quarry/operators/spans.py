@@ -160,3 +160,62 @@ def reconstructed(chunks: DataFrame, docs: DataFrame, key: str = "doc_id") -> Da
     return chunks.join(docs.select(key, "text"), key).withColumn("_at", find("text", "chunk")).select(*chunks.columns, "_at.lo", "_at.hi")
 
 
+
+
+def structured(blocks: list[tuple[str, str]], least: int = 150, most: int = 1200, overlap: int = 1) -> list[tuple[str, str, list[str]]]:
+    """(context, text, kinds) chunks of ordered (kind, text) blocks.
+
+    A header starts a chunk and is the context of what follows; tables and lists
+    stay whole even if they are over `most`; paragraphs over it are cut at
+    sentences, and such a chunk repeats the last `overlap` sentences of the one
+    before. A chunk below `least` joins the one before it under the same header.
+    """
+    out: list[tuple[str, str, list[str]]] = []
+    context, held, kinds = "", [], []
+
+    def flush() -> None:
+        nonlocal held, kinds
+        text = "\n".join(held)
+        if text:
+            last = out[-1] if out else None
+            if last and len(text) < least and last[0] == context and len(last[1]) + len(text) < most:
+                out[-1] = (context, f"{last[1]}\n{text}", last[2] + [k for k in kinds if k not in last[2]])
+            else:
+                out.append((context, text, list(dict.fromkeys(kinds))))
+        held, kinds = [], []
+
+    for kind, text in blocks:
+        if kind == "header":
+            flush()
+            context = text
+            continue
+        pieces = [text]
+        if kind == "paragraph" and len(text) > most:
+            pieces, part = [], []
+            for sentence in re.split(r"(?<=[.!?])\s+", text):
+                if part and len(" ".join([*part, sentence])) > most:
+                    pieces.append(" ".join(part))
+                    part = part[-overlap:] if overlap else []
+                part.append(sentence)
+            pieces.append(" ".join(part))
+        for piece in pieces:
+            if held and len("\n".join([*held, piece])) > most:
+                flush()
+            held.append(piece)
+            kinds.append(kind)
+    flush()
+    return out
+
+
+def structured_chunks(blocks: DataFrame, least: int = 150, most: int = 1200, overlap: int = 1) -> DataFrame:
+    """(doc_id, chunk_index, context, text, kinds) of blocks (doc_id, n, kind, text)."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("n")
+        found = structured(list(zip(frame["kind"], frame["text"])), least, most, overlap)
+        rows = [(frame["doc_id"].iloc[0], i, *chunk) for i, chunk in enumerate(found)]
+        return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "context", "text", "kinds"])
+
+    return blocks.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n", "kind", "text").groupBy("doc_id").applyInPandas(
+        fold, "doc_id bigint, chunk_index int, context string, text string, kinds array<string>"
+    )

@@ -268,3 +268,27 @@ def bag_union(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     parts = [part.where(F.col(c).contains(t)).select(F.lit(f).alias("field"), "p_partkey") for f, c, t in (("name", "p_name", "a"), ("type", "p_type", "A"), ("brand", "p_brand", "1"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("concept_lookup", f"""WITH {TRIPLES_CTE} SELECT 'label' AS kind, s, o AS value FROM t WHERE p = 'name' AND (contains(lower(o), 'an') OR levenshtein(lower(o), 'asia') <= 2)
+    UNION ALL SELECT 'uri', p, o FROM t WHERE s = 'n4' UNION ALL SELECT 'in', s, p FROM t WHERE o = 'r2' AND o_kind = 'iri' UNION ALL SELECT 'no_label', s, '' FROM (SELECT DISTINCT s FROM t) WHERE s NOT IN (SELECT s FROM t WHERE p = 'name')""")
+def concept_lookup(spark, sf_dir):
+    """Lookups by label, uri and relation, and validation."""
+    o = G.Ontology(_triples(spark, sf_dir))
+    label = o.by_label("asia").union(o.by_label("an", 0)).distinct().select(F.lit("label").alias("kind"), "s", F.col("label").alias("value"))
+    uri = o.by_uri("n4").select(F.lit("uri"), "p", "o")
+    links = o.relations("r2").where("direction = 'in'").select(F.lit("in"), "other", "p")
+    return label.union(uri).union(links).union(o.problems().where("problem = 'no_label'").select("problem", "s", F.lit("")))
+
+
+@query("ontology_statistics", f"WITH {TRIPLES_CTE} SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM t GROUP BY p")
+def ontology_statistics(spark, sf_dir):
+    return G.Ontology(_triples(spark, sf_dir)).statistics()
+
+
+@query("gazetteer_lookup", "SELECT c_custkey, CASE WHEN n_nationkey < 20 THEN 'gn:' || n_nationkey END AS uri FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def gazetteer_lookup(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    names = nation.where("n_nationkey < 20").select(F.lower("n_name").alias("name"), F.concat(F.lit("gn:"), "n_nationkey").alias("uri"))
+    rows = table(spark, sf_dir, "customer").join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit(" "), "n_name").alias("country")), "c_nationkey")
+    return G.gazetteer_ids(rows.select("c_custkey", "country"), names).select("c_custkey", "uri")

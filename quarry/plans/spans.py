@@ -151,3 +151,11 @@ def lines_of_layout(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linenumber").alias("t"))))
     return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("text"), rows_n().alias("lines"))
+
+
+@query("structured_chunks")
+def structured_chunks(spark, sf_dir):
+    """Structure-aware chunks of paragraphs, every tenth a header; checked by tests."""
+    kind = F.when(F.col("n") % 10 == 0, "header").when(F.col("n") % 10 == 5, "list").otherwise("paragraph")
+    blocks = P.paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "n", kind.alias("kind"), "text")
+    return P.structured_chunks(blocks).select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5(F.concat_ws("|", "context", "text")).alias("digest"))

@@ -239,3 +239,16 @@ def test_index_filters(spark):
     assert sorted((r.s, r.p) for r in G.indexable(data).collect()) == sorted([("a", name), ("a", label), ("a", G.RDF_TYPE)])
     records = spark.createDataFrame([("vp", "String"), ("vp", "Int"), ("e", "String")], "type string, dataType string")
     assert G.indexable_properties(records).count() == 1 and G.indexable_properties(records, edges=True).count() == 2
+
+
+def test_structured_chunks(spark):
+    blocks = [("header", "One"), ("paragraph", "a" * 100), ("list", "* " * 700), ("paragraph", "Short."), ("header", "Two"), ("paragraph", " ".join(f"Sentence number {i}." for i in range(100)))]
+    found = P.structured(blocks)
+    assert found[0] == ("One", "a" * 100, ["paragraph"]) and found[1][1] == "* " * 700 and found[2] == ("One", "Short.", ["paragraph"])
+    two = [c for c in found if c[0] == "Two"]
+    assert len(two) > 1 and all(len(c[1]) <= 1200 for c in two) and two[1][1].startswith(two[0][1].rsplit(". ", 1)[1])
+    assert P.structured([]) == [] and P.structured([("header", "x")]) == []
+    rows = [(1, n, k, t) for n, (k, t) in enumerate(blocks)]
+    random.Random(1).shuffle(rows)
+    got = P.structured_chunks(spark.createDataFrame(rows, "doc_id long, n int, kind string, text string")).orderBy("chunk_index").collect()
+    assert [(r.context, r.text, r.kinds) for r in got] == found
