@@ -27,14 +27,15 @@ def bm25(docs: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]],
     """(doc_id, score) of documents with any term; score is the best field's,
     times its boost, to six decimals. restrict(doc_id) limits the documents
     scored, not the statistics."""
-    columns = [F.col(id_col).alias("doc_id")]
-    for name, (value, _) in fields.items():
-        words = T.tokens(value)
+    columns = [F.col("doc_id")]
+    tokenised = docs.select(F.col(id_col).alias("doc_id"), *[T.tokens(value).alias(f"{name}_words") for name, (value, _) in fields.items()])
+    for name in fields:
+        words = F.col(f"{name}_words")
         columns += [F.size(words).alias(f"{name}_n")]
         columns += [
             F.size(F.filter(words, _equals(term))).alias(f"{name}_{at}") for at, term in enumerate(terms)
         ]
-    counted = docs.select(*columns)
+    counted = tokenised.select(*columns)
     stats = counted.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.avg(f"{name}_n").alias(f"{name}_avg") for name in fields],

@@ -14,11 +14,15 @@ from quarry.functions import constants as C
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, start, text): non-empty parts with their half-open code-point offsets."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, separator)).alias("n", "text"))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + len(separator)).over(before), F.lit(0))
-    return parts.withColumn("start", start).where("text != ''").select("doc_id", "n", "start", "text")
+    """(doc_id, n, start, text): non-empty parts with their half-open code-point
+    offsets, which are summed inside the row, so texts are not shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(text_col, re.escape(separator)).alias("parts"))
+    zero = F.array(F.lit(0).cast("bigint"))
+    starts = F.aggregate(
+        "parts", zero, lambda done, part: F.concat(done, F.array(F.element_at(done, -1) + F.length(part) + len(separator)))
+    )
+    placed = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), starts.alias("start"))).alias("n", "x"))
+    return placed.select("doc_id", "n", "x.start", "x.text").where("text != ''")
 
 
 def numbered_sections(sections: DataFrame) -> DataFrame:
