@@ -294,11 +294,15 @@ def pending_partial_index(spark, sf_dir):
 
 @query("systematic_sample", """WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id FROM s WHERE (r - 1) % greatest(n // 20, 1) = 0 ORDER BY r LIMIT 20""")
 def systematic_sample(spark, sf_dir):
-    """Every n-th document by size, twenty in all (a sampling operator)."""
+    """Every n-th document by size, twenty in all (a sampling operator). Places come
+    from counts per size and ranks within a size, so no task sorts all documents."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    total = rows.agg(rows_n().alias("n"))
-    nth = F.row_number().over(Window.orderBy("n_chars", "doc_id"))
-    placed = rows.join(F.broadcast(total)).withColumn("r", nth)
+    sizes = rows.groupBy("n_chars").agg(rows_n().alias("c"))
+    smaller = F.sum("c").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("n_chars", F.coalesce(smaller, F.lit(0)).alias("before"))
+    total = sizes.agg(F.sum("c").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
+    placed = rows.join(before, "n_chars").withColumn("r", F.col("before") + nth).join(F.broadcast(total))
     return placed.where((F.col("r") - 1) % F.greatest(F.floor(F.col("n") / 20), F.lit(1)) == 0).orderBy("r").limit(20).select("doc_id")
 
 
