@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +38,7 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_scratch:
             _own_scratch.append(tempfile.mkdtemp(prefix="quarry-"))
+            atexit.register(shutil.rmtree, _own_scratch[0], ignore_errors=True)
         root = f"file://{_own_scratch[0]}"
     return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
