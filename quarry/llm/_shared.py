@@ -3,7 +3,9 @@ intermediate tables, code shipping and connected components."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="quarry-"))
+        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
     return f"file://{_own_root[0]}"
 
 
