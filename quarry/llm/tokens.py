@@ -40,7 +40,7 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = text.split()
+        words = text.lower().split()  # the vocabulary is lower case; A-Z need no rows of their own
         known = self._known
         parts = list(map(known.get, words))
         if None in parts:
