@@ -6,13 +6,16 @@ hash join; the values that stand in the placeholders are the slots. Matches of
 one item along one diagonal are a candidate passage, and it counts if its slots
 are consistent: equal values in the item stay equal in the document and different
 ones different. So a question with new numbers or names is found like a verbatim
-one, and a text that only shares the shape of some tokens is not.
+one, and a text that only shares the shape of some tokens is not. A run of names
+or of numbers is one placeholder, and matches on neighbouring diagonals add up,
+so names of another length and inserted or deleted tokens hide nothing.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -28,6 +31,8 @@ from quarry.llm.wordhash import Prefix
 #: Canonical tokens of a window, literal tokens it needs, and the share of an
 #: item's windows that make a leak.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Tokens inserted or deleted in all between matches that are added up.
+DRIFT = 8
 #: Windows of benchmark items that are broadcast at a time; a larger benchmark is
 #: matched in blocks.
 BLOCK_WINDOWS = 1_000_000
@@ -54,6 +59,11 @@ def _hash(kind: str) -> int:
 _HASH_OF = np.array([0, _hash("number"), _hash("unit"), _hash("name"), _hash("number unit")], dtype=np.uint64)
 
 
+def _power(n: np.ndarray) -> np.ndarray:
+    """Powers of an odd number modulo 2 ** 64, for the order of tokens in a run."""
+    return np.cumprod(np.full(int(n.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))[n - 1] * (n > 0) + (n == 0)
+
+
 class Tokens:
     """What single tokens are, kept for tokens that repeat. With a vocabulary,
     literal tokens outside it need no hash of their own: they match nothing."""
@@ -93,9 +103,11 @@ class Tokens:
             code |= self._slot(low) << 6
         return code
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Canonical hash, hash of the value, and whether it is a slot, for each
-        token that is more than punctuation."""
+        token that is more than punctuation, a run of names or of numbers being
+        one; then hash of the value and slot of each token by itself, and where in
+        these each of the former begins, with the end."""
         known = self._known
         if len(known) > CACHED_TOKENS:
             known.clear()
@@ -113,46 +125,45 @@ class Tokens:
         after_number = np.concatenate(([False], kind[:-1] == _NUM))[: code.size]
         kind[(kind == _UNIT) & ~after_number] = _LITERAL
         full = (code & 32) == 0
-        kind, value = kind[full], self._hash[code[full] >> 6]
-        return np.where(kind == _LITERAL, value, _HASH_OF[kind]), value, kind != _LITERAL
+        kind, raw = kind[full], self._hash[code[full] >> 6]
+        again = np.concatenate(([False], (kind[1:] == kind[:-1]) & ((kind[1:] == _NAME) | (kind[1:] == _NUM))))[: kind.size]
+        begins = np.flatnonzero(~again)
+        starts, value = np.append(begins, kind.size), raw
+        if begins.size < kind.size:
+            nth = np.arange(kind.size) - np.repeat(begins, np.diff(starts))
+            value = np.add.reduceat(raw * _power(nth), begins, dtype=np.uint64)
+        slot = kind != _LITERAL
+        kind = kind[begins]
+        return np.where(kind == _LITERAL, value, _HASH_OF[kind]), value, slot[begins], raw, slot, starts
 
 
 def vocabulary(texts: list[str]) -> frozenset[str]:
     return frozenset(word.strip(_PUNCTUATION).lower() for text in texts for word in text.split())
 
 
-def windows(words: list[bytes], tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, value hashes and slots of a text. Fewer tokens than width: one window of them all."""
-    canon, value, slot = tokens.read(words)
-    if not canon.size:
-        return canon, value, slot
-    return Prefix(canon).windows(min(width, canon.size)), value, slot
-
-
-class Index:
-    """The windows of a block of benchmark items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, coverage: float):
-        tokens, self.width, self.coverage = Tokens(), width, coverage
-        self.items, hashes, owners, places = [], [], [], []
-        for item_id, text in items:
-            found, value, slot = windows(text.encode("utf-8", "surrogatepass").split(), tokens, width)
-            held = min(width, value.size)
-            self.items.append((item_id, value, slot, found.size))
-            free = np.cumsum(np.concatenate(([0], ~slot)))
-            # a window of placeholders alone says nothing; a short item is taken whole
-            use = np.flatnonzero(free[held:] - free[:-held] >= min(literals, held)) if found.size else []
-            short = held < width
-            hashes += [found[k] ^ np.uint64(held if short else 0) for k in use]
-            owners += [len(self.items) - 1] * len(use)
+class Layer:
+    """Windows of hashes of benchmark items, sorted by hash: of templates, or of
+    plain values. Fewer tokens than width: one window of them all."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, literals: int):
+        self.width, self.values, hashes, owners, places, self.dropped = width, [v for _, v, _ in rows], [], [], [], []
+        for owner, (canon, value, slot) in enumerate(rows):
+            held = min(width, canon.size)
+            use, found = [], Prefix(canon).windows(held) if held else canon
+            if held:
+                free = np.cumsum(np.concatenate(([0], ~slot)))
+                # a window of placeholders alone says nothing; a short item is taken whole
+                use = np.flatnonzero(free[held:] - free[:-held] >= min(literals, held))
+            hashes += [found[k] ^ np.uint64(held if held < width else 0) for k in use]
+            owners += [owner] * len(use)
             places += list(use)
+            self.dropped.append(held > 0 and (len(use) < found.size or found.size < 2))
         order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
         self.hashes = np.array(hashes, dtype=np.uint64)[order]
         self.owners = np.array(owners, dtype=np.int64)[order]
         self.places = np.array(places, dtype=np.int64)[order]
-        self.short = sorted({v.size for _, v, _, _ in self.items if 0 < v.size < width})
-        self.usable = np.bincount(self.owners, minlength=len(self.items))
-        self.vocabulary = vocabulary([text for _, text in items])
+        self.short = sorted({v.size for v in self.values if 0 < v.size < width})
+        self.usable = np.bincount(self.owners, minlength=len(rows))
 
     def _hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.searchsorted(self.hashes, found, side="left")
@@ -162,33 +173,71 @@ class Index:
         rows = np.repeat(low[near], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
         return np.repeat(near, counts), rows
 
-    def leaks(self, words: list[bytes], tokens: Tokens) -> list[tuple[int, int, int, bool, int, int]]:
-        """(item_id, windows matched, windows of the item, verbatim, first token, tokens) per item that leaks."""
-        canon, value, slot = tokens.read(words)
+    def passages(self, canon: np.ndarray, value: np.ndarray, coverage: float) -> dict[int, tuple]:
+        """(windows matched, windows, verbatim, first token, last token) of the
+        best consistent passage of each owner that has one."""
         if not canon.size or not self.hashes.size:
-            return []
-        prefix, diagonals = Prefix(canon), defaultdict(list)
+            return {}
+        prefix, matched = Prefix(canon), defaultdict(lambda: defaultdict(list))
         for held in [self.width, *self.short]:
             if held <= canon.size:
                 found = prefix.windows(held) ^ np.uint64(held if held < self.width else 0)
                 for at, row in zip(*self._hits(found)):
-                    owner, place = int(self.owners[row]), int(self.places[row])
-                    diagonals[owner, int(at) - place].append(place)
+                    place = int(self.places[row])
+                    matched[int(self.owners[row])][int(at) - place].append(place)
         best: dict[int, tuple] = {}
-        for (owner, shift), places in diagonals.items():
-            item_id, theirs, _, _ = self.items[owner]
-            usable, width = int(self.usable[owner]), min(self.width, theirs.size)
-            if len(places) < self.coverage * usable:
+        for owner, diagonals in matched.items():
+            least = coverage * int(self.usable[owner])
+            if len(set().union(*diagonals.values())) < least:
                 continue
-            covered = np.unique(np.add.outer(np.array(places), np.arange(width)))
-            a, b = theirs[covered], value[covered + shift]
-            pairs = len(set(zip(a.tolist(), b.tolist())))
-            if pairs != len(set(a.tolist())) or pairs != len(set(b.tolist())):
-                continue
-            first = int(covered[0]) + shift
-            row = (item_id, len(places), usable, bool((a == b).all()), first, int(covered[-1] - covered[0]) + 1)
-            if owner not in best or row[1:4:2] > best[owner][1:4:2]:
-                best[owner] = row
+            shifts = sorted(diagonals)
+            for shift in shifts:
+                alone = dict.fromkeys(diagonals[shift], shift)
+                near = shifts[bisect_left(shifts, shift - DRIFT) : bisect_right(shifts, shift + DRIFT)]
+                tries = [alone]
+                if len(near) > 1:
+                    added: dict[int, int] = {}
+                    for s in sorted(near, key=lambda s: (abs(s - shift), s)):
+                        for place in diagonals[s]:
+                            added.setdefault(place, s)
+                    if len(added) > len(alone):
+                        tries.append(added)
+                for at in tries:
+                    row = self._consistent(owner, at, value) if len(at) >= least else None
+                    if row and (owner not in best or row[0:3:2] > best[owner][0:3:2]):
+                        best[owner] = row
+        return best
+
+    def _consistent(self, owner: int, at: dict[int, int], value: np.ndarray) -> tuple | None:
+        theirs = self.values[owner]
+        width = np.arange(min(self.width, theirs.size))
+        places, shifts = np.array(list(at)), np.array(list(at.values()))
+        mine = np.add.outer(places, width).ravel()
+        over = mine + np.repeat(shifts, width.size)
+        a, b = theirs[mine], value[over]
+        pairs = len(set(zip(a.tolist(), b.tolist())))
+        if pairs != len(set(a.tolist())) or pairs != len(set(b.tolist())):
+            return None
+        same = bool((a == b).all()) and bool((shifts == shifts[0]).all())
+        return len(at), int(self.usable[owner]), same, int(over.min()), int(over.max())
+
+
+class Index:
+    """A block of benchmark items."""
+
+    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, coverage: float):
+        tokens, self.coverage = Tokens(), coverage
+        self.items = [i for i, _ in items]
+        read = [tokens.read(text.encode("utf-8", "surrogatepass").split()) for _, text in items]
+        self.templates = Layer([r[:3] for r in read], width, literals)
+        self.vocabulary = vocabulary([text for _, text in items])
+
+    def leaks(self, words: list[bytes], tokens: Tokens) -> list[tuple[int, int, int, bool, int, int]]:
+        """(item_id, windows matched, windows of the item, verbatim, first token, tokens) per item that leaks."""
+        canon, value, _, _, _, starts = tokens.read(words)
+        best = {}
+        for owner, (n, of, same, first, last) in self.templates.passages(canon, value, self.coverage).items():
+            best[owner] = (self.items[owner], n, of, same, int(starts[first]), int(starts[last + 1] - starts[first]))
         return list(best.values())
 
 
@@ -232,7 +281,8 @@ def annotate(
 ) -> DataFrame:
     """The columns in carry, then leaks, for each row of docs: the benchmark items
     (item_id, text) whose windows the text holds to at least `coverage` along one
-    diagonal with consistent slots. verbatim is false for a re-parameterised item.
+    diagonal or neighbouring ones with consistent slots. verbatim is false for a
+    re-parameterised item. Windows without any literal token match nothing.
 
     Every text is read whole, once per block of the benchmark, and the documents
     are never shuffled. A null, empty or punctuation-only text on either side

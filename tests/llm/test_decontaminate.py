@@ -49,3 +49,10 @@ def test_messy_rows_and_blocks(spark, monkeypatch):
     assert collect(D.find_leaks(docs, items), "doc_id", "item_id") == leaks
     assert D.annotate(docs, items.limit(0)).where("size(leaks) > 0").count() == 0
     assert D.find_leaks(documents(spark, []).limit(0), items).count() == 0
+
+
+def test_inserted_tokens_and_longer_names_are_found(spark):
+    item = f"{words(19, 1)} Paris {words(18, 2)}"
+    changed = [item.replace("Paris", "New York"), item.replace("Paris", "Paris inserted"), item.replace(" Paris", ""), item.replace("Paris", "The Big New York")]
+    docs = documents(spark, [(i, f"{words(30, 40 + i)} {t} {words(30, 50 + i)}") for i, t in enumerate(changed)] + [(9, words(120, 60))])
+    assert collect(D.find_leaks(docs, bench(spark, [(1, item)])), "doc_id", "item_id", "verbatim") == [(i, 1, False) for i in range(4)]
