@@ -9,6 +9,9 @@ ones different. So a question with new numbers or names is found like a verbatim
 one, and a text that only shares the shape of some tokens is not. A run of names
 or of numbers is one placeholder, and matches on neighbouring diagonals add up,
 so names of another length and inserted or deleted tokens hide nothing.
+
+Items that the templates do not cover whole (windows with few literal tokens, at
+most one window) are also matched by the plain values of their tokens.
 """
 
 from __future__ import annotations
@@ -223,21 +226,27 @@ class Layer:
 
 
 class Index:
-    """A block of benchmark items."""
+    """A block of benchmark items: their templates, and the plain values of those
+    that the templates do not cover whole."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, literals: int, coverage: float):
         tokens, self.coverage = Tokens(), coverage
         self.items = [i for i, _ in items]
         read = [tokens.read(text.encode("utf-8", "surrogatepass").split()) for _, text in items]
         self.templates = Layer([r[:3] for r in read], width, literals)
+        none = (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=bool),)
+        plain = [(r[3], r[3], r[4]) if part else none for r, part in zip(read, self.templates.dropped)]
+        self.plain = Layer(plain, width, 1)
         self.vocabulary = vocabulary([text for _, text in items])
 
     def leaks(self, words: list[bytes], tokens: Tokens) -> list[tuple[int, int, int, bool, int, int]]:
         """(item_id, windows matched, windows of the item, verbatim, first token, tokens) per item that leaks."""
-        canon, value, _, _, _, starts = tokens.read(words)
+        canon, value, _, raw, _, starts = tokens.read(words)
         best = {}
         for owner, (n, of, same, first, last) in self.templates.passages(canon, value, self.coverage).items():
             best[owner] = (self.items[owner], n, of, same, int(starts[first]), int(starts[last + 1] - starts[first]))
+        for owner, (n, of, same, first, last) in self.plain.passages(raw, raw, self.coverage).items():
+            best.setdefault(owner, (self.items[owner], n, of, same, first, last - first + 1))
         return list(best.values())
 
 

@@ -56,3 +56,10 @@ def test_inserted_tokens_and_longer_names_are_found(spark):
     changed = [item.replace("Paris", "New York"), item.replace("Paris", "Paris inserted"), item.replace(" Paris", ""), item.replace("Paris", "The Big New York")]
     docs = documents(spark, [(i, f"{words(30, 40 + i)} {t} {words(30, 50 + i)}") for i, t in enumerate(changed)] + [(9, words(120, 60))])
     assert collect(D.find_leaks(docs, bench(spark, [(1, item)])), "doc_id", "item_id", "verbatim") == [(i, 1, False) for i in range(4)]
+
+
+def test_verbatim_items_of_few_literals_are_found(spark):
+    items = [(1, "What is 12 + 35?"), (2, "What is the capital of France?"), (3, "How Many Red Apples Did Alice Buy On Her Long Walk With Uncle Bob Today?")]
+    rows = [(i, f"{words(20, i)} {text} {words(20, i + 9)}") for i, text in items] + [(7, f"{words(20, 7)} What is 12 + 36? {words(20, 8)}"), (8, words(60, 9))]
+    got = collect(D.find_leaks(documents(spark, rows), bench(spark, items)), "doc_id", "item_id")
+    assert {(1, 1), (2, 2), (3, 3)} <= set(got) and not any(d == 8 for d, _ in got)
