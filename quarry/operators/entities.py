@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -94,31 +95,86 @@ def name_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, _normalised(a.lower()), _normalised(b.lower())).ratio()
 
 
+def _grams(text: str) -> list[str]:
+    """Pairs of neighbouring characters, each with its how-manieth occurrence."""
+    seen: Counter[str] = Counter()
+    out = []
+    for at in range(len(text) - 1):
+        gram = text[at : at + 2]
+        seen[gram] += 1
+        out.append(f"{gram}{seen[gram]}")
+    return out
+
+
 def similar_names(names: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
     """(canonical, name): groups of similar names (column name), greedy in sorted
-    order within a block, compared only when both lack a country or share it.
-    The block, by default the first three letters of the normalised base name and
-    its length in tens, bounds a group."""
-    base = F.lower(T.normalise_organisation(T.base_name(F.col("name"))))
-    key = block if block is not None else F.concat_ws(":", F.substring(base, 1, 3), F.floor(F.length(base) / 10).cast("string"))
-    rows = names.select("name").distinct().select("name", T.base_name(F.col("name")).alias("base"), T.country_of(F.col("name")).alias("country"), key.alias("block"))
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        left, out = sorted(zip(frame["name"], frame["base"], frame["country"])), []
-        while left:
-            name, base, country = left.pop(0)
-            kin, rest = [(name, base)], []
-            for other in left:
-                apart = country and other[2] and country != other[2]
-                near = not apart and name_similarity(base, other[1]) >= threshold
-                (kin.append(other[:2]) if near else rest.append(other))
-            left = rest
+    order, compared only when both lack a country or share it; all names with one
+    another, or those of a block if one is given. Null names are left out.
+
+    Pairs are proposed so that none of the threshold t is missed. For a ratio of
+    at least t of two names of s characters together, at least t * s / 2 match,
+    in one block more than characters are left over at most, so at least
+    (1.5 * t - 1) * s - 1 character pairs are common; and the shorter name has
+    t * s / 2 characters. Names too short for a common pair meet by the empty one.
+    The greedy pass is sequential: names that have a partner go to one task.
+    """
+    rate = 1.5 * threshold - 1
+    short = 1 / rate if rate > 0 else float("inf")
+
+    @F.pandas_udf("string")
+    def normalised(bases: pd.Series) -> pd.Series:
+        return bases.map(lambda n: _normalised(n.lower()))
+
+    @F.pandas_udf("array<string>")
+    def grams(norms: pd.Series) -> pd.Series:
+        return norms.map(lambda n: _grams(n) + [""] * (len(n) <= short))
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+    rows = names.select("name").where("name is not null").distinct().select(
+        "name", T.base_name(F.col("name")).alias("base"), T.country_of(F.col("name")).alias("country"), (F.lit("") if block is None else block).alias("block")
+    ).withColumn("norm", normalised("base"))
+    classes = rows.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("n"))
+    held = classes.select("block", "norm", F.length("norm").alias("size"), F.explode(grams("norm")).alias("gram"))
+    other = held.select("block", "gram", F.col("norm").alias("norm_b"), F.col("size").alias("size_b"))
+    total = F.col("size") + F.col("size_b")
+    pairs = (
+        held.join(other, ["block", "gram"]).where(F.col("norm") != F.col("norm_b"))
+        .where(F.least("size", "size_b") * 2 >= total * threshold - 1e-9)
+        .groupBy("block", "norm", "norm_b", "size", "size_b").agg(F.count(F.lit(1)).alias("common"))
+        .where(F.col("common") >= total * rate - 1 - 1e-9)
+        .select("block", "norm", "norm_b").where(ratio("norm", "norm_b") >= threshold)
+    )
+    kin = pairs.select("block", "norm").union(pairs.select("block", F.col("norm_b"))).union(classes.where("n > 1").select("block", "norm"))
+    left = rows.join(kin.distinct().toDF("block", "norm"), ["block", "norm"], "left_semi").select("block", "norm", "name", "base", "country")
+
+    def group(frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(edges["norm"], edges["norm_b"]):
+            near.setdefault(a, []).append(b)
+        members: dict[str, dict[str, tuple]] = {}
+        for name, base, country, norm in sorted(zip(frame["name"], frame["base"], frame["country"], frame["norm"])):
+            members.setdefault(norm, {})[name] = (name, base, country)
+        out, gone = [], set()
+        for name, base, country, norm in sorted(zip(frame["name"], frame["base"], frame["country"], frame["norm"])):
+            if name in gone:
+                continue
+            kin = [(name, base)]
+            del members[norm][name]
+            for close in [norm, *near.get(norm, [])]:
+                for other in list(members[close].values()):
+                    if not (country and other[2] and country != other[2]):
+                        kin.append(other[:2])
+                        gone.add(other[0])
+                        del members[close][other[0]]
             if len(kin) > 1:
                 canonical = min(kin, key=lambda k: (len(k[1]), k[0]))[0]
                 out += [(canonical, k[0]) for k in kin]
         return pd.DataFrame(out, columns=["canonical", "name"])
 
-    return rows.groupBy("block").applyInPandas(group, "canonical string, name string")
+    return left.groupBy("block").cogroup(pairs.toDF("block", "norm", "norm_b").groupBy("block")).applyInPandas(group, "canonical string, name string")
 
 
 def best_names(groups: DataFrame) -> DataFrame:

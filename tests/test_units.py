@@ -78,6 +78,29 @@ def test_similar_names(spark):
     assert dict((r.canonical, r.best) for r in E.best_names(groups).collect())["Alpha Ltd"] == "Alpha Limited"
 
 
+def test_similar_names_equal_all_pairs(spark):
+    draw = random.Random(11)
+    names = ["Institute of Tropical Medicine", "Institute of Tropical Medicines", "Xinistry of Finance", "Ministry of Finance", "The Ministry of Finance", "ab", "abc", "x"]
+    for _ in range(40):
+        base = "".join(draw.choice("abcdef ") for _ in range(draw.randrange(3, 40))).strip() or "q"
+        names += [base, base[1:], f"z{base}", base[: len(base) // 2] + "y" + base[len(base) // 2 :], f"{base} (Japan)", f"{base}e (Laos)"]
+    names = sorted({n for n in names if n})
+    left, want = [(n, *spark_base(n)) for n in names], set()
+    while left:
+        seed = left.pop(0)
+        kin = [o for o in left if not (seed[2] and o[2] and seed[2] != o[2]) and E.name_similarity(seed[1], o[1]) >= 0.85]
+        left = [o for o in left if o not in kin]
+        if kin:
+            want.add(frozenset([seed[0], *[o[0] for o in kin]]))
+    groups = E.similar_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {frozenset(r.name for r in groups if r.canonical == c) for c in {r.canonical for r in groups}} == want
+    assert any({"Xinistry of Finance", "Ministry of Finance"} <= g for g in want)
+
+
+def spark_base(name):
+    return (name[: name.index("(")].strip(), name[name.index("(") + 1 : -1]) if "(" in name else (name, "")
+
+
 def test_context_boost(spark):
     kind = "ontology string, entity string, confidence double, country string, admin1 string, population long, title string, keywords array<string>, locations array<string>, signals array<string>"
     rows = [
