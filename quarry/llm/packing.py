@@ -131,14 +131,15 @@ def cut(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).encode
+        encode_all = tokens.encoder(tokenizer).encode_all
         end = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: Counter = Counter()
         for batch in batches:
             rows, owner = [], []
-            for at, text in enumerate(batch.column(1).cast(pa.binary())):
-                ids = encode(text.as_py() or b"") + end
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+            for at, ids in enumerate(encode_all(texts)):
+                ids += end
                 for k, low in enumerate(range(0, len(ids), width)):
                     held = ids[low : low + width]
                     length = len(held) // 4
@@ -173,7 +174,8 @@ def pack(
     piece: doc_id, piece (from 0), start, length, ids_crc32 (of the piece's
     little-endian unsigned 32-bit ids), sequence_id, offset (gapless from 0).
 
-    Null text: empty, so end_id alone. Null ids and repeated rows are packed like
+    Null and empty text: end_id alone. A very long text becomes many pieces. Pieces
+    of equal length are interchangeable and placed in the order of tasks. Null ids and repeated rows are packed like
     any other row. An empty table gives an empty result; other columns are
     ignored. The driver holds one number per length, capacity at most. A hot
     length needs no large task: ranks come from counts per input task.

@@ -26,10 +26,10 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     path = tokenizer or tokens.default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode_all = tokens.encoder(path).encode_all
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            found = [len(encode(t.as_py() or b"")) // 4 for t in texts]
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+            found = [len(ids) // 4 for ids in encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -81,7 +81,8 @@ def length_table(counts: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The length table of docs with truncated totals and quantiles.
 
-    Null and empty texts have length 0; null ids and repeated rows count like any
+    Null and empty texts have length 0; a very long text counts whole, in the
+    memory of its words, and ties of length share a row; null ids and repeated rows count like any
     other row; an empty table gives an empty result; other columns are ignored.
     """
     counts = materialise(histogram(token_lengths(docs, tokenizer, id_col, text_col)))

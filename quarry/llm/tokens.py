@@ -2,18 +2,29 @@
 
 The vocabulary used here drops white space and never joins characters across
 it, so the ids of a text are the ids of its white-space-separated words in
-order. Words repeat, so each worker process keeps the ids of short words.
+order. Words repeat, so each worker process keeps the ids of short words. New
+words are encoded together: those of letters only are one token run each, so
+they are joined into one string and cut apart at the tokens that end a word;
+punctuation behind such a word is a run of its own. A text that holds one of the
+vocabulary's own control strings is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words kept per worker process, and the longest one kept; beyond the first
-#: bound the table starts anew, so its memory is bounded.
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
+#: Words kept per worker process in each of two generations, and the longest one
+#: kept. When the younger generation is full the older one is dropped, so memory
+#: is bounded and words in use stay.
+CACHED_WORDS, CACHED_BYTES = 600_000, 48
+#: Bytes of text whose words are looked up together, and new words per encoded string.
+_TOGETHER, _JOINED = 1 << 18, 400
+#: Punctuation that never belongs to a word before it (the apostrophe may).
+_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -30,31 +41,100 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        control = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._control = re.compile(b"|".join(re.escape(c.encode()) for c in control)) if control else None
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+
+    def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers; null: none."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size > _TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def encode(self, text: bytes) -> bytes:
+        return next(self.encode_all([text]))
 
-    def _fill(self, words: list[bytes]) -> None:
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        # the vocabulary is lower case; A-Z need no rows of their own
+        whole = {i for i, t in enumerate(texts) if self._control and self._control.search(t)}
+        words = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]
+        known = self._known
+        found = [list(map(known.get, w)) for w in words]
+        new = {w: None for some, ids in zip(words, found) if None in ids for w, p in zip(some, ids) if p is None}
+        if new:
+            fresh = self._learn(list(new))
+            found = [[fresh[w] if p is None else p for w, p in zip(some, ids)] if None in ids else ids for some, ids in zip(words, found)]
+        for i, ids in enumerate(found):
+            yield self._whole(texts[i]) if i in whole else b"".join(ids)
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the younger generation does not hold, which keeps them."""
+        older, fresh = self._older, {}
+        letters, rest, split = {}, [], []
+        for word in new:
+            if (ids := older.get(word)) is not None:
+                fresh[word] = ids
+                continue
+            core = word.rstrip(_TAIL)
+            if not core or not core.decode("utf-8", "replace").isalpha():
+                rest.append(word)
+            elif len(core) == len(word):
+                letters[word] = None
+            else:
+                split.append((word, core, word[len(core) :]))
+        tails = dict.fromkeys(tail for _, _, tail in split)
+        made: dict[bytes, bytes] = {}
+        for _, core, _ in split:
+            if (ids := self._known.get(core, older.get(core))) is None:
+                letters[core] = None
+            else:
+                made[core] = ids
+        self._letters(list(letters), made)
+        self._singly([t for t in tails if t not in made] + rest, made)
+        for word, core, tail in split:
+            fresh[word] = made[core] + made[tail]
+        fresh |= {w: made[w] for w in new if w in made}
+        kept = {w: ids for w, ids in (fresh | {c: made[c] for c in letters}).items() if len(w) <= CACHED_BYTES}
+        if len(self._known) + len(kept) > CACHED_WORDS:
+            self._older, self._known = self._known, {}
+        if len(kept) <= CACHED_WORDS:
+            self._known |= kept
+        return fresh
+
+    def _letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Ids of words of letters, many in one string."""
+        self._tokenizer.encode_special_tokens = True
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        joined = [b" ".join(g).decode("utf-8", "replace") for g in groups]
+        for group, found in zip(groups, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if stops.size != len(group):  # normalisation gave a word more than one run
+                self._singly(group, into)
+                continue
+            flat, start = ids.tobytes(), 0
+            for word, stop in zip(group, stops.tolist()):
+                into[word] = flat[start:stop]
+                start = stop
+
+    def _singly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        self._tokenizer.encode_special_tokens = True
         texts = [w.decode("utf-8", "replace") for w in words]
         for word, found in zip(words, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self._known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            into[word] = np.array(found.ids, dtype="<u4").tobytes()
 
-    def encode(self, text: bytes) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = text.lower().split()  # the vocabulary is lower case; A-Z need no rows of their own
-        known = self._known
-        parts = list(map(known.get, words))
-        if None in parts:
-            missing = {w for w, p in zip(words, parts) if p is None and len(w) <= CACHED_BYTES}
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = {w for w in words if len(w) <= CACHED_BYTES}
-            if missing:
-                self._fill(list(missing))
-            parts = [self._long(w) if p is None else p for w, p in zip(words, map(known.get, words))]
-        return b"".join(parts)
-
-    def _long(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+    def _whole(self, text: bytes) -> bytes:
+        self._tokenizer.encode_special_tokens = False
+        ids = self._tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 

@@ -12,9 +12,7 @@ from quarry.llm import packing, token_counts, tokens
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokens.default_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def ids(tokenizer, text):
@@ -22,7 +20,8 @@ def ids(tokenizer, text):
 
 
 def test_word_by_word_is_exact(tokenizer):
-    texts = ["It's we'LL they'd ÉÀ é x y  a\tb", "<|endoftext|> hello<|startoftext|>", "12.5km!!! --'s 漢字 Ω ΣΑΣ İ", "a" * 500, "\x85 z", ""]
+    texts = ["<|endoftext|> hi", "a<|endoftext|>b <|ENDOFTEXT|> c<|startoftext|>.", "<|ENDOFTEXT|>", "<|endoftext", "naïve. naïve, (x) x) don't'. it's!'s क़ख़ क़. İstanbul, ﬁn. 1st! ab12, 3.5% Å Å. m² ...", "e\u0301t\u00e9. e\u0301, ½! \ufffd. Ⅷ."]
+    texts += ["It's we'LL they'd ÉÀ é x y  a\tb", "<|endoftext|> hello<|startoftext|>", "12.5km!!! --'s 漢字 Ω ΣΑΣ İ", "a" * 500, "\x85 z", ""]
     encoder = tokens.WordEncoder(tokens.default_path())
     for text in texts + [t or "" for _, t in messy_rows()]:
         for _ in range(2):
@@ -36,6 +35,18 @@ def test_cache_overflow(tokenizer, monkeypatch):
     assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids(tokenizer, text)
 
 
+def test_generations_keep_ids_exact(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 7)
+    monkeypatch.setattr(tokens, "_JOINED", 3)
+    monkeypatch.setattr(tokens, "_TOGETHER", 40)
+    encoder, draw = tokens.WordEncoder(tokens.default_path()), random.Random(3)
+    some = ["alpha", "beta.", "Gamma!?", "été", "été,", "x1", "don't", "क़", "d'accord.", "漢字", "w" * 60 + ".", "<|endoftext|>", "--"]
+    texts = [" ".join(draw.choices(some, k=draw.randint(0, 9))) for _ in range(300)]
+    for text, found in zip(texts, encoder.encode_all([t.encode() for t in texts])):
+        assert np.frombuffer(found, "<u4").tolist() == ids(tokenizer, text)
+    assert len(encoder._known) <= 7 and list(encoder.encode_all([None])) == [b""]
+
+
 def test_counts_equal_brute_force(spark, tokenizer):
     lengths = [len(ids(tokenizer, t)) for _, t in messy_rows()]
     table = token_counts.count_tokens(documents(spark)).collect()
