@@ -1,10 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-Labelled text of each language becomes a suffix automaton. A text is parsed
-against it by longest matches; every match is a phrase, and the language that
-needs the fewest phrases, each weighted with the bits of a pointer into its
-training text, wins. Phrases end at the latest where a word ends, so the parse of
-a text is the sum over its words, and a worker parses a repeated word once.
+Running labelled text of each language becomes a suffix automaton. A text is
+parsed against it by longest matches, across words; every match is a phrase, and
+the language that needs the fewest phrases, each weighted with the bits of a
+pointer into its training text, wins.
+
+Symbols are UTF-8 bytes, so the alphabet is small for every script. The longest
+match that starts where the last one ended is a deterministic walk: from a state
+without a transition for the next symbol a new phrase starts at the root. That
+walk is laid out as a flat table, and many documents step through the tables of
+all languages together.
 """
 
 from __future__ import annotations
@@ -12,9 +17,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +26,35 @@ from pyspark.sql import functions as F
 
 from quarry.llm._shared import prepare
 
-#: Documented bounds of the labelled sample: languages, documents drawn of each,
-#: characters of each document that go to the driver, and characters of distinct
-#: words in each language's automaton.
-MAX_LANGS, SAMPLE_DOCS, SAMPLE_CHARS, AUTOMATON_CHARS = 64, 400, 4000, 60_000
-#: Words whose parse a worker process keeps, and the longest of them.
-CACHED_WORDS, CACHED_BYTES = 300_000, 48
-
-_RUN = re.compile(r"[^\W\d_]+")
+#: Documented bounds of the labelled sample: documents drawn of each language,
+#: characters of each of them, and documents drawn in all. With more languages
+#: each gets an equal share of the last, one document at least; no language is left out.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 160, 4000
+#: Bytes of text whose documents step together, and the number of documents
+#: still running from which on each is walked by itself.
+_TOGETHER, _FEW = 12 << 20, 10
+
+#: What separates the drawn documents; no parsed text holds it.
+_BREAK = b"\n"
+_SPACED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_LATIN = re.compile(rb"[A-Za-z]")
 _models: dict[str, "Model"] = {}
 
 
 class SuffixAutomaton:
-    """All substrings of the strings added, as transitions per state."""
+    """All substrings of the text added, as transitions per state."""
 
     def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        self.next: list[dict[int, int]] = [{}]
         self._link, self._len = [-1], [0]
-        self.size = 0
 
-    def _state(self, length: int, link: int, step: dict[str, int]) -> int:
+    def _state(self, length: int, link: int, step: dict[int, int]) -> int:
         self.next.append(step)
         self._link.append(link)
         self._len.append(length)
         return len(self.next) - 1
 
-    def _split(self, p: int, q: int, c: str) -> int:
+    def _split(self, p: int, q: int, c: int) -> int:
         copy = self._state(self._len[p] + 1, self._link[q], dict(self.next[q]))
         self._link[q] = copy
         while p != -1 and self.next[p].get(c) == q:
@@ -56,7 +62,8 @@ class SuffixAutomaton:
             p = self._link[p]
         return copy
 
-    def add(self, text: str) -> None:
+    def add(self, text: bytes) -> None:
+        """Add one text; a match never runs from one added text into another."""
         last = 0
         for c in text:
             p, q = last, self.next[last].get(c)
@@ -70,149 +77,163 @@ class SuffixAutomaton:
             if p != -1:
                 q = self.next[p][c]
                 self._link[last] = q if self._len[q] == self._len[p] + 1 else self._split(p, q, c)
-        self.size += len(text)
-
-    def phrases(self, text: str) -> int:
-        """Greedy longest matches that cover the text; an unknown character is one phrase."""
-        step, n, at, found = self.next, len(text), 0, 0
-        while at < n:
-            state, end = 0, at
-            while end < n and (to := step[state].get(text[end])) is not None:
-                state, end = to, end + 1
-            at = end if end > at else at + 1
-            found += 1
-        return found
 
 
-def word_runs(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [run for run in _RUN.findall(text.lower()) if run.isalpha()] if text else []
+def normalised(text: str) -> bytes:
+    """The text in lower case as UTF-8, every run of ASCII non-letters one space."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split())
+
+
+def has_letter(text: bytes) -> bool:
+    """Whether any character of UTF-8 text is a letter (Unicode categories L*)."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 class Model:
-    def __init__(self, words: dict[str, list[str]]):
-        self.langs = sorted(words)
-        self._automata = []
-        for lang in self.langs:
+    """Parses texts against the running text of each language."""
+
+    def __init__(self, samples: dict[str, list[str]]):
+        self.langs = sorted(samples)
+        texts = [[normalised(t) for t in samples[lang]] for lang in self.langs]
+        symbols = sorted(set(b"".join(b"".join(t) for t in texts)))
+        self._width = len(symbols) + 1  # the last column: symbols no language knows
+        codes = np.full(256, len(symbols), dtype=np.uint8)
+        codes[symbols] = np.arange(len(symbols))
+        self._codes = codes.tobytes()
+        self._bits = np.array([math.log2(sum(map(len, t)) + 2) for t in texts])
+        tables, self._roots, base = [], [], 0
+        for some in texts:
             automaton = SuffixAutomaton()
-            for word in words[lang]:
-                automaton.add(f" {word} ")
-            self._automata.append(automaton)
-        self._bits = np.array([math.log2(a.size + 2) for a in self._automata])
-        self._known: dict[bytes, int] = {}
-        self._rows = np.zeros((CACHED_WORDS + 1, len(self.langs) + 1), dtype=np.int32)
-
-    def _parse(self, token: bytes) -> list[int]:
-        """Phrases per language, and the number of letters."""
-        runs = word_runs(token.decode("utf-8", "replace"))
-        return [sum(a.phrases(f" {r} ") for r in runs) for a in self._automata] + [sum(map(len, runs))]
-
-    def _totals(self, text: bytes) -> np.ndarray:
-        tokens = text.split()
-        known, total = self._known, np.zeros(len(self.langs) + 1, dtype=np.int64)
-        where = list(map(known.get, tokens))
-        if None in where:
-            for at, place in enumerate(where):
-                if place is not None:
-                    continue
-                token = tokens[at]
-                if len(token) > CACHED_BYTES:
-                    total += self._parse(token)
-                    where[at] = CACHED_WORDS
-                elif token in known:
-                    where[at] = known[token]
-                elif len(known) < CACHED_WORDS:
-                    where[at] = known[token] = len(known)
-                    self._rows[where[at]] = self._parse(token)
-                else:
-                    total += self._parse(token)
-                    where[at] = CACHED_WORDS
-        total += self._rows[np.array(where, dtype=np.int64)].sum(axis=0, dtype=np.int64)
-        if len(known) >= CACHED_WORDS:
-            known.clear()
-        return total
-
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        """The language and how much shorter its parse is than the next one's, 0 to 1."""
-        totals = self._totals(text) if text else None
-        if totals is None or totals[-1] == 0 or not self.langs:
-            return "und", 0.0
-        cost = totals[:-1] * self._bits
-        best = int(np.argmin(cost))
-        others = np.delete(cost, best)
-        return self.langs[best], float(1 - cost[best] / others.min()) if others.size else 1.0
+            for text in some:
+                automaton.add(text)
+            tables.append(self._table(automaton, base))
+            self._roots.append(base << 1)
+            base += tables[-1].size
+        self._steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+
+    def _table(self, automaton: SuffixAutomaton, base: int) -> np.ndarray:
+        """Row of each state: twice the place of the next state's row, plus one where a phrase starts."""
+        width, code, rows = self._width, self._codes, automaton.next
+        first = np.full(width, base << 1 | 1, dtype=np.int32)
+        for c, to in rows[0].items():
+            first[code[c]] = (base + to * width) << 1 | 1
+        table = np.tile(first, (len(rows), 1))
+        at = np.repeat(np.arange(1, len(rows)), [len(r) for r in rows[1:]])
+        over = np.array([code[c] for r in rows[1:] for c in r], dtype=np.int64)
+        to = np.array([q for r in rows[1:] for q in r.values()], dtype=np.int64)
+        table[at, over] = (base + to * width) << 1
+        return table.ravel()
+
+    def phrases(self, texts: Sequence[bytes]) -> np.ndarray:
+        """Phrases of each normalised text (rows) in each language (columns)."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        coded = [texts[i].translate(self._codes) for i in order]
+        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        symbols = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        place = np.cumsum(sizes) - sizes
+        state = np.repeat(np.array(self._roots, dtype=np.int32)[:, None], len(texts), axis=1)
+        count = np.zeros(state.shape, dtype=np.int32)
+        end = int(sizes[_FEW]) if sizes.size > _FEW else 0
+        running = np.searchsorted(-sizes, -np.arange(end), side="left")
+        for n in running.tolist():
+            at = state[:, :n] >> 1
+            at += symbols[place[:n]]
+            state[:, :n] = found = self._steps.take(at, mode="clip")
+            found &= 1
+            count[:, :n] += found
+            place[:n] += 1
+        steps = memoryview(self._steps)
+        for k in range(min(_FEW, len(coded))):
+            rest = coded[k][end:]
+            for lang in range(len(self.langs)) if rest else ():
+                x, n = int(state[lang, k]), 0
+                for c in rest:
+                    x = steps[(x >> 1) + c]
+                    n += x & 1
+                count[lang, k] += n
+        back = np.empty((len(texts), len(self.langs)), dtype=np.int64)
+        back[order] = count.T
+        return back
+
+    def predict(self, texts: Sequence[bytes | None]) -> list[tuple[str, float, float | None]]:
+        """For each text the language, how much shorter its parse is than the next
+        one's, 0 to 1, and the phrases it takes per symbol."""
+        found: list[tuple[str, float, float | None]] = [("und", 0.0, None)] * len(texts)
+        asked = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
+        plain = [normalised(texts[i].decode("utf-8", "replace")) for i in asked]
+        for i, text, phrases in zip(asked, plain, self.phrases(plain)):
+            cost = phrases * self._bits
+            best = int(np.argmin(cost))
+            others = np.delete(cost, best)
+            score = float(1 - cost[best] / others.min()) if others.size else 1.0
+            found[i] = (self.langs[best], score, phrases[best] / len(text))
+        return found
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Distinct words per language from a bounded labelled sample: of each of at
-    most MAX_LANGS languages (the most frequent), SAMPLE_DOCS documents drawn by a
-    hash of their id, SAMPLE_CHARS characters each from a hash-drawn place, and of
-    their words those of the smallest hash up to AUTOMATON_CHARS characters.
-    docs are the rows it may learn from. Rows with a null id, text or language
-    teach nothing.
+    """Running text per language from a bounded labelled sample: SAMPLE_DOCS documents
+    of each language (an equal share of SAMPLE_TOTAL if that is less), drawn by a
+    hash of their id, SAMPLE_CHARS characters of each from a hash-drawn place. docs
+    are the rows it may learn from. Rows with a null id, text or language, or without
+    a letter in the drawn characters, teach nothing.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).dropna()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).dropna()
     draw = F.abs(F.xxhash64("i") % F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("l").count().collect()
     if not sizes:
         return {}
-    wanted = reduce(
-        lambda a, b: a | b, [(F.col("l") == r["l"]) & (F.col("d") < 4.0 * SAMPLE_DOCS / r["count"]) for r in sizes]
-    )
+    share = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(sizes)))
+    wanted = docs.sparkSession.createDataFrame([(r["l"], (4.0 * share + 8) / r["count"]) for r in sizes], "l string, most double")
     nth = F.row_number().over(Window.partitionBy("l").orderBy("d", "i", F.xxhash64("t")))
     room = F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0))
     start = (F.abs(F.xxhash64("i", F.lit(1)) % F.lit(1 << 40)) / F.lit(float(1 << 40)) * room).cast("int") + 1
     drawn = (
-        rows.withColumn("d", draw).where(wanted)
-        .select("l", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t"), nth.alias("n"))
-        .where(F.col("n") <= SAMPLE_DOCS)
+        rows.withColumn("d", draw).join(F.broadcast(wanted), "l").where(F.col("d") < F.col("most"))
+        .select("l", "i", "d", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t")).select("l", "t", nth.alias("n"))
+        .where(F.col("n") <= share)
     )
-    token = F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")
-    seen: dict[str, set[str]] = {}
-    for row in drawn.select("l", token).distinct().toLocalIterator():
-        seen.setdefault(row["l"], set()).update(word_runs(row["w"]))
-    words = {}
-    for lang, found in seen.items():
-        kept, size = [], 0
-        for word in sorted(found, key=_shuffled):
-            size += len(word) + 2
-            if size > AUTOMATON_CHARS:
-                break
-            kept.append(word)
-        words[lang] = kept
-    return words
-
-
-def _shuffled(word: str) -> tuple[int, str]:
-    return zlib.crc32(word.encode()), word
+    samples: dict[str, list[str]] = {}
+    for row in sorted(drawn.toLocalIterator(), key=lambda r: (r["l"], r["n"])):
+        if any(map(str.isalpha, row["t"])):
+            samples.setdefault(row["l"], []).append(row["t"])
+    return samples
 
 
 def predict(
-    docs: DataFrame, words: dict[str, list[str]], text_col: str = "text", carry: Sequence[str] = ("doc_id",)
+    docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text", carry: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """The columns in carry, then lang_pred and score, for each row of docs, from
-    the whole text only. No shuffle."""
+    """The columns in carry, then lang_pred, score and phrase_rate (phrases per
+    symbol in that language), for each row of docs, from the whole text only. No shuffle."""
     spark = docs.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(words)
+    sent = spark.sparkContext.broadcast(samples)
     key = uuid.uuid4().hex
 
+    def judged(model: Model, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t.as_py() for batch in held for t in batch.column(1).cast(pa.binary())]
+        found = iter(model.predict(texts))
+        for batch in held:
+            some = [next(found) for _ in range(batch.num_rows)]
+            columns = [pa.array([f[k] for f in some], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["carried", "lang_pred", "score", "phrase_rate"])
+
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _models:
             _models.clear()
             _models[key] = Model(sent.value)
-        model = _models[key]
+        held, size = [], 0
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["carried", "lang_pred", "score"],
-            )
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size > _TOGETHER:
+                yield from judged(_models[key], held)
+                held, size = [], 0
+        yield from judged(_models[key], held)
 
     rows = docs.select(F.struct(*carry).alias("carried"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["carried"].dataType.simpleString()
-    return rows.mapInArrow(guess, f"carried {kind}, lang_pred string, score double").select(
-        "carried.*", "lang_pred", "score"
+    return rows.mapInArrow(guess, f"carried {kind}, lang_pred string, score double, phrase_rate double").select(
+        "carried.*", "lang_pred", "score", "phrase_rate"
     )
 
 
@@ -225,10 +246,12 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per row of docs.
 
     Learns from text and lang of the rows that are not held out. lang_pred is a
-    learned language, or `und` with score 0 if the text is null, has no letters,
-    or nothing could be learned. Ties go to the language first in code-point
-    order. A null doc_id is never held out and teaches nothing. Repeated rows
-    each give a row; an empty table gives none; other columns are ignored.
+    learned language, or `und` with score 0 exactly if the text is null or has no
+    letter (Unicode category L*), or nothing could be learned. A text whose letters
+    no language knows is a tie; ties go to the language first in code-point order,
+    with score 0. A very long text is parsed whole, in memory of a few times its
+    size. A null doc_id is never held out and teaches nothing. Repeated rows each
+    give a row; an empty table gives none; other columns are ignored.
     """
-    words = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, words).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    samples = fit(docs.where(~held_out(F.col("doc_id"))))
+    return predict(docs, samples).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -17,19 +18,54 @@ def slow_phrases(text, corpus):
     at = n = 0
     while at < len(text):
         size = 1
-        while at + size < len(text) + 0 and any(text[at : at + size + 1] in w for w in corpus):
+        while at + size < len(text) and any(text[at : at + size + 1] in w for w in corpus):
             size += 1
         at, n = at + size, n + 1
     return n
 
 
-def test_automaton_equals_brute_force():
-    corpus = [f" {w} " for w in ("banana", "bandana", "nab", "anagram")]
-    automaton = L.SuffixAutomaton()
-    for w in corpus:
-        automaton.add(w)
-    for text in (" banana ", " nabandana ", "xyz", " gran ", "", " b "):
-        assert automaton.phrases(text) == slow_phrases(text, corpus), text
+def slow_predict(text, samples):
+    """Brute force: longest matches by substring search, over the whole text."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    cost = []
+    for lang in sorted(samples):
+        corpus = [L.normalised(t) for t in samples[lang]]
+        cost.append((slow_phrases(L.normalised(text), corpus) * math.log2(sum(map(len, corpus)) + 2), lang))
+    best, other = sorted(cost)[:2]
+    return best[1], 1 - best[0] / other[0]
+
+
+def samples(n=6):
+    return {lang: [prose(lang, 25, 100 + k) for k in range(n)] for lang in SYLLABLES}
+
+
+def test_parse_equals_brute_force(monkeypatch):
+    texts = [prose(lang, n, n) for lang in SYLLABLES for n in (1, 2, 3, 9, 40, 90)] + [prose("en", 30, 5) + prose("fr", 30, 6)]
+    texts += ["", "x", "жук und der жук", "aaaaaaaaaaaaaaaaaaaa", "thererner " * 30, "É È"]
+    plain = [L.normalised(t) for t in texts]
+    want = [[slow_phrases(t, [L.normalised(x) for x in samples()[lang]]) for lang in sorted(SYLLABLES)] for t in plain]
+    for few in (0, 3, 10, 1000):
+        monkeypatch.setattr(L, "_FEW", few)
+        assert L.Model(samples()).phrases(plain).tolist() == want
+    assert L.Model(samples()).phrases([]).shape == (0, 3)
+
+
+def test_prediction_equals_brute_force(spark):
+    rows = [(i, prose(lang, 1 + i * 3, i)) for i in range(12) for lang in [list(SYLLABLES)[i % 3]]]
+    rows += [(50, None), (51, ""), (52, "12 ! \u00b2"), (53, "km\u00b2 x\u00b2"), (54, "x\u2082"), (55, "\u2167a"), (56, "हिन्दी"), (57, "\u2167"), (58, prose("de", 900, 1)), (58, "жук")]
+    for r in L.predict(documents(spark, rows), samples(), carry=("doc_id", "text")).collect():
+        lang, score = slow_predict(r.text, samples())
+        assert (r.lang_pred, round(r.score, 12)) == (lang, round(score, 12)), r
+        assert (r.phrase_rate is None) == (lang == "und")
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 4)}{chr(0x5E00 + i // 4)} " * 5, f"l{i // 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = L.identify(docs).collect()
+    assert {r.lang_pred for r in found} == {f"l{k}" for k in range(100)}
+    assert all(r.lang_pred == f"l{r.doc_id // 4}" for r in found)
 
 
 def test_held_out_accuracy(spark):
@@ -56,14 +92,3 @@ def test_messy_rows(spark):
 def test_nothing_to_learn(spark):
     docs = documents(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in L.identify(docs).collect()} == {"und"}
-
-
-def test_small_cache(monkeypatch):
-    words = {lang: prose(lang, 300, 1).lower().replace(".", "").split() for lang in SYLLABLES}
-    whole = L.Model(words)
-    monkeypatch.setattr(L, "CACHED_WORDS", 3)
-    small = L.Model(words)
-    for lang in SYLLABLES:
-        text = prose(lang, 40, 9).encode()
-        assert small.predict(text) == whole.predict(text)
-        assert small.predict(text)[0] == lang
