@@ -17,7 +17,7 @@ from quarry.llm import tokens
 from quarry.llm._shared import materialise, prepare
 
 #: Lengths per block of the two-level suffix sums.
-_BLOCK = 1024
+_BLOCK = 128
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
