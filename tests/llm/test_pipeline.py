@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 from helpers import collect, documents, messy_rows, words
 from quarry.llm import decontaminate, packing, tokens
 from test_simhash import slow_simhash
@@ -46,6 +47,25 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, folder):
     assert collect(found, "doc_id") == sorted(kept, key=repr)
 
 
+def test_near_dedup_stage_tells_texts_of_one_id_apart(spark, folder):
+    a, b, c = (words(60, k, 3000) for k in (1, 2, 3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, f"{b} two more"), (4, c), (None, a), (None, c), (None, words(9, 4)), (5, None), (6, ""), (7, b), (7, b)]
+    docs = documents(spark, rows).select(*COLUMNS, F.lit("mine").alias("_nth"), F.lit(1).alias("kept"), F.lit(2).alias("copy"))
+    found = P.near_dedup(spark, docs, folder)
+    assert found.columns == docs.columns and {r["_nth"] for r in found.collect()} == {"mine"}
+    assert collect(found, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (None, words(9, 4)), (5, None)], key=repr)
+    alone = documents(spark, [(7, b), (7, b), (None, c), (None, c)]).select(*COLUMNS)
+    assert collect(P.near_dedup(spark, alone, folder), "doc_id", "text") == sorted([(7, b), (None, c)], key=repr)
+
+
+def test_language_stage_uses_its_prediction(spark, folder):
+    rows = [(i, f"the house of the river and the {'green' if i % 2 else 'blue'} hill", "en") for i in range(30)]
+    rows += [(40, "the house and the hill", None), (41, "ξψωφ θδλπ ςρτυ ξψωφ", None), (42, "ξψ", "en"), (43, None, "en"), (44, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = dict(collect(P.language_id(spark, docs, folder), "doc_id", "lang"))
+    assert set(got) == set(range(30)) | {40, 42} and set(got.values()) == {"en"}
+
+
 def test_substring_stage_cuts_later_passages(spark, folder):
     rows = corpus()
     found = {r.doc_id: r for r in P.substring(spark, documents(spark, rows).select(*COLUMNS), folder).collect()}
