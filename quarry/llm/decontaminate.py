@@ -11,7 +11,8 @@ or of numbers is one placeholder, and matches on neighbouring diagonals add up,
 so names of another length and inserted or deleted tokens hide nothing.
 
 Items that the templates do not cover whole (windows with few literal tokens, at
-most one window) are also matched by the plain values of their tokens.
+most one window) are also matched by the plain values of their tokens, a list of
+numbers alone included.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import prepare
+from quarry.llm._shared import materialise, prepare
 from quarry.llm.wordhash import Prefix
 
 #: Canonical tokens of a window, literal tokens it needs, and the share of an
 #: item's windows that make a leak.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Tokens of the shortest window that counts without any literal, by its values alone.
+BARE = 3
 #: Tokens inserted or deleted in all between matches that are added up.
 DRIFT = 8
 #: Windows of benchmark items that are broadcast at a time; a larger benchmark is
@@ -146,17 +150,17 @@ def vocabulary(texts: list[str]) -> frozenset[str]:
 
 class Layer:
     """Windows of hashes of benchmark items, sorted by hash: of templates, or of
-    plain values. Fewer tokens than width: one window of them all."""
+    plain values. Fewer tokens than width: one window of them all. Windows with
+    fewer literals than literals are left out, but not those of bare tokens or more."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, literals: int):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, literals: int, bare: int):
         self.width, self.values, hashes, owners, places, self.dropped = width, [v for _, v, _ in rows], [], [], [], []
         for owner, (canon, value, slot) in enumerate(rows):
             held = min(width, canon.size)
             use, found = [], Prefix(canon).windows(held) if held else canon
             if held:
                 free = np.cumsum(np.concatenate(([0], ~slot)))
-                # a window of placeholders alone says nothing; a short item is taken whole
-                use = np.flatnonzero(free[held:] - free[:-held] >= min(literals, held))
+                use = np.flatnonzero(free[held:] - free[:-held] >= (0 if held >= bare else min(literals, held)))
             hashes += [found[k] ^ np.uint64(held if held < width else 0) for k in use]
             owners += [owner] * len(use)
             places += list(use)
@@ -233,10 +237,11 @@ class Index:
         tokens, self.coverage = Tokens(), coverage
         self.items = [i for i, _ in items]
         read = [tokens.read(text.encode("utf-8", "surrogatepass").split()) for _, text in items]
-        self.templates = Layer([r[:3] for r in read], width, literals)
+        # a window of placeholders alone says nothing, but its values do
+        self.templates = Layer([r[:3] for r in read], width, literals, bare=width + 1)
         none = (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=bool),)
         plain = [(r[3], r[3], r[4]) if part else none for r, part in zip(read, self.templates.dropped)]
-        self.plain = Layer(plain, width, 1)
+        self.plain = Layer(plain, width, 1, BARE)
         self.vocabulary = vocabulary([text for _, text in items])
 
     def leaks(self, words: list[bytes], tokens: Tokens) -> list[tuple[int, int, int, bool, int, int]]:
@@ -291,10 +296,14 @@ def annotate(
     """The columns in carry, then leaks, for each row of docs: the benchmark items
     (item_id, text) whose windows the text holds to at least `coverage` along one
     diagonal or neighbouring ones with consistent slots. verbatim is false for a
-    re-parameterised item. Windows without any literal token match nothing.
+    re-parameterised item. An item of one or two numbers or names alone (under BARE
+    tokens) matches nothing. Of several passages of one item that with most windows
+    is told, of equal ones the verbatim one, then the first found; every item that
+    leaks is told.
 
     Every text is read whole, once per block of the benchmark, and the documents
-    are never shuffled. A null, empty or punctuation-only text on either side
+    are never shuffled. A benchmark of several blocks is worked off block by block,
+    each pass written before the next block is gathered. A null, empty or punctuation-only text on either side
     matches nothing; null ids are carried along; repeated rows each give a row;
     an empty table of documents gives an empty result, an empty benchmark no
     leaks; other columns are ignored.
@@ -309,7 +318,7 @@ def annotate(
     )
     kind = rows.schema["carried"].dataType.simpleString()
 
-    def scan(before: DataFrame, block: int) -> DataFrame:
+    def scan(before: DataFrame, block: int) -> tuple[DataFrame, Broadcast]:
         mine = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == block).orderBy("item_id", "text")
         sent = spark.sparkContext.broadcast(
             Index([(r["item_id"], r["text"]) for r in mine.collect()], window, literals, coverage)
@@ -329,10 +338,13 @@ def annotate(
                     [batch.column(0), batch.column(1), pa.array(found, pa.list_(_LEAK))], ["carried", "text", "leaks"]
                 )
 
-        return before.mapInArrow(search, f"carried {kind}, text string, leaks {_LEAKS}")
+        return before.mapInArrow(search, f"carried {kind}, text string, leaks {_LEAKS}"), sent
 
     for block in blocks:
-        rows = scan(rows, block)
+        rows, sent = scan(rows, block)
+        if len(blocks) > 1:
+            rows = materialise(rows)
+            sent.destroy()
     return rows.select("carried.*", "leaks")
 
 

@@ -1,3 +1,5 @@
+import random
+
 from helpers import collect, documents, messy_rows, words
 from quarry.llm import decontaminate as D
 
@@ -35,7 +37,74 @@ def test_equals_brute_force_on_plain_words(spark):
             theirs = grams(other, n)
             if sum(g in set(grams(text, n)) for g in theirs) >= 0.5 * len(theirs):
                 want.add((i, item))
-    assert got == want and len(want) > 20
+    assert got == want | {(92, 53)} and len(want) > 20
+
+
+def test_numbers_alone_are_found_verbatim_only(spark):
+    items = [(1, "11 12 13 14 15 16 17 18 19 20 21 22 23 24"), (2, "7"), (3, "81 + 82 = 83"), (4, "Alice Bob Carol Dave")]
+    rows = [(1, items[0][1]), (2, f"{words(9, 1)} {items[0][1]} {words(9, 2)}"), (3, "31 32 33 34 35 36 37 38 39 40 41 42 43 44"), (4, "seven 7 and 7"), (5, "so 81 + 82 = 83 ."), (6, "so 81 + 82 = 84 ."), (7, "was Alice Bob Carol Dave here"), (8, "was Alice Bob Carol Erin here")]
+    assert collect(D.find_leaks(documents(spark, rows), bench(spark, items)), "doc_id", "item_id") == [(1, 1), (2, 1), (5, 3), (7, 4)]
+
+
+def brute_leaks(text, item):
+    """Windows of canonical tokens by comparison, one diagonal at a time. Tokens are
+    lower-case words, whole numbers and title-case names, never two slots in a row."""
+
+    def read(t):
+        out, ended = [], True
+        for w in t.split():
+            bare = w.strip(".,")
+            slot = "number" if bare.isdigit() else "name" if bare[:1].isupper() and not ended else None
+            out.append((slot or bare.lower(), bare.lower(), slot is not None))
+            ended = w.endswith(".")
+        return out
+
+    mine, theirs = read(text), read(item)
+    places = [k for k in range(len(theirs) - 7) if sum(not slot for _, _, slot in theirs[k : k + 8]) >= 4]
+    for shift in range(-len(theirs), len(mine)):
+        hit = [k for k in places if k + shift >= 0 and [c for c, _, _ in theirs[k : k + 8]] == [c for c, _, _ in mine[k + shift : k + shift + 8]]]
+        pairs = {(theirs[k + j][1], mine[k + j + shift][1]) for k in hit for j in range(8)}
+        if hit and len(hit) >= 0.5 * len(places) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+            return True
+    return False
+
+
+def test_templates_and_slots_equal_brute_force(spark):
+    draw = random.Random(11)
+
+    def question(seed):
+        at, parts = random.Random(seed), []
+        for _ in range(at.randint(5, 9)):
+            parts += [f"w{chr(97 + at.randrange(26))}{chr(97 + at.randrange(26))}" for _ in range(at.randint(2, 4))]
+            parts.append(at.choice(["{}", "<>"]))
+        return " ".join(parts + ["done."])
+
+    def filled(shape, numbers, names):
+        return " ".join(str(draw.choice(numbers)) if w == "{}" else draw.choice(names) if w == "<>" else w for w in shape.split())
+
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin"]
+    shapes = [question(s) for s in range(12)]
+    items = [(k, filled(shape, range(10, 14), names[:3])) for k, shape in enumerate(shapes)]
+    rows = []
+    for i in range(150):
+        shape = shapes[i % 12]
+        kind = i // 12 % 5
+        if kind == 0:
+            mid = items[i % 12][1]
+        elif kind == 1:  # other values, consistently
+            turn = dict(zip(map(str, range(10, 14)), draw.sample(range(50, 99), 4))) | dict(zip(names, draw.sample(names, 5)))
+            mid = " ".join(str(turn.get(w, w)) for w in items[i % 12][1].split())
+        elif kind == 2:  # other values, mostly inconsistent
+            mid = filled(shape, range(10, 14), names)
+        elif kind == 3:
+            half = items[i % 12][1].split()
+            mid = " ".join(half[: draw.randint(4, len(half))])
+        else:
+            mid = ""
+        rows.append((i, f"{words(9, i, 90)} {mid} {words(9, i + 500, 90)}".replace("w", "v") if not mid else f"before it {mid} after it"))
+    got = set(collect(D.find_leaks(documents(spark, rows), bench(spark, items)), "doc_id", "item_id"))
+    want = {(i, k) for i, text in rows for k, item in items if brute_leaks(text, item)}
+    assert got == want and 40 < len(want) < 120
 
 
 def test_messy_rows_and_blocks(spark, monkeypatch):
