@@ -40,10 +40,11 @@ def path(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
-    """struct(rule, verdict) of the longest fitting rule, else null. A rule fits
-    its host and all subdomains if the path starts with the rule's."""
+    """struct(rule, verdict) of the longest fitting rule, else null; of equally
+    long ones an allow wins. A rule fits its host and all subdomains if the path
+    starts with the rule's."""
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, name, start in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")):
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(start)
         chosen = F.when(fits, F.struct(F.lit(name + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(
             chosen
@@ -51,23 +52,67 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return chosen
 
 
+def alias_key(url: Column) -> Column:
+    """What two spellings of one address share: the url without its fragment, scheme
+    and host in lower case, an empty path as ``/``. Null without ``://``."""
+    scheme = F.translate(F.substring_index(url, "://", 1), _UPPER, _LOWER)
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
+    root = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host(url), root, query))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, without quotes, entities and outer white space; missing: empty."""
+    held = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)", 1)
+    held = F.regexp_replace(held, "^[\"']|[\"']$", "")
+    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        held = F.replace(held, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(held, r"[\t\r\n]", ""))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute url of a link target on the page base, with dot segments
+    resolved; null for an empty target or one of a scheme without ``://``."""
+    scheme = F.substring_index(base, "://", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(base), r"^([^/?#]*)", 1))
+    folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), "[^/]*$", "")
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    steps = F.aggregate(
+        F.split(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)), "/"),
+        F.array().cast("array<string>"),
+        lambda kept, step: F.when(step == "..", F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept))
+        .when(step == ".", kept).otherwise(F.concat(kept, F.array(step))),
+    )
+    walked = F.concat(F.array_join(steps, "/"), F.when(own.rlike(r"(^|/)\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return (
+        F.when((target == "") | (F.instr(base, "://") == 0), F.lit(None))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(F.instr(target, "://") > 0, target))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path(base), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), target))
+        .otherwise(F.concat(site, walked, rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) from a page's url to the absolute target of its canonical link
-    or meta refresh; attribute order and quotes may vary."""
-    quote = "[\"']"
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]{0,2000}>)"), F.lit(1))
+    """(src, dst) from a page's url to the target of its canonical link or meta
+    refresh. Attribute order, quotes, further attributes of any length and further
+    values of rel may vary; a relative target is resolved against the page's url
+    (a base element is not read)."""
+    tags = F.regexp_extract_all(
+        "html", F.lit(r"(?is)(<(?:link|meta)\b(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>)"), F.lit(1)
+    )
     hinted = pages.where(F.col("html").rlike(r"(?i)\b(canonical|refresh)\b")).select(
         F.col("url").alias("src"), F.explode(tags).alias("tag")
     )
-    canonical = F.when(
-        F.col("tag").rlike(rf"(?is)\brel\s*=\s*{quote}?canonical\b"),
-        F.regexp_extract("tag", rf"(?is)\bhref\s*=\s*{quote}?([^\"'\s>]+)", 1),
-    )
+    tag = F.col("tag")
+    canonical = F.when(tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _attribute(tag, "href"))
     refresh = F.when(
-        F.col("tag").rlike(rf"(?is)\bhttp-equiv\s*=\s*{quote}?refresh\b"),
-        F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1),
+        tag.rlike("(?i)^<meta") & _attribute(tag, "http-equiv").rlike("(?i)^refresh$"),
+        F.regexp_extract(_attribute(tag, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)", 1),
     )
-    return hinted.select("src", F.coalesce(canonical, refresh).alias("dst")).where(F.col("dst").contains("://"))
+    found = hinted.select("src", F.coalesce(canonical, refresh).alias("target")).where("target is not null")
+    return found.select("src", resolved(F.col("src"), F.col("target")).alias("dst")).where("dst is not null")
 
 
 def judge(
@@ -76,16 +121,20 @@ def judge(
     """(page_id, host, path, rule, verdict), one row per row of pages.
 
     links(src, dst) are redirect or canonical edges between urls; None takes them
-    from the pages' html. Urls connected over links are aliases. A page under a
+    from the pages' html. Urls connected over links are aliases, and so are urls
+    that differ in fragment or in the case of scheme and host only. A page under a
     rule gets that rule's verdict, so an explicit allow stands whatever its
-    aliases say. Any other page is blocked if one of its aliases is blocked by a
-    rule, also an alias that is only the end of a link, and allowed otherwise.
+    aliases say; of equally long rules an allow wins. Any other page is blocked if
+    one of its aliases is blocked by a rule, also an alias that is only the end of
+    a link, and allowed otherwise.
 
     Null url, or none with ``://``: host and path are empty, no rule fits and the
-    page has no alias. Null html has no links. Repeated rows each give a row; an
-    empty table gives none; other columns are ignored.
+    page has no alias. Null and empty html have no links; html of any length is
+    read whole. Repeated rows each give a row; an empty table gives none; other
+    columns are ignored.
     """
     edges = links.select("src", "dst") if links is not None else page_links(pages)
+    edges = edges.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"))
     edges = edges.where("src is not null and dst is not null and src != dst").select(
         F.md5("src").alias("u"), F.md5("dst").alias("v"), "src", "dst"
     )
@@ -104,9 +153,9 @@ def judge(
         ends.where(rule_of(host(F.col("at")), path(F.col("at")), rules)["verdict"] == "block")
         .join(roots, "node").select("root").distinct()
     )
-    bad = roots.join(blocked, "root").select(F.col("node").alias("key"), F.lit(True).alias("bad"))
+    bad = materialise(roots.join(blocked, "root").select(F.col("node").alias("key"), F.lit(True).alias("bad")))
     return (
-        answer.withColumn("key", F.md5("url"))
+        answer.withColumn("key", F.md5(alias_key(F.col("url"))))
         .join(bad, "key", "left")
         .select(
             "page_id", "host", "path", "rule",
