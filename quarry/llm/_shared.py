@@ -78,7 +78,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: each is two joins on the node
     and a partial aggregation, the state is one edge per node at most after the
     first rounds, and the number of rounds grows with the logarithm of the
-    component's size. Every round is written to the shared folder.
+    component's size. Every step is written to the shared folder, so each join
+    reads two plain shuffles and adaptive execution may split a node with very
+    many neighbours.
     """
     u, v = F.col("u"), F.col("v")
     state = materialise(
@@ -89,9 +91,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark[0] == 0:
             break
         both = state.union(state.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialise(both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct())
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u").where(v > F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
@@ -99,7 +101,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         later = materialise(small)
         now = _fingerprint(later)
-        forget(state)
+        for old in (state, least, large, low):
+            forget(old)
         state = later
         if now == mark:
             break
