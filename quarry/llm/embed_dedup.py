@@ -1,12 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products.
 
-Every vector lives in the cell of its nearest centre and visits the next nearest
-cells. A cell's residents are compared, in blocks, with all its residents and
-visitors, so a link is found if one of both vectors visits the other's home. With
-visits=None a vector visits every cell that could hold a vector within the wanted
-angle: a linked vector of another cell is beyond the plane between both centres
-by no more than that angle. That finds every link, at the price of many more
-products where vectors are spread evenly.
+Cells have two levels, so that their number grows with the vectors and no list of
+centres does as fast: the square root of the number of cells are k-means regions,
+and every CELL_ROWS-th vector of a region is the centre of one of its cells. A
+vector lives in the cell of the nearest centre in its nearest region, and visits
+the next nearest cells of the next nearest regions. A cell's residents are
+compared, in blocks, with all its residents and visitors, so a link is found if
+one of both vectors visits the other's home. With visits=None a vector visits
+every region and cell that could hold a vector within the wanted angle: a linked
+vector of another cell is beyond the plane between both centres by no more than
+that angle. That finds every link, at the price of many more products where
+vectors are spread evenly.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import connected_components, materialise, prepare
+from quarry.llm._shared import connected_components, forget, materialise, prepare
 
-#: Vectors the centres are fitted on at most, centres at most, vectors of a cell
-#: aimed at, cells of a vector, and vectors of a block.
-FIT_ROWS, MAX_CELLS, CELL_ROWS, VISITS, BLOCK_ROWS = 20_000, 1024, 500, 8, 1024
+#: Vectors the regions are fitted on at most, vectors of a cell aimed at, regions a
+#: vector visits and cells in each, vectors of a block of comparisons, and of a block
+#: of vectors that are dealt to cells.
+FIT_ROWS, CELL_ROWS, VISITS, CELL_VISITS, BLOCK_ROWS, DEAL_ROWS = 20_000, 500, 6, 4, 1024, 8192
 _ROUNDS = 8
 
 
@@ -50,7 +55,7 @@ def spherical_kmeans(vectors: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
 
 
 def _unit(found: np.ndarray) -> np.ndarray:
@@ -81,9 +86,10 @@ def block_links(
     cols: np.ndarray, cell: int, threshold: float,
 ) -> tuple[np.ndarray, list[tuple[str, str]]]:
     """Links of residents (rows) with residents and visitors (cols) of a cell:
-    the summed weight of each vector's links, and a spanning forest of them. seen
-    is the mask of the cells of each vector. A visitor counts a link here only if
-    its own home does not show it the resident."""
+    the summed weight of each vector's links, and a spanning forest of them. homes
+    numbers the vectors' home cells, and seen is the mask of those that each vector
+    lives in or visits. A visitor counts a link here only if its own home does not
+    show it the resident."""
     place = {name: at for at, name in enumerate(dict.fromkeys(nodes))}
     of = np.array([place[name] for name in nodes], dtype=np.int64)
     near = unit[rows] @ unit[cols].T >= threshold
@@ -106,10 +112,68 @@ def block_links(
     return links, [(names[at], names[to]) for at, to in enumerate(label.tolist()) if at != to]
 
 
+def _deal(classes: DataFrame, regions: np.ndarray, threshold: float, visits: int | None, cell_visits: int | None) -> DataFrame:
+    """(node, vector, n, cell, home, cells) from (node, vector, n): one row for each
+    cell that a vector lives in or visits, with its home cell and all of its cells."""
+    sent = classes.sparkSession.sparkContext.broadcast(regions)
+    kind = classes.schema["vector"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                home, mask = reach(_unit(_matrix(batch.column(1))), sent.value, threshold, visits)
+                at, region = np.nonzero(mask)
+                yield pa.RecordBatch.from_arrays(
+                    batch.take(pa.array(at)).columns + [pa.array(region), pa.array(region == home[at])], ["node", "vector", "n", "region", "living"]
+                )
+
+    near = materialise(classes.mapInArrow(place, f"node string, vector {kind}, n bigint, region bigint, living boolean"))
+    sizes = materialise(near.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / DEAL_ROWS).alias("blocks")))
+    centres = near.where(F.col("living") & (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CELL_ROWS)) == 0))
+    # one row per region: as many as the square root of the number of cells
+    dealt = near.join(F.broadcast(sizes), "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = materialise(
+        centres.select("node", "vector", "region").join(F.broadcast(sizes), "region").select(
+            "region", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.xxhash64("node").alias("centre"), "vector"
+        )
+    )
+
+    def cells(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine = mine.combine_chunks()
+        theirs = theirs.sort_by("centre").combine_chunks()
+        if not mine.num_rows:
+            return pa.table({"node": pa.array([], pa.string()), "vector": mine.column("vector"), "n": mine.column("n"),
+                             "cell": pa.array([], pa.int64()), "living": mine.column("living")})
+        # a region without a centre is one cell, named by the region
+        name = theirs.column("centre").to_numpy() if theirs.num_rows else np.array([key[0].as_py()], dtype=np.int64)
+        living = mine.column("living").to_numpy()
+        if theirs.num_rows:
+            home, mask = reach(
+                _unit(_matrix(mine.column("vector").combine_chunks())), _unit(_matrix(theirs.column("vector").combine_chunks())), threshold, cell_visits
+            )
+        else:
+            home, mask = np.zeros(mine.num_rows, dtype=np.int64), np.ones((mine.num_rows, 1), dtype=bool)
+        at, cell = np.nonzero(mask)
+        held = mine.select(["node", "vector", "n"]).take(pa.array(at))
+        return held.append_column("cell", pa.array(name[cell])).append_column("living", pa.array(living[at] & (cell == home[at])))
+
+    out = f"node string, vector {kind}, n bigint, cell bigint, living boolean"
+    met = materialise(
+        dealt.select("region", "block", "node", "vector", "n", "living").groupBy("region", "block")
+        .cogroup(spread.groupBy("region", "block")).applyInArrow(cells, out)
+    )
+    of_node = met.groupBy("node").agg(F.collect_set("cell").alias("cells"), F.max(F.when(F.col("living"), F.col("cell"))).alias("home"))
+    found = materialise(met.drop("living").join(of_node, "node"))
+    for old in (near, sizes, spread, met):
+        forget(old)
+    return found
+
+
 def links(
     embeddings: DataFrame,
     threshold: float = 0.9,
     visits: int | None = VISITS,
+    cell_visits: int | None = CELL_VISITS,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -122,14 +186,17 @@ def links(
     Equal vectors form one class, compared once and counted with its size, so
     groups of copies never become pairs. Vectors that are null, empty, zero, hold
     null or non-finite components or have another than the most frequent
-    dimension link with nothing. A null vec_id is carried along and names no
+    dimension link with nothing. A very long vector is compared whole; a vector as
+    near to two centres takes either. A null vec_id is carried along and names no
     component; repeated rows count as further vectors; an empty table gives an
     empty result; other columns are ignored.
     """
     spark = embeddings.sparkSession
     prepare(spark)
     vector = F.col("vector")
-    rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
+    if rows.schema["vector"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("vector", vector.cast("array<double>"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         "vector", lambda x: x != 0
     )
@@ -146,30 +213,12 @@ def links(
     )
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("vector").collect()
-    unit = _unit(np.array([r["vector"] for r in sample]))
-    centres = spherical_kmeans(unit, max(1, min(MAX_CELLS, len(unit), total // CELL_ROWS)))
-    sent = spark.sparkContext.broadcast(centres)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                home, mask = reach(_unit(_matrix(batch.column(1))), sent.value, threshold, visits)
-                at, cell = np.nonzero(mask)
-                ends = np.cumsum(np.concatenate(([0], mask.sum(axis=1)))).astype(np.int32)
-                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell))
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    batch.take(rows).columns + [pa.array(cell), pa.array(home[at]), cells.take(rows)],
-                    ["node", "vector", "n", "cell", "home", "cells"],
-                )
-
-    kinds = "node string, vector array<double>, n bigint"
-    members = materialise(
-        classes.select("node", "vector", "n").mapInArrow(place, f"{kinds}, cell bigint, home bigint, cells array<bigint>")
-    )
-    sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    unit = _unit(np.array([r["vector"] for r in sample], dtype=np.float64))
+    regions = spherical_kmeans(unit, max(1, min(len(unit), math.isqrt(total // CELL_ROWS))))
+    members = _deal(classes.select("node", "vector", "n"), regions, threshold, visits, cell_visits)
+    sizes = materialise(members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    blocked = members.join(F.broadcast(sizes), "cell").withColumn("block", block)
+    blocked = members.join(sizes, "cell").withColumn("block", block)
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     held = ["node", "vector", "n", "home", "cells"]
     rows_of = blocked.where("home = cell").select("cell", F.col("block").alias("a"), others.alias("b"), *held, F.lit(True).alias("living"))
@@ -178,11 +227,16 @@ def links(
     def compare(group: pa.Table) -> pa.Table:
         column = {name: group.column(name).combine_chunks() for name in group.column_names}
         nodes, living = column["node"].to_pylist(), column["living"].to_numpy(zero_copy_only=False)
-        seen = np.zeros((len(nodes), len(sent.value)), dtype=bool)
-        seen[np.repeat(np.arange(len(nodes)), column["cells"].value_lengths().to_numpy()), column["cells"].flatten().to_numpy()] = True
+        known, homes = np.unique(column["home"].to_numpy(), return_inverse=True)
+        cell = int(np.searchsorted(known, column["cell"][0].as_py()))
+        visited = column["cells"].flatten().to_numpy()
+        place = np.minimum(np.searchsorted(known, visited), known.size - 1)
+        here = known[place] == visited
+        seen = np.zeros((len(nodes), known.size), dtype=bool)
+        seen[np.repeat(np.arange(len(nodes)), column["cells"].value_lengths().to_numpy())[here], place[here]] = True
         found, forest = block_links(
-            nodes, _unit(_matrix(column["vector"])), column["n"].to_numpy(), column["home"].to_numpy(), seen,
-            np.flatnonzero(living), np.flatnonzero(~living), column["cell"][0].as_py(), threshold,
+            nodes, _unit(_matrix(column["vector"])), column["n"].to_numpy(), homes, seen,
+            np.flatnonzero(living), np.flatnonzero(~living), cell, threshold,
         )
         names = list(dict.fromkeys(nodes))
         some = np.flatnonzero(found)

@@ -40,17 +40,31 @@ def vectors(seed=1, groups=25, size=6):
 
 @pytest.mark.parametrize("visits", [None, 8])
 def test_equals_brute_force(spark, monkeypatch, visits):
-    monkeypatch.setattr(E, "CELL_ROWS", 20)
+    monkeypatch.setattr(E, "CELL_ROWS", 8)
     monkeypatch.setattr(E, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(E, "DEAL_ROWS", 30)
     rows = vectors()
-    assert collect(E.links(frame(spark, rows), visits=visits), "vec_id", "n_links", "component_id", "kept") == brute(rows)
+    found = E.links(frame(spark, rows), visits=visits, cell_visits=visits)
+    assert collect(found, "vec_id", "n_links", "component_id", "kept") == brute(rows)
 
 
-def test_recall_with_few_visits(spark, monkeypatch):
+@pytest.mark.parametrize("visits", [{"visits": 3, "cell_visits": 2}, {}])
+def test_recall_of_spread_vectors(spark, monkeypatch, visits):
+    """Evenly spread vectors with planted pairs at cosine 0.90 to 0.93; {}: as the registered query."""
     monkeypatch.setattr(E, "CELL_ROWS", 20)
-    rows = vectors(2, 60, 5)
-    got = sum(r[1] for r in collect(E.links(frame(spark, rows), visits=3), "vec_id", "n_links"))
-    assert 0.95 * sum(r[1] for r in brute(rows)) <= got <= sum(r[1] for r in brute(rows))
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=8).tolist()) for i in range(1500)]
+    for i in range(300):
+        x = np.array(rows[i][1]) / np.linalg.norm(rows[i][1])
+        w = draw.normal(size=8)
+        w -= (w @ x) * x
+        c = draw.uniform(0.9, 0.93)
+        rows.append((2000 + i, (c * x + np.sqrt(1 - c * c) * w / np.linalg.norm(w)).tolist()))
+    unit = np.array([r[1] for r in rows], dtype="f4").astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    all_links = int((unit @ unit.T >= 0.9).sum()) - len(rows)
+    got = sum(r[1] for r in collect(E.links(frame(spark, rows), **visits), "vec_id", "n_links"))
+    assert (0.97 if not visits else 0.9) * all_links <= got <= all_links
 
 
 def test_messy_rows(spark):
