@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm._shared import materialise, new_path, prepare
 
-#: Captures in one archive file at most, which bounds what one reading task holds.
-CAPTURES_PER_FILE = 500
+#: Captures and payload bytes in one archive file at most (one larger payload is a
+#: file of its own), which bounds what one reading task holds.
+CAPTURES_PER_FILE, BYTES_PER_FILE = 500, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -69,8 +70,12 @@ def plan_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # the url of one row of the chosen page names the response's record
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
     identity = F.struct("page_id", "url")
-    chosen = (
-        rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max(identity).alias("chosen"))
+    # only contents that repeat are joined: mostly few and small rows, so payloads stay
+    # where they are; where they are many, both sides are plain shuffles, and a content
+    # that very many pages share can be split
+    chosen = materialise(
+        rows.where(F.col("size") >= min_bytes).groupBy("digest", "size")
+        .agg(F.max(identity).alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
 
     def record_id(page: Column, url: Column) -> Column:
@@ -85,8 +90,26 @@ def plan_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_captures(captures: DataFrame, path: str, date: str = DATE, captures_per_file: int = CAPTURES_PER_FILE) -> None:
-    """Write the records of plan_captures as gzipped WARC/1.1 files under path."""
+def write_captures(
+    captures: DataFrame, path: str, date: str = DATE, captures_per_file: int = CAPTURES_PER_FILE, largest: int | None = None
+) -> None:
+    """Write the records of plan_captures as gzipped WARC/1.1 files in folders under
+    path, one folder for each range of payload sizes that occurs: the larger the
+    payloads, the fewer to a file. largest is the largest payload's bytes, if known."""
+    tops, top = [], max(1, BYTES_PER_FILE // captures_per_file)
+    while top < BYTES_PER_FILE:
+        tops.append(top)
+        top *= 8
+    ranges = [(low, high, max(1, BYTES_PER_FILE // high)) for low, high in zip([-1, *tops], tops)] + [((tops or [-1])[-1], None, 1)]
+    if largest is None:
+        largest = captures.agg(F.max("size")).first()[0]
+    for at, (low, high, most) in enumerate(ranges):
+        some = captures.where(F.col("size") > low) if high is None else captures.where((F.col("size") > low) & (F.col("size") <= high))
+        if at == 0 or (largest is not None and largest > low):
+            _write(some, f"{path}/size{at}", date, captures_per_file if at == 0 else min(captures_per_file, most))
+
+
+def _write(captures: DataFrame, path: str, date: str, captures_per_file: int) -> None:
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20")
     rest = F.regexp_extract(uri, r"^[^:/?#]*://[^/?#]*([^#]*)", 1)
     target = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
@@ -182,7 +205,7 @@ def _row(record: dict, with_payload: bool) -> tuple:
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record of all archive files under path. A task holds one file,
-    which Spark's reader limits to 2 GB."""
+    which Spark's reader limits to 2 GB; write_captures keeps well below that."""
     prepare(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +223,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(parse, _RECORDS)
 
 
@@ -227,12 +250,14 @@ def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) ->
     The archives go to path, by default a new folder in the shared folder. Null
     html is an empty payload, a null url gives records without a target, a null
     page_id is carried along and counts as smallest. Repeated rows each give a
-    row. An empty table gives an empty result; other columns are ignored.
+    row, and so do equal payloads of any number; a very long payload has a file of
+    its own. An empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     prepare(spark)
     path = path or new_path(spark)
-    write_captures(plan_captures(pages, min_bytes), path)
+    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    write_captures(plan_captures(pages, min_bytes), path, largest=largest)
     captures = assemble(materialise(read_records(spark, path, with_payload=False)))
     page = F.regexp_extract(F.col("metadata.fields"), r"(?m)^page-id: (-?\d+)", 1)
     named = materialise(

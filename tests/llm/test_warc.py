@@ -36,6 +36,19 @@ def test_round_trip(spark, least):
     assert collect(W.round_trip(frame(spark, ROWS), min_bytes=least), *COLUMNS) == expected(ROWS, least)
 
 
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(W, "BYTES_PER_FILE", 40_000)
+    rows = ROWS + [(100 + i, f"http://p{i}.com/", f"{i} " + "y" * (i * i * 20)) for i in range(60)]
+    path = new_path(spark)
+    assert collect(W.round_trip(frame(spark, rows).coalesce(1), path), *COLUMNS) == expected(rows)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*part-*").load(path).collect()
+    for f in files:
+        sizes = [r["headers"] for r in W.parse_records(W.unpack(f.content)) if r["headers"][b"warc-type"] == b"response"]
+        plain = [int(h[b"content-length"]) - 100 for h in sizes]
+        assert len(plain) <= 1 or sum(plain) <= 40_000
+    assert len(files) > 10
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [ROWS[0], ROWS[0], ROWS[1]]
     assert collect(W.round_trip(frame(spark, rows)), *COLUMNS) == expected(rows)
