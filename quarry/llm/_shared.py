@@ -4,7 +4,6 @@ intermediate tables, code shipping and connected components."""
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -58,16 +57,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._folder = path
+    return written
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a table that materialise() returned and no later plan reads."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

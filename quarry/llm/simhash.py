@@ -88,7 +88,8 @@ def linked(classes: DataFrame, max_distance: int = 2, bucket_limit: int = 64) ->
         "fp", F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.col("mask")).alias("rest")
     )
     key = ["bit", "rest"]
-    shared = variants.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, so the join is of two plain shuffles and a hot variant can be split
+    shared = materialise(variants.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = materialise(variants.join(shared, key))
     members = met.where(F.col("n") <= bucket_limit).groupBy(*key).agg(F.collect_list("fp").alias("fps"))
     near = (
@@ -131,7 +132,9 @@ def near_duplicates(
     Equal fingerprints count as one class with its smallest doc_id, so groups of
     copies of any size cost one class; classes are compared, never copies.
 
-    Null or empty text: fingerprint zero, linked like any other. Null doc_id: the
+    Null, empty or blank text: fingerprint zero, linked like any other. A very long
+    text is hashed whole, its shingles a block at a time. Ties (several rows of the
+    smallest doc_id) name the same component. Null doc_id: the
     row is kept and takes its class's component, but names none (component_id is
     null if no row of the component has a doc_id). Repeated rows each give a row.
     An empty table gives an empty result; other columns are ignored.

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import materialise, prepare
+from quarry.llm._shared import forget, materialise, prepare
 from quarry.llm.wordhash import Prefix, word_hashes
 
 #: Words of the grams among which a window's minimiser is chosen.
@@ -236,9 +236,8 @@ def _by_automaton(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _by_window(texts: DataFrame, length: int) -> DataFrame:
-    """The same for shards with very many texts: the windows meet one by one in an
-    aggregation, so that no task needs a whole shard."""
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """(gram, content, owner, at, window): every window of texts as a hash."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,11 +252,14 @@ def _by_window(texts: DataFrame, length: int) -> DataFrame:
                     ["gram", "content", "owner", "at", "window"],
                 )
 
-    windows = materialise(
-        texts.select("gram", "content", "owner", "words").mapInArrow(
-            hashed, "gram bigint, content bigint, owner bigint, at int, window bigint"
-        )
+    return texts.select("gram", "content", "owner", "words").mapInArrow(
+        hashed, "gram bigint, content bigint, owner bigint, at int, window bigint"
     )
+
+
+def _by_window(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """The same for shards with very many texts: the windows meet one by one in an
+    aggregation, so that no task needs a whole shard."""
     first = windows.groupBy("gram", "window").agg(F.min("owner").alias("least"))
     earlier = (
         windows.join(first.withColumnRenamed("gram", "g").withColumnRenamed("window", "w"),
@@ -279,21 +281,27 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
     """(doc_id, text_key, spans): per text the half-open word spans, sorted and
     disjoint, covered by windows that also start in a document with a smaller id.
     docs has doc_id bigint, text_key and text. Shards of more than shard_texts
-    texts take the window path."""
-    keys = materialise(_keys(docs, length, gram))
-    contents = materialise(
+    texts take the window path. What the steps write on the way is deleted."""
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame) -> DataFrame:
+        made.append(materialise(df))
+        return made[-1]
+
+    keys = written(_keys(docs, length, gram))
+    contents = written(
         keys.groupBy("gram", "content").agg(
             F.min("doc_id").alias("owner"),
             F.max("doc_id").alias("last"),
             F.min(F.struct("doc_id", "text_key", "first", "n")).alias("rep"),
         )
     )
-    grams = (
+    grams = written(
         contents.groupBy("gram")
         .agg(F.min("owner").alias("least"), F.max("last").alias("most"), F.count(F.lit(1)).alias("texts"))
         .where("least < most")
     )
-    shared = materialise(contents.join(grams, "gram"))
+    shared = written(contents.join(grams, "gram"))
     alone = shared.where("texts = 1").select(
         "gram", "content",
         F.array(F.struct(F.lit(0).alias("at"), F.col("rep.n").alias("n"), F.col("owner"))).cast(_RUNS).alias("runs"),
@@ -301,10 +309,11 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
     wanted = shared.where("texts > 1").select(
         "gram", "content", "owner", (F.col("texts") > shard_texts).alias("hot"), "rep.doc_id", "rep.text_key", "rep.first", "rep.n"
     )
-    texts = materialise(_cut_out(docs, wanted, length))
-    owners = alone.union(_by_automaton(texts.where("not hot"), length)).union(_by_window(texts.where("hot"), length))
+    texts = written(_cut_out(docs, wanted, length))
+    windows = written(_windows(texts.where("hot"), length))
+    owners = alone.union(_by_automaton(texts.where("not hot"), length)).union(_by_window(texts.where("hot"), windows, length))
     late = F.filter("runs", lambda r: r["owner"] < F.col("doc_id"))
-    return (
+    found = materialise(
         keys.join(owners, ["gram", "content"])
         .where(F.size(late) > 0)
         .select(
@@ -321,6 +330,9 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_set("span")).alias("spans"))
     )
+    for old in made:
+        forget(old)
+    return found
 
 
 def deduplicate(
@@ -331,7 +343,8 @@ def deduplicate(
 
     Words are maximal runs without ASCII white space, unchanged, over the whole
     text. Null text: no words. Null doc_id: the row keeps all its words and
-    removes none elsewhere. Rows that repeat a doc_id never remove from each
+    removes none elsewhere. A very long text is treated whole, its windows a block at
+    a time. Of several owners of a window the smallest doc_id counts. Rows that repeat a doc_id never remove from each
     other, as none is smaller. An empty table gives an empty result; other
     columns are ignored.
     """

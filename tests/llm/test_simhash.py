@@ -1,7 +1,8 @@
 import random
 
 import xxhash
-from helpers import collect, documents, messy_rows
+from helpers import collect, documents, messy_rows, words
+from quarry.llm import queries
 from quarry.llm import simhash as S
 from quarry.llm._shared import connected_components
 
@@ -34,8 +35,7 @@ def components(links, nodes):
 
 def test_fingerprint_equals_definition():
     for _, text in messy_rows():
-        if text is None or len(text) < 10_000:
-            assert S.simhash(text) == slow_simhash(text)
+        assert S.simhash(text) == slow_simhash(text)
 
 
 def test_all_rows_and_groups(spark):
@@ -49,6 +49,28 @@ def test_all_rows_and_groups(spark):
     assert by_id[8] == by_id[10] == by_id[None] or by_id[8] == by_id[10] == 8
 
 
+def test_query_equals_brute_force(spark, tmp_path):
+    draw = random.Random(9)
+    base = [words(n, n, 60) for n in (1, 2, 3, 4, 30, 300, 900)]
+    rows = messy_rows() + [(100 + i, t) for i, t in enumerate(base)]
+    for i in range(120):  # few words changed in long texts move few bits or none
+        text = draw.choice(base).split()
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(len(text))] = f"w{draw.randrange(60)}"
+        rows.append((draw.randrange(200, 400), " ".join(text).upper() if i % 5 == 0 else " ".join(text)))
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [slow_simhash(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    root = components(links, range(len(rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    want = sorted(((i, f"{fps[k]:016x}", least.get(root[k])) for k, (i, _) in enumerate(rows)), key=repr)
+    assert collect(queries.op1_simhash(spark, str(tmp_path)), "doc_id", "fingerprint", "component_id") == want
+    assert len(links) > 200
+
+
 def test_links_equal_brute_force(spark):
     draw = random.Random(5)
     fps = set()
