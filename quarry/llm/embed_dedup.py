@@ -113,8 +113,8 @@ def block_links(
 
 
 def _deal(classes: DataFrame, regions: np.ndarray, threshold: float, visits: int | None, cell_visits: int | None) -> DataFrame:
-    """(node, vector, n, cell, home, cells) from (node, vector, n): one row for each
-    cell that a vector lives in or visits, with its home cell and all of its cells."""
+    """(node, vector, n, cells, home) from (node, vector, n): the cells that a vector
+    lives in or visits, and that in which it lives."""
     sent = classes.sparkSession.sparkContext.broadcast(regions)
     kind = classes.schema["vector"].dataType.simpleString()
 
@@ -124,10 +124,10 @@ def _deal(classes: DataFrame, regions: np.ndarray, threshold: float, visits: int
                 home, mask = reach(_unit(_matrix(batch.column(1))), sent.value, threshold, visits)
                 at, region = np.nonzero(mask)
                 yield pa.RecordBatch.from_arrays(
-                    batch.take(pa.array(at)).columns + [pa.array(region), pa.array(region == home[at])], ["node", "vector", "n", "region", "living"]
+                    batch.take(pa.array(at)).columns + [pa.array(region), pa.array(region == home[at])], ["node", "vector", "region", "living"]
                 )
 
-    near = materialise(classes.mapInArrow(place, f"node string, vector {kind}, n bigint, region bigint, living boolean"))
+    near = materialise(classes.select("node", "vector").mapInArrow(place, f"node string, vector {kind}, region bigint, living boolean"))
     sizes = materialise(near.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / DEAL_ROWS).alias("blocks")))
     centres = near.where(F.col("living") & (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CELL_ROWS)) == 0))
     # one row per region: as many as the square root of the number of cells
@@ -142,8 +142,7 @@ def _deal(classes: DataFrame, regions: np.ndarray, threshold: float, visits: int
         mine = mine.combine_chunks()
         theirs = theirs.sort_by("centre").combine_chunks()
         if not mine.num_rows:
-            return pa.table({"node": pa.array([], pa.string()), "vector": mine.column("vector"), "n": mine.column("n"),
-                             "cell": pa.array([], pa.int64()), "living": mine.column("living")})
+            return pa.table({"node": pa.array([], pa.string()), "cell": pa.array([], pa.int64()), "living": pa.array([], pa.bool_())})
         # a region without a centre is one cell, named by the region
         name = theirs.column("centre").to_numpy() if theirs.num_rows else np.array([key[0].as_py()], dtype=np.int64)
         living = mine.column("living").to_numpy()
@@ -154,19 +153,16 @@ def _deal(classes: DataFrame, regions: np.ndarray, threshold: float, visits: int
         else:
             home, mask = np.zeros(mine.num_rows, dtype=np.int64), np.ones((mine.num_rows, 1), dtype=bool)
         at, cell = np.nonzero(mask)
-        held = mine.select(["node", "vector", "n"]).take(pa.array(at))
-        return held.append_column("cell", pa.array(name[cell])).append_column("living", pa.array(living[at] & (cell == home[at])))
+        return pa.table({"node": mine.column("node").take(pa.array(at)), "cell": pa.array(name[cell]), "living": pa.array(living[at] & (cell == home[at]))})
 
-    out = f"node string, vector {kind}, n bigint, cell bigint, living boolean"
-    met = materialise(
-        dealt.select("region", "block", "node", "vector", "n", "living").groupBy("region", "block")
-        .cogroup(spread.groupBy("region", "block")).applyInArrow(cells, out)
+    met = (
+        dealt.select("region", "block", "node", "vector", "living").groupBy("region", "block")
+        .cogroup(spread.groupBy("region", "block")).applyInArrow(cells, "node string, cell bigint, living boolean")
     )
-    of_node = met.groupBy("node").agg(F.collect_set("cell").alias("cells"), F.max(F.when(F.col("living"), F.col("cell"))).alias("home"))
-    found = materialise(met.drop("living").join(of_node, "node"))
-    for old in (near, sizes, spread, met):
+    of_node = materialise(met.groupBy("node").agg(F.collect_set("cell").alias("cells"), F.max(F.when(F.col("living"), F.col("cell"))).alias("home")))
+    for old in (near, sizes, spread):
         forget(old)
-    return found
+    return materialise(classes.join(of_node, "node"))
 
 
 def links(
@@ -216,13 +212,17 @@ def links(
     unit = _unit(np.array([r["vector"] for r in sample], dtype=np.float64))
     regions = spherical_kmeans(unit, max(1, min(len(unit), math.isqrt(total // CELL_ROWS))))
     members = _deal(classes.select("node", "vector", "n"), regions, threshold, visits, cell_visits)
-    sizes = materialise(members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    blocked = members.join(sizes, "cell").withColumn("block", block)
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    held = ["node", "vector", "n", "home", "cells"]
-    rows_of = blocked.where("home = cell").select("cell", F.col("block").alias("a"), others.alias("b"), *held, F.lit(True).alias("living"))
-    cols_of = blocked.select("cell", others.alias("a"), F.col("block").alias("b"), *held, F.lit(False).alias("living"))
+    places = members.select("node", F.explode("cells").alias("cell"))
+    # blocks of a cell that has several; most have one and are not named
+    sizes = materialise(places.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("more")).where("more > 1"))
+    blocks = F.coalesce("more", F.lit(1).cast("bigint"))
+    block = F.pmod(F.xxhash64("node"), blocks)
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    seen_by = members.select(F.col("home").alias("cell"), "node", "vector", "n", "home", "cells").join(sizes, "cell", "left")
+    rows_of = seen_by.select("cell", block.alias("a"), others.alias("b"), "node", "vector", "n", "home", "cells", F.lit(True).alias("living"))
+    visiting = members.select(F.explode("cells").alias("cell"), "node", "vector", "n", "home").join(sizes, "cell", "left")
+    none = F.array().cast("array<bigint>")
+    cols_of = visiting.select("cell", others.alias("a"), block.alias("b"), "node", "vector", "n", "home", none.alias("cells"), F.lit(False).alias("living"))
 
     def compare(group: pa.Table) -> pa.Table:
         column = {name: group.column(name).combine_chunks() for name in group.column_names}
