@@ -1,8 +1,8 @@
 """A triple table and the graph operations over it.
 
 triples has s, p, o, o_kind ('iri', 'literal' or 'bnode'), g. Patterns become
-joins that Catalyst orders; transitive closures are computed level by level over
-distinct pairs.
+joins that Catalyst orders; transitive closures double their reach each round,
+over distinct pairs.
 """
 
 from __future__ import annotations
@@ -62,11 +62,26 @@ def match(data: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Seque
 
 
 def compatible_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join on shared variables that are equal or unbound on either side."""
+    """Join on shared variables that are equal or unbound on either side.
+
+    Solutions that bind every shared variable meet in an equality join. Only those
+    that leave one unbound are compared by the whole rule, which their semantics
+    want: an unbound variable goes with every value. Without shared variables the
+    result is the product of both sides.
+    """
     shared = [c for c in a.columns if c in b.columns]
     right = b.select(*[F.col(c).alias(f"_{c}") for c in b.columns])
-    rule = reduce(lambda x, y: x & y, [(F.col(c) == F.col(f"_{c}")) | F.col(c).isNull() | F.col(f"_{c}").isNull() for c in shared], F.lit(True))
-    return a.join(right, rule).select(
+    both = lambda x, y: x & y
+    rule = reduce(both, [(F.col(c) == F.col(f"_{c}")) | F.col(c).isNull() | F.col(f"_{c}").isNull() for c in shared], F.lit(True))
+    bound_a = reduce(both, [F.col(c).isNotNull() for c in shared], F.lit(True))
+    bound_b = reduce(both, [F.col(f"_{c}").isNotNull() for c in shared], F.lit(True))
+    if shared:
+        equal = reduce(both, [F.col(c) == F.col(f"_{c}") for c in shared])
+        met = a.where(bound_a).join(right.where(bound_b), equal)
+        met = met.unionByName(a.where(~bound_a).join(right, rule)).unionByName(a.where(bound_a).join(right.where(~bound_b), rule))
+    else:
+        met = a.crossJoin(right)
+    return met.select(
         *[F.coalesce(c, f"_{c}").alias(c) if c in shared else F.col(c) for c in a.columns],
         *[F.col(f"_{c}").alias(c) for c in b.columns if c not in shared],
     )
@@ -78,15 +93,29 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*shared).distinct(), shared, "left_anti") if shared else a
 
 
-def closure(spark: SparkSession, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(child, parent, depth): all ancestors with their smallest depth."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(child, parent, depth) MAX RECURSION LEVEL {most} AS (
-            SELECT child, parent, 1 FROM _edges
-            UNION ALL SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _edges e ON e.child = up.parent
-        ) SELECT child, parent, min(depth) AS depth FROM up GROUP BY child, parent"""
-    )
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(child, parent, depth): all ancestors with their smallest depth; on a cycle a
+    node is its own ancestor. Null ends are ignored.
+
+    Each round joins the pairs of depth exactly d, the longest known, with all known
+    pairs, and so finds those of depth d + 1 to 2 d: every shortest path has a node
+    at distance d. The rounds are the logarithm of the longest shortest path, and a
+    round's work follows the pairs it finds, not the paths between them.
+    """
+    from quarry.session import materialise
+
+    first = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+    known = materialise(first.withColumn("depth", F.lit(1)))
+    parts, reach = [known], 1
+    while True:
+        longest = parts[-1].where(F.col("depth") == reach).select("child", F.col("parent").alias("middle"))
+        onward = known.select(F.col("child").alias("middle"), "parent", (F.col("depth") + reach).alias("depth"))
+        found = longest.join(onward, "middle").groupBy("child", "parent").agg(F.min("depth").alias("depth"))
+        new = materialise(found.join(known.select("child", "parent"), ["child", "parent"], "left_anti"))
+        if new.isEmpty():
+            return known
+        parts.append(new)
+        known, reach = known.union(new), 2 * reach
 
 
 def update(data: DataFrame, delete: DataFrame | None = None, insert: DataFrame | None = None) -> DataFrame:
@@ -113,6 +142,41 @@ def add(data: DataFrame, source: str, target: str) -> DataFrame:
     return data.union(data.where(F.col("g") == source).withColumn("g", F.lit(target)).select(*data.columns)).distinct()
 
 
+def load(data: DataFrame, lines: DataFrame, graph: str | None = None, column: str = "value") -> DataFrame:
+    """data with the statements of N-Quads or N-Triples lines; graph names the graph
+    of statements that name none."""
+    found = parse_nquads(lines, column).withColumn("g", F.coalesce("g", F.lit(graph)))
+    return data.union(found.select(*data.columns)).distinct()
+
+
+def create(graphs: DataFrame, graph: str, silent: bool = False) -> DataFrame:
+    """The registry of graphs (column g) with one more, an empty graph included;
+    an error if it exists, unless silent."""
+    if not silent and not graphs.where(F.col("g") == graph).isEmpty():
+        raise ValueError(f"graph {graph} exists")
+    return graphs.union(graphs.sparkSession.createDataFrame([(graph,)], "g string")).distinct()
+
+
+def drop(data: DataFrame, graphs: DataFrame, graph: str, silent: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Triples and registry without a graph; an error if it is unknown, unless silent."""
+    if not silent and graphs.where(F.col("g") == graph).isEmpty():
+        raise ValueError(f"no graph {graph}")
+    return clear(data, graph), graphs.where(F.col("g") != graph)
+
+
+def delete_where(data: DataFrame, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
+    """data without the triples of every solution of the patterns."""
+    found = match(data, patterns, graph=graph)
+    gone = None
+    for pattern in patterns:
+        terms = [F.col(t[1:]) if t.startswith("?") else F.lit(t) for t in pattern]
+        rows = found.select(*[term.alias(f"_{c}") for term, c in zip(terms, "spo")]).distinct()
+        gone = rows if gone is None else gone.union(rows).distinct()
+    within = F.lit(True) if graph is None else F.col("g") == graph
+    rule = (F.col("s") == F.col("_s")) & (F.col("p") == F.col("_p")) & (F.col("o") == F.col("_o")) & within
+    return data.join(gone, rule, "left_anti")
+
+
 NQUAD = r'^(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@(\S+))?)\s*(?:<([^>]*)>\s*)?\.\s*$'
 
 

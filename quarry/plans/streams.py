@@ -16,15 +16,15 @@ def rows_n():
 @query("stream_bundles", """WITH t AS (SELECT user_id AS key, event_id // 100 AS commit_num, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY event_id // 100, user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS turn FROM events)
     SELECT commit_num, key, CAST(sum(turn) AS BIGINT) AS bundles, count(*) AS records FROM t GROUP BY ALL""")
 def stream_bundles(spark, sf_dir):
-    """Change records bundled batch by batch."""
-    out = scratch(spark)
+    """Change records bundled batch by batch, commits cut by batch borders included."""
+    bundles = S.Bundles(spark)
 
     def each(batch, batch_id):
         records = batch.select(F.floor(F.col("event_id") / 100).alias("commit_num"), F.col("event_id").alias("op_num"), F.col("user_id").alias("key"), F.col("event_type").alias("op"))
-        S.bundled(records).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        bundles.add(records, batch_id)
 
     S.drain(S.table_stream(spark, sf_dir, "events"), each, scratch(spark))
-    return spark.read.parquet(out).groupBy("commit_num", "key").agg(F.max("bundle").alias("bundles"), rows_n().alias("records"))
+    return spark.read.parquet(bundles.out).groupBy("commit_num", "key").agg(F.max("bundle").alias("bundles"), rows_n().alias("records"))
 
 
 @query("stream_upsert", """SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")

@@ -43,6 +43,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to a new path of the shared folder and read it again: what several
+    branches of a plan need is computed once, and a lost executor repeats little."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
@@ -56,7 +64,9 @@ def ship_code(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "quarry_code.zip")
+    folder_of_zip = tempfile.mkdtemp(prefix="quarry-code-")  # code, not data; the file server reads it until the end
+    atexit.register(shutil.rmtree, folder_of_zip, ignore_errors=True)
+    target = os.path.join(folder_of_zip, "quarry_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(here):
             for name in names:

@@ -1,15 +1,18 @@
 """The change stream: sources, bundling, stateful upserts, fan-out and timeouts.
 
-Polling, leases, checkpoints and retries are Structured Streaming's own: a
-trigger, one query per checkpoint folder, the checkpoint, and task retries.
+Leases, checkpoints and task retries are Structured Streaming's own: one query per
+checkpoint folder, and that folder. State kept between batches is a versioned
+table, which a new process takes up where the last one stopped.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -27,10 +30,40 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Run everything there is through foreachBatch, then stop."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    query.awaitTermination()
+def drain(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", retries: int = 0, wait: float = 1.0, longest: float = 60.0
+) -> None:
+    """Run everything there is through foreachBatch, then stop. The checkpoint is a
+    query's lease and its position. A failed run starts again from it up to retries
+    times, after wait seconds, doubled each time up to longest."""
+    for left in range(retries, -1, -1):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+        try:
+            query.awaitTermination()
+            return
+        except StreamingQueryException:
+            if not left:
+                raise
+            time.sleep(min(longest, wait * 2 ** (retries - left)))
+
+
+def poll(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, budget: float, share: float = 0.9, wait: float = 1.0, longest: float = 30.0) -> int:
+    """Drain again and again until a share of the budget of seconds is used up;
+    the pause doubles up to longest while nothing arrives. Returns the batches seen."""
+    began, seen, pause = time.monotonic(), 0, wait
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        nonlocal seen
+        seen += 1
+        each(batch, batch_id)
+
+    while True:
+        before = seen
+        drain(stream, counted, checkpoint)
+        pause = wait if seen > before else min(longest, pause * 2)
+        if time.monotonic() - began + pause > share * budget:
+            return seen
+        time.sleep(pause)
 
 
 def bundled(records: DataFrame, optimised: bool = False) -> DataFrame:
@@ -40,21 +73,85 @@ def bundled(records: DataFrame, optimised: bool = False) -> DataFrame:
     return runs(records, keys, ["commit_num", "op_num"], "op")
 
 
-class StateTable:
-    """Current rows by key as parquet versions in the shared folder. A batch that is
-    repeated after a failure writes the same version again, so it applies once."""
+class Versions:
+    """A table as parquet versions, one per micro-batch, in the shared folder.
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], path: str | None = None):
-        self.spark, self.keys, self.order, self.path = spark, keys, order, path or scratch(spark)
-        self.version = -1
+    A new object on the same path goes on from what is there. A batch that comes
+    again after a failure starts from the version before it and writes its own
+    version anew, so it applies once; a version is read only when it is complete,
+    and never overwritten while it is read. The newest kept versions stay.
+    """
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        target = self.read() if self.version >= 0 else batch.limit(0)
-        upsert(target, batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.version = batch_id
+    def __init__(self, spark: SparkSession, path: str | None = None, kept: int = 3):
+        self.spark, self.path, self.kept = spark, path or scratch(spark), kept
+
+    def _folder(self, path: str) -> tuple[Any, Any]:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
+
+    def committed(self) -> list[int]:
+        files, root = self._folder(self.path)
+        if not files.exists(root):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(root)]
+        return sorted(int(n) for n in names if n.isdigit() and files.exists(self._folder(f"{self.path}/{n}/_SUCCESS")[1]))
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        """The version that batch_id builds on, if any."""
+        earlier = [v for v in self.committed() if v < batch_id]
+        return self.spark.read.parquet(f"{self.path}/{earlier[-1]}") if earlier else None
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        for old in [v for v in self.committed() if v <= batch_id][: -self.kept]:
+            files, path = self._folder(f"{self.path}/{old}")
+            files.delete(path, True)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}")
+        return self.spark.read.parquet(f"{self.path}/{self.committed()[-1]}")
+
+
+class StateTable(Versions):
+    """Current rows by key; of several changes of a key the last in order wins."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], path: str | None = None):
+        super().__init__(spark, path)
+        self.keys, self.order = keys, order
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        target = self.before(batch_id)
+        self.write(upsert(batch.limit(0) if target is None else target, batch, self.keys, self.order), batch_id)
+
+
+class Bundles:
+    """Bundle numbers over many micro-batches, as `bundled` gives them over all
+    records at once. Batches follow commit order; a commit may be cut by their
+    border: the last operation and bundle of every open key are carried on, of the
+    last commit, or optimised, of every key."""
+
+    def __init__(self, spark: SparkSession, optimised: bool = False, path: str | None = None):
+        root = path or scratch(spark)
+        self.keys = ["key"] if optimised else ["commit_num", "key"]
+        self.optimised, self.out, self.state = optimised, f"{root}/bundles", Versions(spark, f"{root}/state")
+
+    def add(self, records: DataFrame, batch_id: int) -> None:
+        found = bundled(records, self.optimised)
+        order = F.struct("commit_num", "op_num")
+        carried = self.state.before(batch_id)
+        if carried is not None:
+            first = records.groupBy(*self.keys).agg(F.min_by("op", order).alias("_first"))
+            shift = F.col("last_bundle") - (F.col("_first") == F.col("last_op")).cast("int")
+            shifts = first.join(carried, self.keys).select(*self.keys, shift.alias("_shift"))
+            found = found.join(shifts, self.keys, "left").withColumn("bundle", F.col("bundle") + F.coalesce("_shift", F.lit(0))).drop("_shift")
+        found.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+        found = records.sparkSession.read.parquet(f"{self.out}/batch={batch_id}")
+        last = found.groupBy(*self.keys).agg(F.max_by("op", order).alias("last_op"), F.max_by("bundle", order).alias("last_bundle"))
+        if carried is not None:
+            last = last.unionByName(carried.join(last.select(*self.keys), self.keys, "left_anti"))
+        if not self.optimised:
+            newest = last.agg(F.max("commit_num").alias("newest"))
+            last = last.join(F.broadcast(newest), F.col("commit_num") == F.col("newest")).drop("newest")
+        self.state.write(last, batch_id)
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> Callable[[DataFrame, int], None]:
