@@ -6,10 +6,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
@@ -81,6 +81,45 @@ def match_kind(text: Column, concept: Column) -> Column:
     )
 
 
+def best_matches(texts: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
+    """(text, concept, kind, confidence): the k best of concepts (concept) for each
+    text (text); what is empty once normalised matches nothing.
+
+    No pair is compared that cannot match: a match shares a word, or one side holds
+    the other and with it its first three characters (all, if it has fewer). Both
+    are equality joins.
+    """
+    a, b = T.normalise_for_match(F.col("text")), T.normalise_for_match(F.col("concept"))
+    mine, theirs = texts.select("text", a.alias("a")).where("a != ''"), concepts.select("concept", b.alias("b")).where("b != ''")
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+
+    def pieces(c: str) -> Column:
+        spots = F.sequence(F.lit(1), F.length(c))
+        return F.explode(F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(*[F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3)])))))
+
+    start = lambda c: F.substring(c, 1, 3)
+    shared = mine.select("text", words("a").alias("key")).join(theirs.select("concept", words("b").alias("key")), "key")
+    held = mine.select("text", "a", pieces("a").alias("key")).join(theirs.select("concept", "b", start("b").alias("key")), "key").where(F.contains("a", "b"))
+    holds = theirs.select("concept", "b", pieces("b").alias("key")).join(mine.select("text", "a", start("a").alias("key")), "key").where(F.contains("b", "a"))
+    pairs = reduce(DataFrame.union, [p.select("text", "concept") for p in (shared, held, holds)]).distinct()
+    hits = pairs.withColumn("m", match_kind(F.col("text"), F.col("concept"))).where("m is not null")
+    nth = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("m.confidence"), "concept"))
+    return hits.withColumn("r", nth).where(F.col("r") <= k).select("text", "concept", "m.kind", "m.confidence")
+
+
+def keyword_concepts(docs: DataFrame, low: Column) -> DataFrame:
+    """docs with one row per hit (category, concept, evidence) of the keyword rules in
+    the lower-cased text low; the evidence names the rule's first keyword."""
+    hits = [
+        F.when(
+            T.contains_any(low, [w.lower() for w in words]),
+            F.struct(F.lit(category).alias("category"), F.lit(concept).alias("concept"), F.lit(f"Keyword match: {words[0]}").alias("evidence")),
+        )
+        for category, rules in C.CONCEPT_KEYWORDS.items() for concept, words in rules.items()
+    ]
+    return docs.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).drop("low")
+
+
 _RULES = [(re.compile(p, re.I), new) for p, new in C.ORG_RULES]
 
 

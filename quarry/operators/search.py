@@ -2,19 +2,20 @@
 
 BM25 here is score = sum over terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b +
 b * length / average)), idf = ln(1 + (n - df + 0.5) / (df + 0.5)). A query has
-few terms, so their frequencies are counted inside each row: one pass for the
-collection's statistics, one for the scores, and no shuffle of postings.
+few terms, so their frequencies are counted inside each row and kept, a few numbers
+a document: one pass over the texts, and no shuffle of postings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import materialise
 
 K1, B, RRF_K, TOP = 1.2, 0.75, 60, 200
 
@@ -23,19 +24,23 @@ def _equals(term: str):
     return lambda word: word == term
 
 
-def bm25(docs: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], terms: Sequence[str], restrict: DataFrame | None = None) -> DataFrame:
+def bm25(
+    docs: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], terms: Sequence[str], restrict: DataFrame | None = None,
+    analyser: Callable[[Column], Column] = T.tokens,
+) -> DataFrame:
     """(doc_id, score) of documents with any term; score is the best field's,
     times its boost, to six decimals. restrict(doc_id) limits the documents
-    scored, not the statistics."""
+    scored, not the statistics. analyser turns a field into its words; terms are
+    words as it gives them."""
     columns = [F.col("doc_id")]
-    tokenised = docs.select(F.col(id_col).alias("doc_id"), *[T.tokens(value).alias(f"{name}_words") for name, (value, _) in fields.items()])
+    tokenised = docs.select(F.col(id_col).alias("doc_id"), *[analyser(value).alias(f"{name}_words") for name, (value, _) in fields.items()])
     for name in fields:
         words = F.col(f"{name}_words")
         columns += [F.size(words).alias(f"{name}_n")]
         columns += [
             F.size(F.filter(words, _equals(term))).alias(f"{name}_{at}") for at, term in enumerate(terms)
         ]
-    counted = tokenised.select(*columns)
+    counted = materialise(tokenised.select(*columns))
     stats = counted.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.avg(f"{name}_n").alias(f"{name}_avg") for name in fields],
@@ -73,6 +78,22 @@ def vector_scores(vectors: DataFrame, query: DataFrame, id_col: str = "vec_id",
     )
 
 
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 4096
+
+
+def against(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(q, doc_id, score) of every vector against a stated query set (q, v), to six
+    decimals. The set may grow: it is broadcast in blocks of about QUERY_BLOCK rows."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else queries
+        score = F.round(cosine(F.col(vector_col), F.col("v")), 6)
+        parts.append(vectors.join(F.broadcast(some)).select("q", F.col(id_col).alias("doc_id"), score.alias("score")))
+    return reduce(DataFrame.union, parts)
+
+
 def top(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.orderBy(F.desc("score"), "doc_id").limit(k)
 
@@ -93,10 +114,14 @@ def fuse(left: DataFrame, right: DataFrame, k: int = RRF_K, best: bool = False)
     return both.groupBy("doc_id").agg(F.sum(1 / (F.col("rank") + k)).alias("rrf"))
 
 
-def max_normalised(scores: DataFrame, column: str) -> DataFrame:
-    """column divided by its maximum; all zero if that is zero."""
-    most = scores.agg(F.max(column).alias("_most"))
-    return scores.join(F.broadcast(most)).withColumn(
+def max_normalised(scores: DataFrame, column: str, few: bool = False) -> DataFrame:
+    """column divided by its maximum; all zero if that is zero. few: the rows are
+    those of a ranking and may meet in one task, so they are computed once."""
+    if few:
+        joined = scores.withColumn("_most", F.max(column).over(Window.partitionBy(F.lit(0))))
+    else:
+        joined = scores.join(F.broadcast(scores.agg(F.max(column).alias("_most"))))
+    return joined.withColumn(
         column, F.when(F.col("_most") == 0, 0.0).otherwise(F.col(column) / F.col("_most"))
     ).drop("_most")
 

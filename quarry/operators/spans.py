@@ -115,10 +115,19 @@ def overlap_join(spans: DataFrame, chunks: DataFrame, key: str = "doc_id", bucke
     ).withColumn("relative_hi", F.least(F.col("hi") - F.col("start"), F.col("stop") - F.col("start")))
 
 
+def _with_texts(chunks: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """One row per document with its text and all its chunks (_rows), so a text is
+    shuffled once and not with every chunk."""
+    own = [c for c in chunks.columns if c != key]
+    return chunks.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("_rows")).join(docs.select(key, "text"), key)
+
+
 def located(chunks: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """chunks (key, chunk) with start and stop of their first place in the text; misses go."""
-    at = F.expr("locate(trim(chunk), text)")
-    return chunks.join(docs.select(key, "text"), key).withColumn("start", at - 1).where("start >= 0").withColumn("stop", F.col("start") + F.length(F.trim("chunk"))).drop("text")
+    placed = _with_texts(chunks, docs, key).select(
+        key, F.inline(F.expr("transform(_rows, r -> struct(r, locate(trim(r.chunk), text) - 1 AS start))")).alias("_row", "start")
+    )
+    return placed.where("start >= 0").select(key, "_row.*", "start", (F.col("start") + F.length(F.trim("_row.chunk"))).alias("stop"))
 
 
 def highlighted(text: Column, terms: list[str], fragments: int = 3, size: int = 150) -> Column:
@@ -155,15 +164,15 @@ def reconstruct_offsets(text: str, chunk: str) -> tuple[int, int] | None:
 
 def reconstructed(chunks: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """chunks (key, chunk) with lo and hi by reconstruct_offsets, null if not found."""
+    kind = StructType().add("lo", IntegerType()).add("hi", IntegerType())
 
-    @F.pandas_udf(StructType().add("lo", IntegerType()).add("hi", IntegerType()))
-    def find(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        found = [reconstruct_offsets(t or "", c or "") or (None, None) for t, c in zip(texts, parts)]
-        return pd.DataFrame({"lo": pd.array([f[0] for f in found], "Int32"), "hi": pd.array([f[1] for f in found], "Int32")})
-
-    return chunks.join(docs.select(key, "text"), key).withColumn("_at", find("text", "chunk")).select(*chunks.columns, "_at.lo", "_at.hi")
-
+    @F.pandas_udf(ArrayType(kind))
+    def find(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        at = lambda text, chunk: dict(zip(("lo", "hi"), reconstruct_offsets(text or "", chunk or "") or (None, None)))
+        return pd.Series([[at(t, c) for c in cs] for t, cs in zip(texts, parts)])
 
+    found = _with_texts(chunks, docs, key).withColumn("_at", find("text", F.col("_rows.chunk")))
+    return found.select(key, F.inline(F.arrays_zip("_rows", "_at")).alias("_row", "_at")).select(key, "_row.*", "_at.lo", "_at.hi")
 
 
 def structured(blocks: list[tuple[str, str]], least: int = 150, most: int = 1200, overlap: int = 1) -> list[tuple[str, str, list[str]]]:

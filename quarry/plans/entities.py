@@ -85,21 +85,20 @@ def similar_names(spark, sf_dir):
     return groups.join(E.best_names(groups), "canonical")
 
 
-@query("concept_matches", r"""WITH c AS (SELECT DISTINCT p_type AS concept FROM part), t AS (SELECT p_partkey, split_part(p_type, ' ', 1) || ' ' || split_part(p_name, ' ', 1) AS text FROM part WHERE p_partkey <= 200),
+@query("concept_matches", r"""WITH c AS (SELECT DISTINCT p_type AS concept FROM part), t AS (SELECT p_partkey, split_part(p_type, ' ', 1) || ' ' || split_part(p_name, ' ', 1) AS text FROM part),
     n AS (SELECT p_partkey, concept, lower(text) AS a, lower(concept) AS b FROM t, c),
     m AS (SELECT *, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM n),
     k AS (SELECT p_partkey, concept, CASE WHEN a = b THEN 'exact' WHEN contains(a, b) OR contains(b, a) THEN 'partial' WHEN len(list_intersect(x, y)) / greatest(len(x), len(y)) > 0.3 THEN 'word_overlap' END AS kind,
       CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect(x, y)) / greatest(len(x), len(y)) END AS confidence FROM m)
     SELECT p_partkey, concept, kind, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY confidence DESC, concept) <= 3""")
 def concept_matches(spark, sf_dir):
-    """Exact, containment and word overlap against a small vocabulary; three best
-    of each of the first two hundred texts, the stated query set."""
+    """Exact, containment and word overlap against a vocabulary; three best of each
+    part's text. Texts that say the same are matched once."""
     part = table(spark, sf_dir, "part")
     concepts = part.select(F.col("p_type").alias("concept")).distinct()
-    texts = part.where("p_partkey <= 200").select("p_partkey", F.concat_ws(" ", F.split("p_type", " ")[0], F.split("p_name", " ")[0]).alias("text"))
-    hits = concepts.join(F.broadcast(texts)).withColumn("m", E.match_kind(F.col("text"), F.col("concept"))).where("m is not null")
-    nth = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("m.confidence"), "concept"))
-    return hits.withColumn("r", nth).where("r <= 3").select("p_partkey", "concept", "m.kind", F.round("m.confidence", 6).alias("confidence"))
+    texts = part.select("p_partkey", F.concat_ws(" ", F.split("p_type", " ")[0], F.split("p_name", " ")[0]).alias("text"))
+    found = E.best_matches(texts.select("text").distinct(), concepts, 3)
+    return texts.join(found, "text").select("p_partkey", "concept", "kind", F.round("confidence", 6).alias("confidence"))
 
 
 @query("lookup_cascade", """SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) = 'PROMO' THEN 'known:promo' WHEN contains(p_type, 'STEEL') THEN 'fuzzy:steel' ELSE 'new:' || lower(replace(p_type, ' ', '_')) END AS uri FROM part""")
@@ -121,21 +120,22 @@ def label_to_uri(spark, sf_dir):
     return joined.select("n_nationkey", F.coalesce("known", F.concat(F.lit("sg:New_"), T.slug(F.col("n_name")))).alias("uri"))
 
 
-_RULE_SQL = "SELECT doc_id, concept, label FROM documents, (VALUES " + ", ".join(
-    f"('{u}', '{T_}', [{', '.join(chr(39) + k.lower() + chr(39) for k in ks)}])" for u, ks in C.CONCEPT_KEYWORDS.items()
+_RULE_SQL = "SELECT doc_id, category, concept, label, 0.85 AS confidence, 'Keyword match: ' || first AS evidence FROM documents, (VALUES " + ", ".join(
+    f"('{g}', '{u}', '{T_}', '{ks[0]}', [{', '.join(chr(39) + k.lower() + chr(39) for k in ks)}])" for g, rules in C.CONCEPT_KEYWORDS.items() for u, ks in rules.items()
     for T_ in ["".join((" " + ch if ch.isupper() else ch) for ch in u.split(":")[1]).strip()]
-) + ") r(concept, label, words) WHERE len(list_filter(words, lambda w: contains(lower(text) || ' flood', w))) > 0 AND NOT (doc_id % 2 = 0 AND concept = 'sg:FloodRisk')"
+) + ") r(category, concept, label, first, words) WHERE len(list_filter(words, lambda w: contains(lower(text) || ' flood', w))) > 0 AND NOT (doc_id % 2 = 0 AND concept = 'sg:FloodRisk')"
 
 
 @query("rule_concepts", _RULE_SQL)
 def rule_concepts(spark, sf_dir):
-    """Keyword rules add the concepts that a document does not have yet."""
-    low = F.concat(F.lower("text"), F.lit(" flood"))
-    hits = F.array_compact(F.array(*[F.when(T.contains_any(low, [w.lower() for w in words]), F.lit(c)) for c, words in C.CONCEPT_KEYWORDS.items()]))
+    """Keyword rules add the concepts that a document does not have yet, by category."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(hits).alias("concept"))
+    # the lower-cased text is a column of its own, computed once for all rules
+    low = docs.select("doc_id", F.concat(F.lower("text"), F.lit(" flood")).alias("low"))
     have = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("sg:FloodRisk").alias("concept"))
-    return found.join(have, ["doc_id", "concept"], "left_anti").withColumn("label", T.camel_label(F.col("concept")))
+    return E.keyword_concepts(low, F.col("low")).select("doc_id", "hit.*").join(have, ["doc_id", "concept"], "left_anti").select(
+        "doc_id", "category", "concept", T.camel_label(F.col("concept")).alias("label"), F.lit(0.85).alias("confidence"), "evidence"
+    )
 
 
 @query("entity_routing", "SELECT event_id, event_type AS type, 'contextual' AS route FROM events WHERE event_type IN ('click', 'view')")

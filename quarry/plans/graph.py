@@ -254,12 +254,12 @@ def population_top(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", value.alias("population")).orderBy(F.desc_nulls_last("population"), "c_custkey").limit(20)
 
 
-@query("fts_graph_join", "SELECT p_partkey, l_orderkey FROM (SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'blue') OR list_contains(string_split(lower(p_type), ' '), 'tin')) JOIN lineitem ON l_partkey = p_partkey WHERE l_linenumber = 1")
+@query("fts_graph_join", "SELECT p_partkey, l_orderkey, l_linenumber FROM (SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'blue') OR list_contains(string_split(lower(p_type), ' '), 'tin')) JOIN lineitem ON l_partkey = p_partkey")
 def fts_graph_join(spark, sf_dir):
     """A term lookup feeding a graph join."""
     hits = table(spark, sf_dir, "part").where(F.array_contains(T.tokens(F.col("p_name")), "blue") | F.array_contains(T.tokens(F.col("p_type")), "tin")).select("p_partkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
-    return lines.join(hits, "p_partkey").select("p_partkey", "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber")
+    return lines.join(hits, "p_partkey").select("p_partkey", "l_orderkey", "l_linenumber")
 
 
 @query("bag_union", "SELECT 'name' AS field, p_partkey FROM part WHERE contains(p_name, 'a') UNION ALL SELECT 'type', p_partkey FROM part WHERE contains(p_type, 'A') UNION ALL SELECT 'brand', p_partkey FROM part WHERE contains(p_brand, '1')")

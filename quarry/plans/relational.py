@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import tables as M
 from quarry.registry import query
-from quarry.session import table
+from quarry.session import materialise, table
 
 
 def rows_n():
@@ -330,12 +330,14 @@ def adjacent_turns(spark, sf_dir):
     )
 
 
-@query("shared_value_pairs", """WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey AND a.l_orderkey % 50 = 0 GROUP BY ALL""")
+@query("shared_value_pairs", """WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey AND a.l_orderkey % 100 = 0 GROUP BY ALL""")
 def shared_value_pairs(spark, sf_dir):
-    """Orders sharing suppliers with a stated set of orders."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey").distinct()
-    asked = pairs.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "a")
-    return asked.join(pairs.withColumnRenamed("l_orderkey", "b"), "l_suppkey").where("a < b").groupBy("a", "b").agg(rows_n().alias("shared"))
+    """Orders sharing suppliers with every hundredth order, itself excluded. The
+    distinct pairs are written first, so the join reads plain shuffles and a popular
+    supplier can be split."""
+    pairs = materialise(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct())
+    asked = pairs.where("l_orderkey % 100 = 0").withColumnRenamed("l_orderkey", "a")
+    return asked.join(pairs.withColumnRenamed("l_orderkey", "b"), "l_suppkey").where("a != b").groupBy("a", "b").agg(rows_n().alias("shared"))
 
 
 @query("co_occurrence_pairs", """SELECT l_orderkey, least(a, b) AS a, greatest(a, b) AS b, distance FROM (SELECT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b, abs(x.l_linenumber - y.l_linenumber) AS distance FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)""")

@@ -9,7 +9,7 @@ from quarry.functions import constants as C
 from quarry.functions import text as T
 from quarry.operators import search as S
 from quarry.registry import query
-from quarry.session import table
+from quarry.session import materialise, table
 
 TERMS = ("the", "than", "ereden")
 TITLE = "split_part(text, chr(10), 1)"
@@ -74,7 +74,7 @@ def vector_topk(spark, sf_dir):
 )
 def hybrid_search_rrf(spark, sf_dir):
     fused = S.fuse(S.ranked(_keyword(spark, sf_dir)), S.ranked(_vector(spark, sf_dir)))
-    scored = S.max_normalised(fused.withColumnRenamed("rrf", "score"), "score").withColumn("score", F.round("score", 6))
+    scored = S.max_normalised(fused.withColumnRenamed("rrf", "score"), "score", few=True).withColumn("score", F.round("score", 6))
     return S.top(scored, 20)
 
 
@@ -254,7 +254,7 @@ def two_list_lexical_filter(spark, sf_dir):
 
 @query(
     "tsd_selection",
-    """WITH qv AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10),
+    """WITH qv AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT q, vec_id % 200 AS doc_id, max(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6)) AS score FROM embeddings, qv GROUP BY 1, 2),
     n AS (SELECT q, doc_id, score / max(score) OVER (PARTITION BY q) AS norm, max(score) OVER (PARTITION BY q) AS m FROM s),
     c AS (SELECT q, doc_id, norm FROM n JOIN documents USING (doc_id) WHERE m <> 0 AND norm >= 0.2
@@ -263,16 +263,14 @@ def two_list_lexical_filter(spark, sf_dir):
     SELECT doc_id, round(max(norm), 6) AS best, count(*) AS hits FROM t GROUP BY doc_id""",
 )
 def tsd_selection(spark, sf_dir):
-    """The best three documents of each of ten query vectors that pass a lexical
-    test, with their best normalised score and number of hits."""
+    """The best three documents of each query vector (every hundredth) that pass a
+    lexical test, with their best normalised score and number of hits."""
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    hits = vectors.join(F.broadcast(queries)).select(
-        "q", (F.col("vec_id") % 200).alias("doc_id"), F.round(S.cosine(F.col("embedding"), F.col("v")), 6).alias("score")
-    )
-    per_doc = hits.groupBy("q", "doc_id").agg(F.max("score").alias("score"))
-    most = F.max("score").over(Window.partitionBy("q"))
-    norm = per_doc.withColumn("m", most).where("m != 0").withColumn("norm", F.col("score") / F.col("m")).where("norm >= 0.2")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    hits = S.against(vectors, queries).withColumn("doc_id", F.col("doc_id") % 200)
+    per_doc = materialise(hits.groupBy("q", "doc_id").agg(F.max("score").alias("score")))
+    most = per_doc.groupBy("q").agg(F.max("score").alias("m"))
+    norm = per_doc.join(most, "q").where("m != 0").withColumn("norm", F.col("score") / F.col("m")).where("norm >= 0.2")
     docs = table(spark, sf_dir, "documents").where(T.contains_any(F.lower("text"), ("ther", "erung"))).select("doc_id")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("norm"), "doc_id"))
     chosen = norm.join(docs, "doc_id").withColumn("r", nth).where("r <= 3")
@@ -344,14 +342,13 @@ def falsy_score_order(spark, sf_dir):
 @query(
     "related_vectors",
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20)
+    p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
     SELECT vec_id, other, score FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) <= 5""",
 )
 def related_vectors(spark, sf_dir):
-    """The five nearest of each of a stated set of twenty."""
+    """The five nearest of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select("vec_id", F.col("embedding").alias("v"))
-    pairs = vectors.select(F.col("vec_id").alias("other"), "embedding").join(F.broadcast(asked), F.col("vec_id") != F.col("other"))
-    scored = pairs.select("vec_id", "other", F.round(S.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    scored = S.against(vectors, asked).where("q != doc_id").select(F.col("q").alias("vec_id"), F.col("doc_id").alias("other"), "score")
     nth = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "other"))
     return scored.withColumn("r", nth).where("r <= 5").drop("r")

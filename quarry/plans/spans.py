@@ -49,9 +49,13 @@ def chunk_numbering(spark, sf_dir):
     return parts.select("doc_id", "title", "section_number", F.concat(F.lit("d"), "doc_id", F.lit("_chunk_"), number).alias("chunk_id"))
 
 
-@query("packed_chunks")
+@query("packed_chunks", r"""WITH s AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda p: {'current': p, 'done': CAST([] AS VARCHAR[])}) AS parts FROM documents),
+    f AS (SELECT doc_id, list_reduce(parts, lambda s, p: CASE WHEN s.current <> '' AND length(s.current) + length(p.current) > 1000 THEN {'current': p.current, 'done': list_append(s.done, s.current)}
+      WHEN s.current = '' THEN {'current': p.current, 'done': s.done} ELSE {'current': s.current || chr(10) || p.current, 'done': s.done} END) AS f FROM s),
+    c AS (SELECT doc_id, CASE WHEN trim(f.current) <> '' THEN list_append(f.done, f.current) ELSE f.done END AS chunks FROM f)
+    SELECT doc_id, CAST(k - 1 AS INT) AS chunk_index, length(chunks[k]) AS size, md5(chunks[k]) AS digest FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS k FROM c)""")
 def packed_chunks(spark, sf_dir):
-    """Greedy packing of paragraphs; checked by tests."""
+    """Greedy packing of paragraphs."""
     chunks = P.packed(F.split("text", "\n"), glue="\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_index", "text")).select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
@@ -97,10 +101,12 @@ def chunk_positions(spark, sf_dir):
 
 @query("offset_reconstruction")
 def offset_reconstruction(spark, sf_dir):
-    """Chunks whose white space was re-flowed; checked by tests."""
+    """All chunks of 400 characters of every text, with re-flowed white space; checked by tests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chunks = docs.select("doc_id", F.regexp_replace(F.substring("text", 11, 400), r"\s+", " ").alias("chunk"))
-    return P.reconstructed(chunks, docs).select("doc_id", "lo", "hi")
+    spots = F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / 400), F.lit(0)).cast("int"))
+    slices = F.transform(spots, lambda n: F.regexp_replace(F.substring(F.col("text"), n * 400 + 1, F.lit(400)), r"\s+", " "))
+    chunks = docs.select("doc_id", F.posexplode(slices).alias("n", "chunk"))
+    return P.reconstructed(chunks, docs).select("doc_id", "n", "lo", "hi")
 
 
 @query("highlights")

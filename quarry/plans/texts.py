@@ -219,13 +219,13 @@ def query_processing(spark, sf_dir):
 
 @query(
     "literal_escapes",
-    r"""WITH t AS (SELECT doc_id, substr(text, 1, 150) || chr(9) || '"q"\' || chr(13) || '''' AS s FROM documents)
+    r"""WITH t AS (SELECT doc_id, text || chr(9) || '"q"\' || chr(13) || '''' AS s FROM documents)
     SELECT doc_id, substr(regexp_replace(replace(replace(replace(replace(replace(s, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), ''), chr(9), ' '), '[\x00-\x1F]', '', 'g'), 1, 200) AS literal,
     replace(replace(replace(replace(replace(s, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') AS turtle,
     replace(replace(replace(replace(replace(replace(s, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), '''', '\''') AS sparql FROM t""",
 )
 def literal_escapes(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 150), F.lit('\t"q"\\\r\''))
+    text = F.concat("text", F.lit('\t"q"\\\r\''))
     return table(spark, sf_dir, "documents").select(
         "doc_id", T.escape_literal(text).alias("literal"), T.escape_turtle(text).alias("turtle"), T.escape_sparql(text).alias("sparql")
     )
@@ -254,10 +254,10 @@ def pseudo_documents(spark, sf_dir):
 @query(
     "match_normalisation",
     r"""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(s, chr(10) || ' ')), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s-]', '', 'g') AS matched,
-    trim(regexp_replace(replace(replace(s, '–', '-'), '’', ''''), '\s+', ' ', 'g')) AS ocr FROM (SELECT doc_id, substr(text, 1, 300) || ' – it’s' AS s FROM documents)""",
+    trim(regexp_replace(replace(replace(s, '–', '-'), '’', ''''), '\s+', ' ', 'g')) AS ocr FROM (SELECT doc_id, text || ' – it’s' AS s FROM documents)""",
 )
 def match_normalisation(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 300), F.lit(" – it’s"))
+    text = F.concat("text", F.lit(" – it’s"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", T.normalise_for_match(text).alias("matched"), T.normalise_ocr(text).alias("ocr")
     )
@@ -370,16 +370,16 @@ def uri_labels(spark, sf_dir):
 
 @query(
     "interval_predicates",
-    """SELECT o_orderkey, CAST(epoch(l_shipdate - o_orderdate) AS BIGINT) AS seconds, l_shipdate > o_orderdate + INTERVAL 60 DAY AS late,
+    """SELECT o_orderkey, l_linenumber, CAST(epoch(l_shipdate - o_orderdate) AS BIGINT) AS seconds, l_shipdate > o_orderdate + INTERVAL 60 DAY AS late,
     CAST(o_orderdate AS DATE) = DATE '1995-03-15' AS on_day, o_orderpriority LIKE '1-%' AS urgent, o_orderpriority LIKE '%HIGH%' AS high
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1""",
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
 )
 def interval_predicates(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     seconds = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.col("l_shipdate"))
     return rows.select(
-        "o_orderkey", seconds.alias("seconds"), (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("late"),
+        "o_orderkey", "l_linenumber", seconds.alias("seconds"), (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("late"),
         (F.to_date("o_orderdate") == F.lit("1995-03-15").cast("date")).alias("on_day"), F.col("o_orderpriority").like("1-%").alias("urgent"),
         F.col("o_orderpriority").like("%HIGH%").alias("high"),
     )
