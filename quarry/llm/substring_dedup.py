@@ -257,10 +257,16 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _by_window(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+def _first_owners(windows: DataFrame) -> DataFrame:
+    """(gram, window, least) of the windows that have several owners."""
+    owners = windows.groupBy("gram", "window").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
+    return owners.where("least < most").drop("most")
+
+
+def _by_window(texts: DataFrame, windows: DataFrame, first: DataFrame, length: int) -> DataFrame:
     """The same for shards with very many texts: the windows meet one by one in an
-    aggregation, so that no task needs a whole shard."""
-    first = windows.groupBy("gram", "window").agg(F.min("owner").alias("least"))
+    aggregation, so that no task needs a whole shard. windows and first are written
+    tables, so their join can split a window that very many texts hold."""
     earlier = (
         windows.join(first.withColumnRenamed("gram", "g").withColumnRenamed("window", "w"),
                      (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")) & (F.col("least") < F.col("owner")))
@@ -311,7 +317,8 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
     )
     texts = written(_cut_out(docs, wanted, length))
     windows = written(_windows(texts.where("hot"), length))
-    owners = alone.union(_by_automaton(texts.where("not hot"), length)).union(_by_window(texts.where("hot"), windows, length))
+    first = written(_first_owners(windows))
+    owners = alone.union(_by_automaton(texts.where("not hot"), length)).union(_by_window(texts.where("hot"), windows, first, length))
     late = F.filter("runs", lambda r: r["owner"] < F.col("doc_id"))
     found = materialise(
         keys.join(owners, ["gram", "content"])
