@@ -101,5 +101,10 @@ class Plugins:
             raise KeyError(f"no {self.kind} named {name}; there are {sorted(self._known)}")
         return self._known[name]
 
+    def names(self) -> list[str]:
+        return sorted(self._known)
 
-EMBEDDINGS, ANNOTATORS, MINTERS, HANDLERS = map(Plugins, ("embedding model", "annotator", "uri minter", "handler"))
+
+EMBEDDINGS, ANNOTATORS, MINTERS, HANDLERS, ACCUMULATORS = map(
+    Plugins, ("embedding model", "annotator", "uri minter", "handler", "accumulator")
+)

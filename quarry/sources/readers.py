@@ -3,12 +3,17 @@ mapping files, message envelopes and relational tables."""
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import scratch
 
 CSV_FIELDS = {
     # fixed values: column heads as the files have them
@@ -54,6 +59,46 @@ def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_archives(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(archive, member, content) of the members of tar files, packed or not, whose
+    name ends with suffix. A task holds one archive."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["archive", "member", "content"]
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows, size = [], 0
+                with tarfile.open(fileobj=io.BytesIO(data.as_py())) as packed:
+                    for one in packed:
+                        if one.isfile() and one.name.endswith(suffix):
+                            rows.append((archive, one.name, packed.extractfile(one).read().decode("utf-8", "replace")))
+                            size += one.size
+                            if size > 4 << 20:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+                                rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(members, "archive string, member string, content string")
+
+
+def read_pages(spark: SparkSession, fetch: Callable[[str | None], tuple[list[tuple], str | None]], schema: str, together: int = 100) -> DataFrame:
+    """The rows of a source that hands out pages: fetch(token) gives a page's rows and
+    the next token, None at the end. Pages are written as they come, `together` at a
+    time, so the driver never holds them all."""
+    path, token, rows, pages = scratch(spark), None, [], 0
+    while True:
+        page, token = fetch(token)
+        rows += page
+        pages += 1
+        if pages % together == 0 or token is None:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+            rows = []
+        if token is None:
+            return spark.read.schema(schema).parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object per line; rows marked skip go."""
     return spark.read.schema(f"{schema}, skip boolean").json(path).where(~F.coalesce("skip", F.lit(False))).drop("skip")

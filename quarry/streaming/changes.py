@@ -32,15 +32,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
 
 def drain(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", retries: int = 0, wait: float = 1.0, longest: float = 60.0
-) -> None:
-    """Run everything there is through foreachBatch, then stop. The checkpoint is a
+) -> list[dict]:
+    """Run everything there is through foreachBatch, then stop; returns batch, records
+    and milliseconds of the last run's batches, as many as Spark keeps. The checkpoint is a
     query's lease and its position. A failed run starts again from it up to retries
     times, after wait seconds, doubled each time up to longest."""
     for left in range(retries, -1, -1):
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
         try:
             query.awaitTermination()
-            return
+            return [{"batch": p.batchId, "records": p.numInputRows, "milliseconds": p.batchDuration} for p in query.recentProgress if p.numInputRows]
         except StreamingQueryException:
             if not left:
                 raise
