@@ -7,6 +7,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def prepare(spark: SparkSession) -> None:
     ship_code(spark)
 
 
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def only(name: str, forget_all: Callable[[], object]) -> None:
+    """In a worker process: free what other operators keep there, such as tables of
+    words, since a process outlives a query's stages. forget_all frees what the
+    caller keeps."""
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    _kept[name] = forget_all
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

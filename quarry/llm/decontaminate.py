@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import materialise, prepare
+from quarry.llm._shared import materialise, only, prepare
 from quarry.llm.wordhash import Prefix
 
 #: Canonical tokens of a window, literal tokens it needs, and the share of an
@@ -260,6 +260,7 @@ _of_worker: dict[str, Tokens] = {}
 
 def _tokens_of(key: str, index: Index) -> Tokens:
     """One table per worker process and benchmark block."""
+    only("decontaminate", _of_worker.clear)
     if key not in _of_worker:
         _of_worker.clear()
         _of_worker[key] = Tokens(index.vocabulary)

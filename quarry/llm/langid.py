@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import prepare
+from quarry.llm._shared import only, prepare
 
 #: Documented bounds of the labelled sample: documents drawn of each language,
 #: characters of each of them, and documents drawn in all. With more languages
@@ -32,7 +32,7 @@ from quarry.llm._shared import prepare
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 160, 4000
 #: Bytes of text whose documents step together, and the number of documents
 #: still running from which on each is walked by itself.
-_TOGETHER, _FEW = 12 << 20, 10
+_TOGETHER, _FEW = 6 << 20, 10
 
 #: What separates the drawn documents; no parsed text holds it.
 _BREAK = b"\n"
@@ -218,6 +218,7 @@ def predict(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["carried", "lang_pred", "score", "phrase_rate"])
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid", _models.clear)
         if key not in _models:
             _models.clear()
             _models[key] = Model(sent.value)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quarry.llm._shared import connected_components, materialise, prepare
+from quarry.llm._shared import connected_components, materialise, only, prepare
 
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 _STEP = 1 << 15
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     @F.pandas_udf(LongType())
     def hashed(texts: pd.Series) -> pd.Series:
+        only("simhash", int)
         found = np.array([simhash(t, shingle) for t in texts], dtype=np.uint64)
         return pd.Series(found.view(np.int64))
 

@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from quarry.llm._shared import only
+
 #: Words kept per worker process in each of two generations, and the longest one
 #: kept. When the younger generation is full the older one is dropped, so memory
 #: is bounded and words in use stay.
@@ -140,6 +142,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
+    only("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

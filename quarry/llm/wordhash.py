@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quarry.llm._shared import only
+
 #: Words whose hash a worker process keeps, and the longest of them.
 CACHED_WORDS, CACHED_BYTES = 300_000, 64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -16,6 +18,7 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
+    only("wordhash", _known.clear)
     found = list(map(_known.get, words))
     if None in found:
         if len(_known) > CACHED_WORDS:
