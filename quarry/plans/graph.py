@@ -227,19 +227,24 @@ def match_ladder(spark, sf_dir):
     return rows.select("text", "concept", kind.alias("kind"), score.alias("confidence"))
 
 
-@query("context_scoring", None)
+@query("context_scoring", """WITH c AS (SELECT c_custkey AS id, c_custkey % 5 <> 0 AS places, ['US', 'FR', 'IN', 'BR'][c_custkey % 4 + 1] AS country, c_custkey * 1000 AS people, c_custkey % 3 AS t FROM customer),
+    b AS (SELECT *, CASE WHEN t = 0 THEN CASE WHEN country = 'US' THEN 0.3 ELSE -0.15 END WHEN t = 1 AND country = 'FR' OR t = 2 AND country = 'IN' THEN 0.3 ELSE 0 END + 0.4 + CASE WHEN country = 'IN' THEN 0.32 ELSE 0 END
+      + CASE WHEN people > 1000000 THEN 0.1 WHEN people > 100000 THEN 0.05 ELSE 0 END + 0.2 AS boost FROM c)
+    SELECT id, round(CAST(least(0.5 + CASE WHEN places THEN boost ELSE 0.15 END, 1) AS DOUBLE), 6) AS confidence,
+      concat_ws('|', CASE t WHEN 0 THEN 'doc_north_american_context' WHEN 1 THEN 'doc_european_context' ELSE 'doc_asian_context' END, 'co_occurrence_with_2_locations', 'semantic_geographic:country_context',
+        CASE WHEN people > 1000000 THEN 'major_city_population' WHEN people > 100000 THEN 'medium_city_population' END) AS signals FROM b""")
 def context_scoring(spark, sf_dir):
-    """Geographic and general boosts of alignments; checked by tests."""
+    """Geographic and general boosts of alignments."""
     from quarry.operators.entities import context_boost
 
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % n + 1).cast("int"))
     rows = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("id"), F.lit("geonames").alias("ontology"), F.lit("Springfield").alias("entity"), F.lit(0.5).alias("confidence"),
-        F.element_at(F.array(*map(F.lit, ("US", "FR", "IN", "BR"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("country"),
-        F.lit("Illinois").alias("admin1"), (F.col("c_custkey") * 1000).alias("population"),
-        F.element_at(F.array(*map(F.lit, ("Flood risk in the USA", "European funds", "South Asia report"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("title"),
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 != 0, "geonames").otherwise("hazards").alias("ontology"), F.lit("Flood").alias("entity"), F.lit(0.5).alias("confidence"),
+        pick(("US", "FR", "IN", "BR"), 4).alias("country"), F.lit("Illinois").alias("admin1"), (F.col("c_custkey") * 1000).alias("population"),
+        pick(("Flood risk in the USA", "European funds", "South Asia report"), 3).alias("title"),
         F.array(F.lit("Illinois"), F.lit("India")).alias("locations"), F.array(F.lit("geographic:country_context")).alias("signals"), F.array(F.lit("flood")).alias("keywords"),
     )
-    return context_boost(rows).select("id", F.round("confidence", 6).alias("confidence"), "context_signals")
+    return context_boost(rows).select("id", F.round("confidence", 6).alias("confidence"), F.array_join("context_signals", "|").alias("signals"))
 
 
 @query("admin_code_filter", "SELECT p_partkey, 'A.ADM' || (p_size % 6) AS code FROM part WHERE p_size % 6 BETWEEN 1 AND 4")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
 from quarry.functions import text as T
+from quarry.functions.stem import stem, stemmed_tokens
 from quarry.operators import search as S
 from quarry.registry import query
 from quarry.session import materialise, table
@@ -62,6 +63,13 @@ def bm25_search(spark, sf_dir):
     return S.ranked(_keyword(spark, sf_dir))
 
 
+@query("bm25_stemmed")
+def bm25_stemmed(spark, sf_dir):
+    """Keyword search over stems without stop words; checked by brute force in tests."""
+    terms = tuple(dict.fromkeys(stem(t) for t in ("tioning", "hands", "ereden")))
+    return S.ranked(S.bm25(table(spark, sf_dir, "documents"), "doc_id", _fields(), terms, analyser=stemmed_tokens))
+
+
 @query("vector_topk", f"WITH {VECTOR_CTE} SELECT doc_id, score, rank FROM vr")
 def vector_topk(spark, sf_dir):
     return S.ranked(_vector(spark, sf_dir))
