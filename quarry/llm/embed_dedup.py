@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from quarry.llm._shared import connected_components, forget, materialise, prepare
 
 #: Vectors the regions are fitted on at most, vectors of a cell aimed at, regions a
-#: vector visits and cells in each, vectors of a block of comparisons, and of a block
-#: of vectors that are dealt to cells.
-FIT_ROWS, CELL_ROWS, VISITS, CELL_VISITS, BLOCK_ROWS, DEAL_ROWS = 20_000, 500, 6, 4, 1024, 8192
+#: vector visits and cells in each, residents and visitors of a block of comparisons,
+#: and vectors of a block that is dealt to cells.
+FIT_ROWS, CELL_ROWS, VISITS, CELL_VISITS, BLOCK_ROWS, VISITOR_ROWS, DEAL_ROWS = 20_000, 500, 6, 4, 1024, 4096, 8192
 _ROUNDS = 8
 
 
@@ -212,17 +212,22 @@ def links(
     unit = _unit(np.array([r["vector"] for r in sample], dtype=np.float64))
     regions = spherical_kmeans(unit, max(1, min(len(unit), math.isqrt(total // CELL_ROWS))))
     members = _deal(classes.select("node", "vector", "n"), regions, threshold, visits, cell_visits)
-    places = members.select("node", F.explode("cells").alias("cell"))
-    # blocks of a cell that has several; most have one and are not named
-    sizes = materialise(places.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("more")).where("more > 1"))
-    blocks = F.coalesce("more", F.lit(1).cast("bigint"))
-    block = F.pmod(F.xxhash64("node"), blocks)
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    places = members.select("node", "home", F.explode("cells").alias("cell"))
+    # a cell has few residents and many visitors, so both are cut into blocks of their
+    # own; most cells have one of each and are not named
+    sizes = materialise(
+        places.groupBy("cell")
+        .agg(F.ceil(F.count_if(F.col("home") == F.col("cell")) / BLOCK_ROWS).alias("few"), F.ceil(F.count(F.lit(1)) / VISITOR_ROWS).alias("many"))
+        .where("few > 1 or many > 1")
+    )
+    few, many = (F.greatest(F.coalesce(c, F.lit(1).cast("bigint")), F.lit(1).cast("bigint")) for c in ("few", "many"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     seen_by = members.select(F.col("home").alias("cell"), "node", "vector", "n", "home", "cells").join(sizes, "cell", "left")
-    rows_of = seen_by.select("cell", block.alias("a"), others.alias("b"), "node", "vector", "n", "home", "cells", F.lit(True).alias("living"))
+    rows_of = seen_by.select("cell", block(few).alias("a"), others(many).alias("b"), "node", "vector", "n", "home", "cells", F.lit(True).alias("living"))
     visiting = members.select(F.explode("cells").alias("cell"), "node", "vector", "n", "home").join(sizes, "cell", "left")
     none = F.array().cast("array<bigint>")
-    cols_of = visiting.select("cell", others.alias("a"), block.alias("b"), "node", "vector", "n", "home", none.alias("cells"), F.lit(False).alias("living"))
+    cols_of = visiting.select("cell", others(few).alias("a"), block(many).alias("b"), "node", "vector", "n", "home", none.alias("cells"), F.lit(False).alias("living"))
 
     def compare(group: pa.Table) -> pa.Table:
         column = {name: group.column(name).combine_chunks() for name in group.column_names}

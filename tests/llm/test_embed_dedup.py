@@ -42,6 +42,7 @@ def vectors(seed=1, groups=25, size=6):
 def test_equals_brute_force(spark, monkeypatch, visits):
     monkeypatch.setattr(E, "CELL_ROWS", 8)
     monkeypatch.setattr(E, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(E, "VISITOR_ROWS", 25)
     monkeypatch.setattr(E, "DEAL_ROWS", 30)
     rows = vectors()
     found = E.links(frame(spark, rows), visits=visits, cell_visits=visits)
