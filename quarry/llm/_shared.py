@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import ship_code
@@ -82,6 +82,36 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a filter of hashes (8 MB), which keeps rows without a partner out of a shuffle.
+FILTER_BITS = 1 << 26
+
+
+def hash_filter(keys: DataFrame, hashed: Column) -> DataFrame:
+    """(_part, _bits): a bitmap of bounded size over the hashes of keys, to broadcast."""
+    bit = (F.pmod(hashed, F.lit(FILTER_BITS)) + 1).alias("bit")
+    return keys.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits")
+    )
+
+
+def passes(rows: DataFrame, sieve: DataFrame, hashed: Column) -> DataFrame:
+    """rows with _may: false where no key of hash_filter() has the row's hash."""
+    bit = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.withColumn("_part", F.bitmap_bucket_number(bit)).join(F.broadcast(sieve), "_part", "left")
+    return joined.withColumn("_may", held).drop("_part", "_bits")
+
+
+def anti_join(rows: DataFrame, gone: DataFrame, on: Column, row_hash: Column, gone_hash: Column) -> DataFrame:
+    """rows without partner in gone, a written table. Only rows that pass a filter of
+    gone's hashes are shuffled, so most stay where they are if few go."""
+    flagged = passes(rows, hash_filter(gone, gone_hash), row_hash)
+    rest = flagged.where("_may").drop("_may").join(gone, on, "left_anti")
+    return flagged.where("not _may").drop("_may").union(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the
     smallest node reachable. Nulls and self-loops are ignored; without edges the

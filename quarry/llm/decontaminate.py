@@ -1,24 +1,26 @@
 """Benchmark decontamination by template windows.
 
 Tokens are canonicalised: numbers, names and units become typed placeholders.
-Windows of canonical tokens of the documents meet those of the benchmark in a
-hash join; the values that stand in the placeholders are the slots. Matches of
-one item along one diagonal are a candidate passage, and it counts if its slots
-are consistent: equal values in the item stay equal in the document and different
-ones different. So a question with new numbers or names is found like a verbatim
-one, and a text that only shares the shape of some tokens is not. A run of names
-or of numbers is one placeholder, and matches on neighbouring diagonals add up,
-so names of another length and inserted or deleted tokens hide nothing.
+Windows of canonical tokens of the documents meet those of the benchmark in a hash
+join; the values that stand in the placeholders are the slots. Matches of one item
+along one diagonal are a candidate passage, and it counts if its slots are
+consistent: equal values in the item stay equal in the document and different ones
+different. So a question with new numbers or names is found like a verbatim one,
+and a text that only shares the shape of some tokens is not. A run of names or of
+numbers is one placeholder, and matches on neighbouring diagonals add up, so names
+of another length and inserted or deleted tokens hide nothing.
 
 Items that the templates do not cover whole (windows with few literal tokens, at
 most one window) are also matched by the plain values of their tokens, a list of
 numbers alone included.
+
+The documents pass once, however large the benchmark is: a bitmap of bounded size
+over the hashes of its windows keeps all others out of the join.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -26,11 +28,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import materialise, only, prepare
+from quarry.llm._shared import forget, materialise, only, prepare
 from quarry.llm.wordhash import Prefix
 
 #: Canonical tokens of a window, literal tokens it needs, and the share of an
@@ -40,9 +41,6 @@ WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 BARE = 3
 #: Tokens inserted or deleted in all between matches that are added up.
 DRIFT = 8
-#: Windows of benchmark items that are broadcast at a time; a larger benchmark is
-#: matched in blocks.
-BLOCK_WINDOWS = 1_000_000
 #: Tokens a worker process keeps, and the longest of them.
 CACHED_TOKENS, CACHED_BYTES = 300_000, 48
 
@@ -72,11 +70,9 @@ def _power(n: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """What single tokens are, kept for tokens that repeat. With a vocabulary,
-    literal tokens outside it need no hash of their own: they match nothing."""
+    """What single tokens are, kept for tokens that repeat."""
 
-    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
-        self._vocabulary = vocabulary
+    def __init__(self) -> None:
         self._known: dict[bytes, int] = {}
         self._hash = np.zeros(1 << 12, dtype=np.uint64)
         self._size = 1
@@ -106,9 +102,7 @@ class Tokens:
             code |= 16
         if not bare:
             code |= 32
-        if code & 15 or self._vocabulary is None or low in self._vocabulary:
-            code |= self._slot(low) << 6
-        return code
+        return code | self._slot(low) << 6
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Canonical hash, hash of the value, and whether it is a slot, for each
@@ -144,145 +138,199 @@ class Tokens:
         return np.where(kind == _LITERAL, value, _HASH_OF[kind]), value, slot[begins], raw, slot, starts
 
 
-def vocabulary(texts: list[str]) -> frozenset[str]:
-    return frozenset(word.strip(_PUNCTUATION).lower() for text in texts for word in text.split())
-
-
-class Layer:
-    """Windows of hashes of benchmark items, sorted by hash: of templates, or of
-    plain values. Fewer tokens than width: one window of them all. Windows with
-    fewer literals than literals are left out, but not those of bare tokens or more."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, literals: int, bare: int):
-        self.width, self.values, hashes, owners, places, self.dropped = width, [v for _, v, _ in rows], [], [], [], []
-        for owner, (canon, value, slot) in enumerate(rows):
-            held = min(width, canon.size)
-            use, found = [], Prefix(canon).windows(held) if held else canon
-            if held:
-                free = np.cumsum(np.concatenate(([0], ~slot)))
-                use = np.flatnonzero(free[held:] - free[:-held] >= (0 if held >= bare else min(literals, held)))
-            hashes += [found[k] ^ np.uint64(held if held < width else 0) for k in use]
-            owners += [owner] * len(use)
-            places += list(use)
-            self.dropped.append(held > 0 and (len(use) < found.size or found.size < 2))
-        order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
-        self.hashes = np.array(hashes, dtype=np.uint64)[order]
-        self.owners = np.array(owners, dtype=np.int64)[order]
-        self.places = np.array(places, dtype=np.int64)[order]
-        self.short = sorted({v.size for v in self.values if 0 < v.size < width})
-        self.usable = np.bincount(self.owners, minlength=len(rows))
-
-    def _hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.searchsorted(self.hashes, found, side="left")
-        near = np.flatnonzero((low < self.hashes.size) & (self.hashes[np.minimum(low, self.hashes.size - 1)] == found))
-        high = np.searchsorted(self.hashes, found[near], side="right")
-        counts = high - low[near]
-        rows = np.repeat(low[near], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        return np.repeat(near, counts), rows
-
-    def passages(self, canon: np.ndarray, value: np.ndarray, coverage: float) -> dict[int, tuple]:
-        """(windows matched, windows, verbatim, first token, last token) of the
-        best consistent passage of each owner that has one."""
-        if not canon.size or not self.hashes.size:
-            return {}
-        prefix, matched = Prefix(canon), defaultdict(lambda: defaultdict(list))
-        for held in [self.width, *self.short]:
-            if held <= canon.size:
-                found = prefix.windows(held) ^ np.uint64(held if held < self.width else 0)
-                for at, row in zip(*self._hits(found)):
-                    place = int(self.places[row])
-                    matched[int(self.owners[row])][int(at) - place].append(place)
-        best: dict[int, tuple] = {}
-        for owner, diagonals in matched.items():
-            least = coverage * int(self.usable[owner])
-            if len(set().union(*diagonals.values())) < least:
+_TEMPLATE, _PLAIN = 0, 1
+
+
+def _index_windows(canon: np.ndarray, slot: np.ndarray, width: int, literals: int, bare: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, hashes, tokens of a window) of the windows of an item that count:
+    those with literals literal tokens, and those of bare tokens or more. Fewer
+    tokens than width: one window of them all."""
+    held = min(width, canon.size)
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    free = np.cumsum(np.concatenate(([0], ~slot)))
+    use = np.flatnonzero(free[held:] - free[:-held] >= (0 if held >= bare else min(literals, held)))
+    return use, _tagged(Prefix(canon), held, width)[use], held
+
+
+def _tagged(prefix: Prefix, held: int, width: int) -> np.ndarray:
+    """Window hashes that tell windows of whole short items from others."""
+    return prefix.windows(held) ^ np.uint64(held if held < width else 0)
+
+
+def _lists(values: np.ndarray, at: np.ndarray, held: int) -> np.ndarray:
+    return values[np.add.outer(at, np.arange(held))]
+
+
+def _item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
+    """(layer, hash, held, item_id, item_key, place, usable, theirs): the windows of
+    the items (item_id, item_key, text), usable being an item's windows of the layer,
+    and theirs the values of a window's tokens."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            for item_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                canon, value, slot, raw, raw_slot, _ = tokens.read(text.encode("utf-8", "surrogatepass").split())
+                # a window of placeholders alone says nothing, but its values do
+                found = [(_TEMPLATE, value, *_index_windows(canon, slot, width, literals, width + 1))]
+                if canon.size and (found[0][2].size < max(canon.size - width + 1, 1) or canon.size <= width):
+                    found.append((_PLAIN, raw, *_index_windows(raw, raw_slot, width, 1, BARE)))
+                for layer, values, places, hashes, held in found:
+                    n = places.size
+                    if n:
+                        same = lambda v, kind: pa.array([v] * n, kind)  # noqa: B023, E731
+                        columns = [
+                            same(layer, pa.int8()), pa.array(hashes.view(np.int64)), same(held, pa.int32()), same(item_id, pa.int64()), same(key, pa.string()),
+                            pa.array(places.astype(np.int32)), same(n, pa.int32()), pa.array(list(_lists(values, places, held).view(np.int64)), pa.list_(pa.int64())),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["layer", "hash", "held", "item_id", "item_key", "place", "usable", "theirs"])
+
+    return items.select("item_id", "item_key", "text").mapInArrow(
+        cut, "layer tinyint, hash bigint, held int, item_id bigint, item_key string, place int, usable int, theirs array<bigint>"
+    )
+
+
+#: Bits of the bitmap over window hashes (8 MB); each window sets two.
+SIEVE_BITS = 1 << 26
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(SIEVE_BITS - 1)
+    return hashes & low, (hashes >> np.uint64(32)) & low
+
+
+def _sieve(windows: DataFrame) -> np.ndarray:
+    """The bitmap of the windows' hashes, put together from parts of 4 kB."""
+    mask = F.lit(SIEVE_BITS - 1)
+    bit = F.explode(F.array(F.col("hash").bitwiseAND(mask) + 1, F.shiftrightunsigned("hash", 32).bitwiseAND(mask) + 1)).alias("bit")
+    parts = windows.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    found = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        # buckets count from 1, and so do the bits in them
+        part = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+        found[(row["part"] - 1) * part.size :][: part.size] = part
+    return found
+
+
+def _passage(hits: list[tuple], width: int, coverage: float) -> tuple | None:
+    """(windows matched, windows, verbatim, first token, end) of the best consistent
+    passage of one item in one text, if there is one. hits are (place, at, lo, hi,
+    usable, theirs, mine)."""
+    diagonals: dict[int, dict[int, tuple]] = defaultdict(dict)
+    for hit in hits:
+        diagonals[hit[1] - hit[0]][hit[0]] = hit
+    usable = hits[0][4]
+    least = coverage * usable
+    if len(set().union(*diagonals.values())) < least:
+        return None
+    best, shifts = None, sorted(diagonals)
+    for shift in shifts:
+        near = shifts[bisect_left(shifts, shift - DRIFT) : bisect_right(shifts, shift + DRIFT)]
+        tries = [diagonals[shift]]
+        if len(near) > 1:
+            added: dict[int, tuple] = {}
+            for s in sorted(near, key=lambda s: (abs(s - shift), s)):
+                for place, hit in diagonals[s].items():
+                    added.setdefault(place, hit)
+            if len(added) > len(tries[0]):
+                tries.append(added)
+        for chosen in tries:
+            if len(chosen) < least or (best and len(chosen) < best[0]):
+                continue
+            some = list(chosen.values())
+            theirs = [v for hit in some for v in hit[5]]
+            mine = [v for hit in some for v in hit[6]]
+            pairs = set(zip(theirs, mine))
+            if len(pairs) != len(set(theirs)) or len(pairs) != len(set(mine)):
                 continue
-            shifts = sorted(diagonals)
-            for shift in shifts:
-                alone = dict.fromkeys(diagonals[shift], shift)
-                near = shifts[bisect_left(shifts, shift - DRIFT) : bisect_right(shifts, shift + DRIFT)]
-                tries = [alone]
-                if len(near) > 1:
-                    added: dict[int, int] = {}
-                    for s in sorted(near, key=lambda s: (abs(s - shift), s)):
-                        for place in diagonals[s]:
-                            added.setdefault(place, s)
-                    if len(added) > len(alone):
-                        tries.append(added)
-                for at in tries:
-                    row = self._consistent(owner, at, value) if len(at) >= least else None
-                    if row and (owner not in best or row[0:3:2] > best[owner][0:3:2]):
-                        best[owner] = row
-        return best
-
-    def _consistent(self, owner: int, at: dict[int, int], value: np.ndarray) -> tuple | None:
-        theirs = self.values[owner]
-        width = np.arange(min(self.width, theirs.size))
-        places, shifts = np.array(list(at)), np.array(list(at.values()))
-        mine = np.add.outer(places, width).ravel()
-        over = mine + np.repeat(shifts, width.size)
-        a, b = theirs[mine], value[over]
-        pairs = len(set(zip(a.tolist(), b.tolist())))
-        if pairs != len(set(a.tolist())) or pairs != len(set(b.tolist())):
-            return None
-        same = bool((a == b).all()) and bool((shifts == shifts[0]).all())
-        return len(at), int(self.usable[owner]), same, int(over.min()), int(over.max())
-
-
-class Index:
-    """A block of benchmark items: their templates, and the plain values of those
-    that the templates do not cover whole."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, coverage: float):
-        tokens, self.coverage = Tokens(), coverage
-        self.items = [i for i, _ in items]
-        read = [tokens.read(text.encode("utf-8", "surrogatepass").split()) for _, text in items]
-        # a window of placeholders alone says nothing, but its values do
-        self.templates = Layer([r[:3] for r in read], width, literals, bare=width + 1)
-        none = (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=bool),)
-        plain = [(r[3], r[3], r[4]) if part else none for r, part in zip(read, self.templates.dropped)]
-        self.plain = Layer(plain, width, 1, BARE)
-        self.vocabulary = vocabulary([text for _, text in items])
-
-    def leaks(self, words: list[bytes], tokens: Tokens) -> list[tuple[int, int, int, bool, int, int]]:
-        """(item_id, windows matched, windows of the item, verbatim, first token, tokens) per item that leaks."""
-        canon, value, _, raw, _, starts = tokens.read(words)
-        best = {}
-        for owner, (n, of, same, first, last) in self.templates.passages(canon, value, self.coverage).items():
-            best[owner] = (self.items[owner], n, of, same, int(starts[first]), int(starts[last + 1] - starts[first]))
-        for owner, (n, of, same, first, last) in self.plain.passages(raw, raw, self.coverage).items():
-            best.setdefault(owner, (self.items[owner], n, of, same, first, last - first + 1))
-        return list(best.values())
+            same = theirs == mine and len({hit[1] - hit[0] for hit in some}) == 1
+            if best is None or (len(some), same) > (best[0], best[2]):
+                best = (len(some), usable, same, min(hit[2] for hit in some), max(hit[3] for hit in some))
+    return best
 
 
+_LEAK = "item_id:bigint,n_matched:bigint,n_windows:bigint,verbatim:boolean,first_token:bigint,n_tokens:bigint"
+_HIT = ("place", "at", "lo", "hi", "usable", "theirs", "mine")
 _of_worker: dict[str, Tokens] = {}
 
 
-def _tokens_of(key: str, index: Index) -> Tokens:
-    """One table per worker process and benchmark block."""
+def _worker_tokens() -> Tokens:
     only("decontaminate", _of_worker.clear)
-    if key not in _of_worker:
-        _of_worker.clear()
-        _of_worker[key] = Tokens(index.vocabulary)
-    return _of_worker[key]
+    return _of_worker.setdefault("", Tokens())
 
 
-def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> list[int]:
-    """Sizes tell how many blocks the benchmark needs."""
-    length = F.size(F.split(F.trim(text_col), r"[\x20\x09-\x0D]+"))
-    total = benchmark.agg(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
-    return list(range(-(-int(total) // BLOCK_WINDOWS) or 1))
+def leaks_of_texts(
+    texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE
+) -> DataFrame:
+    """(text_key, leaks) of the texts (text_key string, text) that hold an item of the
+    benchmark (item_id, text): text_key tells texts apart, equal ones may repeat."""
+    spark = texts.sparkSession
+    prepare(spark)
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("text is not null").distinct().withColumn("item_key", F.md5("text"))
+    windows = materialise(_item_windows(items, window, literals))
+    widths = defaultdict(list)
+    for row in windows.select("layer", "held").distinct().collect():  # two layers, `window` widths at most
+        widths[row["layer"]].append(row["held"])
+    sent = spark.sparkContext.broadcast(_sieve(windows))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, bits = _worker_tokens(), sent.value
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
+                canon, value, _, raw, _, starts = tokens.read((text.as_py() or b"").split())
+                for layer, hashed, values in ((_TEMPLATE, canon, value), (_PLAIN, raw, raw)):
+                    prefix = Prefix(hashed) if widths[layer] else None
+                    for held in widths[layer]:
+                        if held > hashed.size:
+                            continue
+                        found = _tagged(prefix, held, window)
+                        one, two = _places(found)
+                        at = np.flatnonzero((bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & 1)
+                        if at.size:
+                            span = (starts[at], starts[at + held]) if layer == _TEMPLATE else (at, at + held)
+                            parts = (np.full(at.size, row), np.full(at.size, layer), found[at].view(np.int64), at, *span)
+                            for column, part in zip(columns, parts):
+                                column.append(part)
+                            columns[6] += list(_lists(values, at, held).view(np.int64))
+            if columns[0]:
+                rows, *rest = (np.concatenate(c) for c in columns[:6])
+                kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), *[pa.array(c, k) for c, k in zip(rest, kinds)], pa.array(columns[6], pa.list_(pa.int64()))],
+                    ["text_key", "layer", "hash", "at", "lo", "hi", "mine"],
+                )
 
-
-_LEAK = pa.struct(
-    [
-        ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int64()), ("verbatim", pa.bool_()),
-        ("first_token", pa.int64()), ("n_tokens", pa.int64()),
-    ]
-)
-_LEAKS = (
-    "array<struct<item_id:bigint,n_matched:bigint,n_windows:bigint,verbatim:boolean,first_token:bigint,n_tokens:bigint>>"
-)
+    seen = texts.select("text_key", "text").mapInArrow(search, "text_key string, layer tinyint, hash bigint, at int, lo int, hi int, mine array<bigint>")
+    # copies of a text give their windows once
+    seen = materialise(seen.groupBy("text_key", "layer", "hash", "at").agg(*[F.any_value(c).alias(c) for c in ("lo", "hi", "mine")]))
+    pairs = seen.join(windows, ["layer", "hash"]).groupBy("text_key", "item_id", "item_key").agg(F.collect_list(F.struct("layer", *_HIT)).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, item, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                of: dict[int, list] = defaultdict(list)
+                for hit in sorted(hits.as_py(), key=lambda h: (h["at"], h["place"])):
+                    of[hit["layer"]].append(tuple(hit[name] for name in _HIT))
+                for layer in (_TEMPLATE, _PLAIN):
+                    found = _passage(of[layer], window, coverage) if of[layer] else None
+                    if found:
+                        n, usable, same, first, end = found
+                        rows.append((key, item, n, usable, same, first, end - first))
+                        break
+            names = ["text_key", *[f.split(":")[0] for f in _LEAK.split(",")]]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+
+    leaks = pairs.select("text_key", "item_id", "hits").mapInArrow(judge, f"text_key string, {_LEAK.replace(':', ' ')}")
+    each = F.struct(*[f.split(":")[0] for f in _LEAK.split(",")])
+    found = materialise(leaks.groupBy("text_key").agg(F.array_sort(F.collect_list(each)).alias("leaks")))
+    for old in (windows, seen):
+        forget(old)
+    return found
 
 
 def annotate(
@@ -300,53 +348,20 @@ def annotate(
     re-parameterised item. An item of one or two numbers or names alone (under BARE
     tokens) matches nothing. Of several passages of one item that with most windows
     is told, of equal ones the verbatim one, then the first found; every item that
-    leaks is told.
-
-    Every text is read whole, once per block of the benchmark, and the documents
-    are never shuffled. A benchmark of several blocks is worked off block by block,
-    each pass written before the next block is gathered. A null, empty or punctuation-only text on either side
-    matches nothing; null ids are carried along; repeated rows each give a row;
-    an empty table of documents gives an empty result, an empty benchmark no
-    leaks; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null").distinct()
-    blocks = _blocks(items, window, "item_id", "text")
-    rows = docs.select(
-        F.struct(*carry).alias("carried"), F.col(text_col).cast("string").alias("text"), F.array().cast(_LEAKS).alias("leaks")
-    )
-    kind = rows.schema["carried"].dataType.simpleString()
-
-    def scan(before: DataFrame, block: int) -> tuple[DataFrame, Broadcast]:
-        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(len(blocks))) == block).orderBy("item_id", "text")
-        sent = spark.sparkContext.broadcast(
-            Index([(r["item_id"], r["text"]) for r in mine.collect()], window, literals, coverage)
-        )
-        key = uuid.uuid4().hex
-        names = [f.name for f in _LEAK]
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            tokens = _tokens_of(key, index)
-            for batch in batches:
-                found = [
-                    held.as_py() + [dict(zip(names, r)) for r in index.leaks((text.as_py() or b"").split(), tokens)]
-                    for text, held in zip(batch.column(1).cast(pa.binary()), batch.column(2))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(found, pa.list_(_LEAK))], ["carried", "text", "leaks"]
-                )
+    leaks is told, in the order of its id.
 
-        return before.mapInArrow(search, f"carried {kind}, text string, leaks {_LEAKS}"), sent
-
-    for block in blocks:
-        rows, sent = scan(rows, block)
-        if len(blocks) > 1:
-            rows = materialise(rows)
-            sent.destroy()
-    return rows.select("carried.*", "leaks")
+    Every text is read whole, once; a very long one in memory of a few times its
+    size. Only its windows that the benchmark may hold are shuffled. A null, empty or
+    punctuation-only text on either side matches nothing; null ids are carried along;
+    repeated rows each give a row; an empty table of documents gives an empty result,
+    an empty benchmark no leaks; other columns are ignored.
+    """
+    text = F.col(text_col).cast("string")
+    # equal texts hold equal items, so leaks are found per text and told per row
+    found = leaks_of_texts(docs.select(F.md5(text).alias("text_key"), text.alias("text")).where("text is not null"), benchmark, window, literals, coverage)
+    rows = docs.select(F.struct(*carry).alias("carried"), F.md5(text).alias("text_key"))
+    none = F.array().cast(f"array<struct<{_LEAK}>>")
+    return rows.join(found, "text_key", "left").select("carried.*", F.coalesce("leaks", none).alias("leaks"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
