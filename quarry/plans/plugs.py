@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quarry import plugins as P
 from quarry.operators.entities import embed
 from quarry.registry import query
-from quarry.requests import ACCUMULATORS, ANNOTATORS, EMBEDDINGS, HANDLERS
+from quarry.functions import constants as C
+from quarry.operators.extraction import extracted
+from quarry.requests import ACCUMULATORS, ANNOTATORS, EMBEDDINGS, EXTRACTORS, HANDLERS
 from quarry.session import scratch, table
 from quarry.streaming import changes as S
 
@@ -67,3 +69,17 @@ def stream_progress(spark, sf_dir):
     """Records processed as the stream reports them."""
     seen = S.drain(S.table_stream(spark, sf_dir, "events").select("event_id"), lambda batch, i: batch.write.format("noop").mode("overwrite").save(), scratch(spark))
     return spark.createDataFrame([(sum(p["records"] for p in seen),)], "records bigint")
+
+
+_CONCEPTS = [(g, u, "".join(f" {c}" if c.isupper() else c for c in u.split(":")[1]).strip(), ks) for g, rules in C.CONCEPT_KEYWORDS.items() for u, ks in rules.items()]
+
+
+@query("model_concepts", "WITH r(category, uri, label, words) AS (VALUES " + ", ".join(f"('{g}', '{u}', '{t}', [{', '.join(chr(39) + k.lower() + chr(39) for k in ks)}])" for g, u, t, ks in _CONCEPTS)
+       + """), d AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Drought.' WHEN 1 THEN ' A parametric risk pool.' ELSE '' END AS t FROM documents)
+    SELECT doc_id, category, label, uri, CAST(0.85 AS DOUBLE) AS confidence, 'Description' AS section FROM d, r WHERE len(list_filter(words, lambda w: contains(lower(t), w))) > 0""")
+def model_concepts(spark, sf_dir):
+    """Concepts that a model, looked up by name, finds in every text."""
+    vocabulary = spark.createDataFrame([(g, t, u) for g, u, t, _ in _CONCEPTS], "category string, label string, uri string")
+    more = F.when(F.col("doc_id") % 3 == 0, " Drought.").when(F.col("doc_id") % 3 == 1, " A parametric risk pool.").otherwise("")
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("n"), F.lit("Description").alias("section"), F.concat("text", more).alias("text"))
+    return extracted(chunks, vocabulary, EXTRACTORS.get("keywords")).select("doc_id", "category", "label", "uri", "confidence", "section")

@@ -105,6 +105,6 @@ class Plugins:
         return sorted(self._known)
 
 
-EMBEDDINGS, ANNOTATORS, MINTERS, HANDLERS, ACCUMULATORS = map(
-    Plugins, ("embedding model", "annotator", "uri minter", "handler", "accumulator")
+EMBEDDINGS, ANNOTATORS, MINTERS, HANDLERS, ACCUMULATORS, EXTRACTORS = map(
+    Plugins, ("embedding model", "annotator", "uri minter", "handler", "accumulator", "extractor")
 )

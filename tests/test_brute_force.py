@@ -248,3 +248,21 @@ def test_relational_table(spark):
     spark.range(5).selectExpr("id", "concat('n', id) AS name").write.jdbc(url, "things", mode="overwrite", properties=driver)
     got = I.read_table(spark, url, "things", driver).where("id > 2")
     assert sorted((r[0], r[1]) for r in got.collect()) == [(3, "n3"), (4, "n4")]
+
+
+def test_extraction_bears_any_answer(spark):
+    from quarry.operators.extraction import extracted, parsed
+
+    good = 'Sure: {"risks": [{"label": "flood risk", "confidence": 1, "evidence": "x", "section": "D"}, {"label": 3}, 4], "impacts": {}, "mechanisms": [{"label": "New Thing"}]} done'
+    assert parsed(good) == [("risks", "flood risk", 1.0, "x", "D"), ("mechanisms", "New Thing", None, None, None)]
+    assert parsed(None) == parsed("{") == parsed("no } {") == parsed("{broken}") == parsed("[1]") == []
+    words = spark.createDataFrame([("risks", "Flood Risk", "sg:FloodRisk")], "category string, label string, uri string")
+    chunks = spark.createDataFrame([(1, 2, "B", "later"), (1, 1, "A", "first"), (2, 1, "A", None)], "doc_id long, n int, section string, text string")
+    asked = lambda prompts: [good if "A:\nfirst\nB:\nlater" in p and "- Flood Risk" in p else "none" for p in prompts]
+    got = sorted((r.doc_id, r.category, r.uri) for r in extracted(chunks, words, asked).collect())
+    assert got == [(1, "mechanisms", "sg:NewThing"), (1, "risks", "sg:FloodRisk")]
+
+    def fails(prompts):
+        raise RuntimeError
+
+    assert extracted(chunks, words, fails).count() == 0
