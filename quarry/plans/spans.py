@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.functions import constants as C
 from quarry.operators import spans as P
 from quarry.registry import query
 from quarry.session import table
@@ -60,12 +61,26 @@ def packed_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("chunk_index", "text")).select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
-@query("sentence_split")
+_ENDS = " OR ".join(f"ends_with(s.before, '{a}')" for a in C.ABBREVIATIONS)
+
+
+@query("sentence_split", rf"""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '\s*[.!?]+\s+([A-Z])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, list_transform(parts, lambda x: {{'done': [trim(x, e' \t\r\n\f\v')], 'before': trim(x, e' \t\r\n\f\v')}}) AS parts FROM m),
+    f AS (SELECT doc_id, list_reduce(parts, lambda s, x: CASE WHEN {_ENDS} THEN {{'done': list_append(s.done[1:len(s.done) - 1], s.done[len(s.done)] || '.' || x.before), 'before': x.before}}
+      ELSE {{'done': list_append(s.done, x.before), 'before': x.before}} END) AS f FROM p),
+    c AS (SELECT doc_id, list_filter(list_transform(f.done, lambda x: trim(x, e' \t\r\n\f\v')), lambda x: x <> '') AS found FROM f)
+    SELECT doc_id, CAST(k - 1 AS INT) AS n, md5(found[k]) AS digest FROM (SELECT doc_id, found, unnest(range(1, len(found) + 1)) AS k FROM c)""")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.sentences("text")).alias("n", "sentence")).select("doc_id", "n", F.md5("sentence").alias("digest"))
 
 
-@query("offset_chunks")
+@query("offset_chunks", r"""WITH RECURSIVE c(doc_id, start, stop) AS (
+      SELECT doc_id, 0, 0 FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, low, CASE WHEN low + 4500 < n THEN low + CASE WHEN cut > 0 THEN cut ELSE 4500 END ELSE n END FROM (
+        SELECT doc_id, low, n, length(regexp_replace(substr(text, low + 2, 4500), '[^ \n\t.!?]*$', '')) AS cut FROM (
+          SELECT c.doc_id, c.stop + CASE WHEN c.stop > 0 THEN length(regexp_extract(substr(text, c.stop + 1), '^[ \n\t]*')) ELSE 0 END AS low, text, length(text) AS n FROM c JOIN documents d ON d.doc_id = c.doc_id) WHERE low < n)),
+    k AS (SELECT c.doc_id, start, trim(substr(text, start + 1, stop - start), e' \t\r\n\f\v') AS chunk FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE stop > 0)
+    SELECT doc_id, start, length(chunk) AS size, md5(chunk) AS digest FROM k WHERE chunk <> ''""")
 def offset_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(P.offset_chunks("text"))).select("doc_id", "start", F.length("chunk").alias("size"), F.md5("chunk").alias("digest"))
 
