@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quarry.llm._shared import connected_components, materialise, only, prepare
+from quarry.llm._shared import connected_components, hash_filter, materialise, only, passes, prepare
 
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 _STEP = 1 << 15
@@ -89,9 +89,11 @@ def linked(classes: DataFrame, max_distance: int = 2, bucket_limit: int = 64) ->
         "fp", F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.col("mask")).alias("rest")
     )
     key = ["bit", "rest"]
-    # written first, so the join is of two plain shuffles and a hot variant can be split
+    # written first, so a filter of bounded size keeps the variants that nothing shares
+    # out of the join, which is of two plain shuffles, so a hot variant can be split
     shared = materialise(variants.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = materialise(variants.join(shared, key))
+    hashed = F.xxhash64(*key)
+    met = materialise(passes(variants, hash_filter(shared, hashed), hashed).where("_may").drop("_may").join(shared, key))
     members = met.where(F.col("n") <= bucket_limit).groupBy(*key).agg(F.collect_list("fp").alias("fps"))
     near = (
         members.select("fps", F.explode("fps").alias("u"))
