@@ -258,8 +258,8 @@ def links(
     )
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("linked"))
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    rooted = classes.select("node", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = materialise(classes.select("node", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     info = rooted.join(least, "root").join(counts, "node", "left").select(
         "node", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )

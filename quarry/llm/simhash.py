@@ -145,10 +145,10 @@ def near_duplicates(
     found = materialise(fingerprints(docs, shingle, id_col, text_col))
     classes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = connected_components(linked(classes, max_distance, bucket_limit))
-    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
+    rooted = materialise(
+        classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     of_class = rooted.join(least, "root").select("fp", "component_id")
     return found.join(of_class, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

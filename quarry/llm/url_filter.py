@@ -149,7 +149,7 @@ def judge(
         )
     roots = connected_components(edges.select("u", "v"))
     ends = edges.select(F.col("u").alias("node"), F.col("src").alias("at")).union(edges.select("v", "dst")).distinct()
-    blocked = (
+    blocked = materialise(
         ends.where(rule_of(host(F.col("at")), path(F.col("at")), rules)["verdict"] == "block")
         .join(roots, "node").select("root").distinct()
     )
