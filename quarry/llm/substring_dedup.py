@@ -21,10 +21,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import forget, materialise, prepare
+from quarry.llm._shared import forget, hash_filter, materialise, passes, prepare
 from quarry.llm.wordhash import Prefix, word_hashes
 
 #: Words of the grams among which a window's minimiser is chosen.
@@ -151,12 +151,22 @@ def _keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(runs, "doc_id bigint, text_key bigint, gram bigint, content bigint, first int, n int")
 
 
-def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, content, owner, hot, words): the hashed words of the runs in wanted."""
-    per_doc = wanted.groupBy("doc_id", "text_key").agg(
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text_key")
+
+
+def _per_text(wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_key, runs): what is wanted of each text."""
+    return wanted.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("gram", "content", "owner", "hot", "first", "n")).alias("runs")
     )
 
+
+def _cut_out(docs: DataFrame, per_text: DataFrame, length: int) -> DataFrame:
+    """(gram, content, owner, hot, words): the hashed words of the runs of per_text, a
+    written table. Only texts that may have runs are shuffled."""
+    docs = passes(docs, hash_filter(per_text, _key()), _key()).where("_may").drop("_may")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -177,7 +187,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["gram", "content", "owner", "hot", "words"]
         )
 
-    return docs.join(per_doc, ["doc_id", "text_key"]).select("text", "runs").mapInArrow(
+    return docs.join(per_text, ["doc_id", "text_key"]).select("text", "runs").mapInArrow(
         cut, "gram bigint, content bigint, owner bigint, hot boolean, words array<bigint>"
     )
 
@@ -315,7 +325,7 @@ def removals(docs: DataFrame, length: int = 50, gram: int = GRAM, shard_texts: i
     wanted = shared.where("texts > 1").select(
         "gram", "content", "owner", (F.col("texts") > shard_texts).alias("hot"), "rep.doc_id", "rep.text_key", "rep.first", "rep.n"
     )
-    texts = written(_cut_out(docs, wanted, length))
+    texts = written(_cut_out(docs, written(_per_text(wanted)), length))
     windows = written(_windows(texts.where("hot"), length))
     first = written(_first_owners(windows))
     owners = alone.union(_by_automaton(texts.where("not hot"), length)).union(_by_window(texts.where("hot"), windows, first, length))
@@ -391,8 +401,11 @@ def deduplicate(
             )
 
     kind = rows.schema["carried"].dataType.simpleString()
+    flagged = passes(rows, hash_filter(found, _key()), _key())
+    whole = flagged.where("not _may").select("carried", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    some = flagged.where("_may").join(found, ["doc_id", "text_key"], "left").select("carried", "text", "spans")
     return (
-        rows.join(found, ["doc_id", "text_key"], "left").select("carried", "text", "spans")
+        whole.union(some)
         .mapInArrow(
             keep,
             f"carried {kind}, n_words bigint, n_removed bigint, spans array<struct<lo:int,hi:int>>, kept_text string",
