@@ -4,6 +4,8 @@ intermediate tables, code shipping and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,10 +41,16 @@ _kept: dict[str, Callable[[], object]] = {}
 def only(name: str, forget_all: Callable[[], object]) -> None:
     """In a worker process: free what other operators keep there, such as tables of
     words, since a process outlives a query's stages. forget_all frees what the
-    caller keeps."""
-    for other in [n for n in _kept if n != name]:
+    caller keeps. What is freed goes back to the system."""
+    others = [n for n in _kept if n != name]
+    for other in others:
         _kept.pop(other)()
     _kept[name] = forget_all
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+        if trim:
+            trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:

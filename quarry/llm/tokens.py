@@ -22,7 +22,7 @@ from quarry.llm._shared import only
 #: Words kept per worker process in each of two generations, and the longest one
 #: kept. When the younger generation is full the older one is dropped, so memory
 #: is bounded and words in use stay.
-CACHED_WORDS, CACHED_BYTES = 600_000, 48
+CACHED_WORDS, CACHED_BYTES = 450_000, 48
 #: Bytes of text whose words are looked up together, and new words per encoded string.
 _TOGETHER, _JOINED = 1 << 18, 400
 #: Punctuation that never belongs to a word before it (the apostrophe may).
@@ -80,44 +80,70 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the younger generation does not hold, which keeps them."""
-        older, fresh = self._older, {}
-        letters, rest, split = {}, [], []
+        known, older = self._known, self._older
+        made: dict[bytes, bytes] = {}
+        plain, letters, rest, split, long = {}, {}, {}, [], []
         for word in new:
             if (ids := older.get(word)) is not None:
-                fresh[word] = ids
+                made[word] = ids
                 continue
+            if len(word) > CACHED_BYTES:
+                long.append(word)
             core = word.rstrip(_TAIL)
-            if not core or not core.decode("utf-8", "replace").isalpha():
-                rest.append(word)
-            elif len(core) == len(word):
-                letters[word] = None
-            else:
-                split.append((word, core, word[len(core) :]))
-        tails = dict.fromkeys(tail for _, _, tail in split)
-        made: dict[bytes, bytes] = {}
-        for _, core, _ in split:
-            if (ids := self._known.get(core, older.get(core))) is None:
-                letters[core] = None
+            if core.isalpha():
+                held = plain
+            elif core and core.decode("utf-8", "replace").isalpha():
+                held = letters
             else:
-                made[core] = ids
-        self._letters(list(letters), made)
-        self._singly([t for t in tails if t not in made] + rest, made)
+                rest[word] = None
+                continue
+            if len(core) == len(word):
+                held[word] = None
+                continue
+            tail = word[len(core) :]
+            split.append((word, core, tail))
+            for part, to in ((core, held), (tail, rest)):
+                if (ids := known.get(part) or older.get(part)) is not None:
+                    made[part] = ids
+                else:
+                    to[part] = None
+        self._letters(list(plain), made, True)
+        self._letters(list(letters), made, False)
+        self._singly(list(rest), made)
         for word, core, tail in split:
-            fresh[word] = made[core] + made[tail]
-        fresh |= {w: made[w] for w in new if w in made}
-        kept = {w: ids for w, ids in (fresh | {c: made[c] for c in letters}).items() if len(w) <= CACHED_BYTES}
-        if len(self._known) + len(kept) > CACHED_WORDS:
-            self._older, self._known = self._known, {}
-        if len(kept) <= CACHED_WORDS:
-            self._known |= kept
-        return fresh
-
-    def _letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Ids of words of letters, many in one string."""
-        self._tokenizer.encode_special_tokens = True
+            made[word] = made[core] + made[tail]
+        if len(known) + len(made) > CACHED_WORDS:
+            self._older, self._known = known, {}
+        if len(made) <= CACHED_WORDS:
+            self._known.update(made)
+            for word in long:
+                self._known.pop(word, None)
+                self._known.pop(word.rstrip(_TAIL), None)
+        return made
+
+    def _letters(self, words: list[bytes], into: dict[bytes, bytes], ascii_only: bool) -> None:
+        """Ids of words of letters, many in one string. Lower-case ASCII needs neither
+        normalisation nor a pattern to be split by."""
+        if not words:
+            return
+        from tokenizers import normalizers, pre_tokenizers
+
+        tokenizer = self._tokenizer
         groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
         joined = [b" ".join(g).decode("utf-8", "replace") for g in groups]
-        for group, found in zip(groups, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        usual = tokenizer.normalizer, tokenizer.pre_tokenizer
+        tokenizer.encode_special_tokens = True
+        try:
+            if ascii_only:
+                tokenizer.normalizer = normalizers.Sequence([])
+                tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+                    [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+                )
+            encoded = tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        finally:
+            if ascii_only:
+                tokenizer.normalizer, tokenizer.pre_tokenizer = usual
+        for group, found in zip(groups, encoded):
             ids = np.array(found.ids, dtype="<u4")
             stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
             if stops.size != len(group):  # normalisation gave a word more than one run
@@ -129,6 +155,8 @@ class WordEncoder:
                 start = stop
 
     def _singly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        if not words:
+            return
         self._tokenizer.encode_special_tokens = True
         texts = [w.decode("utf-8", "replace") for w in words]
         for word, found in zip(words, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
