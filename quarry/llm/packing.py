@@ -123,7 +123,9 @@ def _slots(groups: list[Group]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), sequence
 
 
-def cut(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def cut(
+    docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str, text_col: str, cached_words: int | None = None
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and part and nth,
     the task and the piece's number among those of its length in that task."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -131,7 +133,7 @@ def cut(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = tokens.encoder(tokenizer).encode_all
+        encode_all = tokens.encoder(tokenizer, cached_words).encode_all
         end = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: Counter = Counter()
@@ -166,6 +168,7 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cached_words: int | None = None,
 ) -> DataFrame:
     """Pack all documents into sequences of at most capacity tokens.
 
@@ -177,12 +180,13 @@ def pack(
     Null and empty text: end_id alone. A very long text becomes many pieces. Pieces
     of equal length are interchangeable and placed in the order of tasks. Null ids and repeated rows are packed like
     any other row. An empty table gives an empty result; other columns are
-    ignored. The driver holds one number per length, capacity at most. A hot
+    ignored. cached_words bounds the words whose ids a worker process keeps (default:
+    tokens.CACHED_WORDS): fewer take less memory and more time. The driver holds one number per length, capacity at most. A hot
     length needs no large task: ranks come from counts per input task.
     """
     spark = docs.sparkSession
     prepare(spark)
-    found = materialise(cut(docs, capacity, tokenizer or tokens.default_path(), end_id, id_col, text_col))
+    found = materialise(cut(docs, capacity, tokenizer or tokens.default_path(), end_id, id_col, text_col, cached_words))
     counts = found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -28,7 +28,7 @@ _TOGETHER, _JOINED = 1 << 18, 400
 #: Punctuation that never belongs to a word before it (the apostrophe may).
 _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple, "WordEncoder"] = {}
 
 
 def default_path() -> str:
@@ -38,7 +38,8 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int | None = None):
+        self._most = CACHED_WORDS if cached_words is None else cached_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,9 +113,9 @@ class WordEncoder:
         self._singly(list(rest), made)
         for word, core, tail in split:
             made[word] = made[core] + made[tail]
-        if len(known) + len(made) > CACHED_WORDS:
+        if len(known) + len(made) > self._most:
             self._older, self._known = known, {}
-        if len(made) <= CACHED_WORDS:
+        if len(made) <= self._most:
             self._known.update(made)
             for word in long:
                 self._known.pop(word, None)
@@ -168,9 +169,11 @@ class WordEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and vocabulary."""
+def encoder(path: str, cached_words: int | None = None) -> WordEncoder:
+    """One encoder per worker process, vocabulary and number of words kept."""
     only("tokens", _encoders.clear)
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    key = path, cached_words
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(path, cached_words)
+    return _encoders[key]
