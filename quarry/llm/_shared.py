@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ship_code
@@ -90,6 +90,32 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def part_of(at: str) -> Column:
+    """The task that wrote a row of in_order(), from its _at."""
+    return F.shiftright(at, 33)
+
+
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows, written in the order given, with _at, which ascends in it: dealt out by
+    ranges, sorted within each, numbered by task and place."""
+    return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def stretches(placed: DataFrame, group: list[str], measure: Column | None = None) -> DataFrame:
+    """One row for each group (the leading columns of the order; none: all rows) and
+    task of in_order(): part, the group, first (the lowest _at there), before (the sum
+    of measure in earlier tasks; default: the rows), total (the group's sum) and
+    first_of_all (the group's lowest _at). No window holds more rows than there are tasks."""
+    measure = F.lit(1) if measure is None else measure
+    here = placed.groupBy(part_of("_at").alias("part"), *group).agg(F.min("_at").alias("first"), F.sum(measure).cast("bigint").alias("_here"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return here.select(
+        "part", *group, "first", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("before"),
+        F.sum("_here").over(whole).alias("total"), F.min("first").over(whole).alias("first_of_all"),
+    )
+
+
 #: Bits of a filter of hashes (8 MB), which keeps rows without a partner out of a shuffle.
 FILTER_BITS = 1 << 26
 

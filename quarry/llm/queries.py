@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, embed_dedup, langid, packing, simhash, substring_dedup, token_counts, url_filter, warc
+from quarry.llm import chat, decontaminate, embed_dedup, langid, merkle, packing, simhash, substring_dedup, token_counts, url_filter, warc
 from quarry.llm._shared import table
 
 
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_copies(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -132,6 +136,52 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
        CASE WHEN page_id <> top THEN top END AS refers_to FROM b
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT *, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, c: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+      lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, xor(crc, c)), 4294967295::BIGINT) & 1 = 1 AS even
+  FROM documents
+), f AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other FROM t
+), d AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS copied FROM f
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d
+), a(source, lev, idx, h, n) AS (
+  SELECT source, 0, i, leaf, n FROM e
+  UNION ALL
+  SELECT source, lev + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM a WHERE n > 1 GROUP BY source, lev, idx // 3, n
+), s AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM a WHERE n = 1
+), b(lev, idx, h, n) AS (
+  SELECT 0, j, subroot, n FROM s
+  UNION ALL
+  SELECT lev + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM b WHERE n > 1 GROUP BY lev, idx // 3, n
+), r AS (
+  SELECT e.source, i, lev, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < i // CAST(pow(3, lev) AS BIGINT)), '') || '|'
+    || coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > i // CAST(pow(3, lev) AS BIGINT)), '') AS run
+  FROM e JOIN a ON e.source IS NOT DISTINCT FROM a.source AND a.n > 1 AND a.idx // 3 = i // CAST(pow(3, lev + 1) AS BIGINT) GROUP BY ALL
+), q AS (
+  SELECT source, j, lev, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < j // CAST(pow(3, lev) AS BIGINT)), '') || '|'
+    || coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > j // CAST(pow(3, lev) AS BIGINT)), '') AS run
+  FROM s JOIN b ON b.n > 1 AND b.idx // 3 = j // CAST(pow(3, lev + 1) AS BIGINT) GROUP BY ALL
+), rp AS (SELECT source, i, list(run ORDER BY lev) AS path FROM r GROUP BY ALL),
+qp AS (SELECT source, list(run ORDER BY lev) AS path FROM q GROUP BY ALL),
+p AS (
+  SELECT e.*, s.subroot, list_concat(coalesce(rp.path, []), coalesce(qp.path, [])) AS path
+  FROM e JOIN s ON s.source IS NOT DISTINCT FROM e.source LEFT JOIN rp ON rp.source IS NOT DISTINCT FROM e.source AND rp.i = e.i
+  LEFT JOIN qp ON qp.source IS NOT DISTINCT FROM e.source
+), z AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM b WHERE n = 1) AS root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+    list_reduce(path, lambda h, run: sha256(split_part(run, '|', 1) || h || split_part(run, '|', 2)), copied) AS folded_root FROM p
+)
+SELECT *, folded_root = root AS verified FROM z
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -143,6 +193,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -151,4 +202,5 @@ ORACLE_SQL = {
     "op6_embedding_dedup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op8_url_filters": OP8_SQL,
+    "op13_merkle": OP13_SQL,
 }
