@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import alignment, chat, decontaminate, embed_dedup, langid, merkle, packing, simhash, substring_dedup, token_counts, url_filter, warc
+from quarry.llm import alignment, chat, decontaminate, embed_dedup, langid, merkle, mixing, packing, simhash, substring_dedup, token_counts, url_filter, warc
 from quarry.llm._shared import table
 
 
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -197,6 +201,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_mixing": op11_mixing,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
