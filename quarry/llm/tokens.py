@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,12 @@ _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'
 _encoders: dict[tuple, "WordEncoder"] = {}
 
 
+def _ends_in_letter(word: str) -> bool:
+    """A word of letters that is still one when it is normalised: some letters become
+    a letter and a mark there, and a mark joins the punctuation behind it."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -93,7 +100,7 @@ class WordEncoder:
             core = word.rstrip(_TAIL)
             if core.isalpha():
                 held = plain
-            elif core and core.decode("utf-8", "replace").isalpha():
+            elif core and _ends_in_letter(core.decode("utf-8", "replace")):
                 held = letters
             else:
                 rest[word] = None

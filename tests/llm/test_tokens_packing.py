@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,6 +29,20 @@ def test_word_by_word_is_exact(tokenizer):
             assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids(tokenizer, text)
 
 
+def test_letters_that_become_letter_and_mark(tokenizer):
+    """Every letter that NFC or lower-casing changes, before and after others and with
+    punctuation behind it, encoded together with plain words."""
+    changed = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and unicodedata.normalize("NFC", chr(c)).lower() != chr(c)]
+    marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    texts = [f"{w}{m}" for w in ("\u0130", "ij\u0130", "\u0958", "\ufb2a", "a\u0958b") for m in marks]
+    texts += [f"x{c}{marks[k % len(marks)]} {c}y{marks[k % 7]} {c}. {c}," for k, c in enumerate(changed)]
+    draw = random.Random(11)
+    texts += ["".join(draw.choice([*changed, *marks, *"abc", " "]) for _ in range(40)) for _ in range(1500)]
+    encoder = tokens.WordEncoder(tokens.default_path())
+    found = [np.frombuffer(f, "<u4").tolist() for f in encoder.encode_all(t.encode() for t in texts)]
+    assert [t for t, f in zip(texts, found) if f != ids(tokenizer, t)] == []
+
+
 def test_cache_overflow(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 5)
     encoder = tokens.WordEncoder(tokens.default_path())
