@@ -70,9 +70,12 @@ def reach(unit: np.ndarray, centres: np.ndarray, threshold: float, visits: int |
     home = dots.argmax(axis=1)
     each = np.arange(len(unit))
     if visits is None:
-        gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)[home]
+        # distances from the homes at hand only, by inner products: rounding is under 1e-7
+        homes, of = np.unique(home, return_inverse=True)
+        squares = (centres * centres).sum(axis=1)
+        gaps = np.sqrt(np.maximum(squares[homes][:, None] + squares - 2 * (centres[homes] @ centres.T), 0.0))
         sine = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
-        mask = (dots[each, home][:, None] - dots) <= sine * gaps
+        mask = (dots[each, home][:, None] - dots) <= (sine * gaps + 1e-7)[of]
     else:
         mask = np.zeros(dots.shape, dtype=bool)
         nearest = np.argpartition(-dots, min(visits, dots.shape[1]) - 1, axis=1)[:, :visits]
@@ -260,12 +263,14 @@ def links(
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     rooted = materialise(classes.select("node", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    info = rooted.join(least, "root").join(counts, "node", "left").select(
+    # written, so that the last join reads two plain shuffles and a vector of very many
+    # copies can be split; rows without a node stay beside it
+    info = materialise(rooted.join(least, "root").join(counts, "node", "left").select(
         "node", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
-    )
-    answer = named.select("vec_id", "node").join(info, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return answer.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
-    )
+    ))
+    ids = named.select("vec_id", "node")
+    linked = ids.where("node is not null").join(info, "node").select("vec_id", "n_links", "component_id")
+    alone = ids.where("node is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for done in (found, rooted, least):
+        forget(done)
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
