@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quarry.functions import constants as C
 from quarry.functions import text as T
 from quarry.functions.stem import stem, stemmed_tokens
+from quarry.operators import postings, vector_index
 from quarry.operators import search as S
 from quarry.registry import query
-from quarry.session import materialise, table
+from quarry.session import materialise, scratch, table
 
 TERMS = ("the", "than", "ereden")
 TITLE = "split_part(text, chr(10), 1)"
@@ -63,6 +64,38 @@ def bm25_search(spark, sf_dir):
     return S.ranked(_keyword(spark, sf_dir))
 
 
+@query("bm25_indexed", f"WITH {BM25_CTE} SELECT doc_id, score, rank FROM bmr")
+def bm25_indexed(spark, sf_dir):
+    """The same ranking from a postings index, which is built once and read by term."""
+    path = scratch(spark)
+    postings.build(table(spark, sf_dir, "documents"), "doc_id", {name: value for name, (value, _) in _fields().items()}, path)
+    return postings.ranked_search(spark, path, TERMS, {name: boost for name, (_, boost) in _fields().items()}, S.TOP)
+
+
+@query(
+    "object_text_search",
+    r"""WITH o AS (SELECT 'p' || p_partkey AS s, 'name' AS p, p_name AS o FROM part UNION ALL SELECT 'p' || p_partkey, 'type', p_type FROM part
+      UNION ALL SELECT 's' || s_suppkey, 'name', s_name FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'name', n_name FROM nation),
+    d AS (SELECT s || ' ' || p AS doc_id, list_filter(regexp_extract_all(lower(o), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM o),
+    st AS (SELECT count(*) AS total, avg(len(w)) AS avg_n FROM d),
+    tf AS (SELECT doc_id, len(w) AS n, t.term, len(list_filter(w, lambda x: x = t.term)) AS tf FROM d, (SELECT unnest(['blue', 'tin', 'germany']) AS term) t),
+    df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
+    SELECT doc_id AS object, round(sum(CASE WHEN tf > 0 THEN ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_n)) ELSE 0 END), 6) AS score
+    FROM tf JOIN df USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 5""",
+)
+def object_text_search(spark, sf_dir):
+    """The five best objects of triples for a few words, with their scores."""
+    part, supplier, nation = (table(spark, sf_dir, name) for name in ("part", "supplier", "nation"))
+    triple = lambda rows, kind, key, p, o: rows.select(F.concat(F.lit(kind), F.col(key), F.lit(f" {p}")).alias("object"), F.col(o).alias("o"))
+    objects = (
+        triple(part, "p", "p_partkey", "name", "p_name").union(triple(part, "p", "p_partkey", "type", "p_type"))
+        .union(triple(supplier, "s", "s_suppkey", "name", "s_name")).union(triple(nation, "n", "n_nationkey", "name", "n_name"))
+    )
+    path = scratch(spark)
+    postings.build(objects, "object", {"o": F.col("o")}, path)
+    return postings.search(spark, path, ("blue", "tin", "germany"), {"o": 1.0}, 5).withColumnRenamed("doc_id", "object")
+
+
 @query("bm25_stemmed")
 def bm25_stemmed(spark, sf_dir):
     """Keyword search over stems without stop words; checked by brute force in tests."""
@@ -75,6 +108,30 @@ def vector_topk(spark, sf_dir):
     return S.ranked(_vector(spark, sf_dir))
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, sf_dir):
+    """The ten nearest of every hundredth vector among all rows, from the cell index;
+    its recall is measured against brute force in tests."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch(spark)
+    vector_index.build(vectors, path)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return vector_index.search(spark, path, asked, 10, skip_self=True)
+
+
+@query(
+    "vector_index_exact",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS q, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+    SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM p QUALIFY rank <= 10""",
+)
+def vector_index_exact(spark, sf_dir):
+    """The same question with every cell visited."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch(spark)
+    vector_index.build(vectors, path)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return vector_index.search(spark, path, asked, 10, visits=None, skip_self=True)
+
+
 @query(
     "hybrid_search_rrf",
     f"""WITH {BM25_CTE}, {VECTOR_CTE}, {RRF_CTE}
