@@ -126,28 +126,92 @@ def max_normalised(scores: DataFrame, column: str, few: bool = False) -> DataFra
     ).drop("_most")
 
 
+#: Bins of a histogram of a group, and rows of a bin that may meet in one task.
+BINS, FEW_ROWS = 2048, 100_000
+
+
+def at_ranks(rows: DataFrame, keys: Sequence[str], column: str, ranks: DataFrame) -> DataFrame:
+    """(keys, rank, value): the values at the ranks (keys, rank; from 0) of each group,
+    by selection. A histogram between a group's extremes tells which bin holds a rank,
+    and that bin alone is looked at again, until it has few rows or one value. State is
+    BINS counts a group, and no task holds a group's values. Null and NaN values have no
+    rank; ranks beyond a group give nothing."""
+    keys, v = list(keys), F.col("_v")
+    values = rows.select(*keys, F.col(column).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    target = [*keys, "rank"]
+    ends = values.groupBy(*keys).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n"))
+    joined = ranks.join(ends, keys) if keys else ranks.join(F.broadcast(ends))
+    spans = materialise(joined.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select(*target, "low", "high", "n", F.lit(0).cast("bigint").alias("before")))
+
+    def inside() -> DataFrame:
+        some = spans.select(*target, "low", "high", "before")
+        met = values.join(some, keys) if keys else values.join(F.broadcast(some))
+        return met.where(v.between(F.col("low"), F.col("high")))
+
+    while spans.where((F.col("n") > FEW_ROWS) & (F.col("low") < F.col("high"))).limit(1).count():
+        # halves first, so that a span of any width keeps finite
+        share = (v / 2 - F.col("low") / 2) / F.greatest(F.col("high") / 2 - F.col("low") / 2, F.lit(5e-324))
+        bins = inside().groupBy(*target, "before", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+            F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n")
+        )
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*target).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spans = materialise(
+            bins.withColumn("before", F.col("before") + earlier)
+            .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*target, "low", "high", "n", "before")
+        )
+    counts = inside().groupBy(*target, "before", "_v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*target).orderBy("_v"))
+    return counts.withColumn("_upto", upto).where(F.col("_upto") > F.col("rank")).groupBy(*target).agg(F.min("_v").alias("value"))
+
+
+def _packed(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """rows with all keys in one column, whose null fields equal each other in a join."""
+    return (rows.withColumn("_k", F.struct(*keys)), ["_k"]) if keys else (rows, [])
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each share): percentiles with linear interpolation between
+    the two nearest ranks, as exact as at_ranks(). A group without values has nulls."""
+    rows, key = _packed(rows, keys)
+    value = F.col(column).cast("double")
+    groups = materialise(rows.groupBy(*key).agg(F.count_if(value.isNotNull() & ~F.isnan(value)).alias("n")))
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in shares.items()])).alias("p")
+    place = F.col("p.share") * (F.col("n") - 1)
+    wanted = groups.where("n > 0").select(*key, "n", names).select(
+        *key, F.col("p.name").alias("name"), F.floor(place).alias("lower"), F.ceil(place).alias("upper"), (place - F.floor(place)).alias("part")
+    )
+    found = materialise(at_ranks(rows, key, column, wanted.select(*key, F.explode(F.array("lower", "upper")).alias("rank")).distinct()))
+    low, high = (found.select(*key, F.col("rank").alias(name), F.col("value").alias(f"{name}_value")) for name in ("lower", "upper"))
+    both = wanted.join(low, [*key, "lower"]).join(high, [*key, "upper"])
+    one = F.col("lower_value") + F.col("part") * (F.col("upper_value") - F.col("lower_value"))
+    picked = both.groupBy(*key).agg(*[F.max(F.when(F.col("name") == name, one)).alias(name) for name in shares])
+    return groups.select("_k").join(picked, "_k", "left").select("_k.*", *shares) if keys else picked
+
+
 def score_statistics(scores: DataFrame, by: Sequence[str] = (), column: str = "score") -> DataFrame:
     """Count, extremes, mean, population deviation, median, the 95th percentile at
     the floor index, and the kind of distribution."""
-    value, keys = F.col(column), list(by)
+    value = F.col(column)
+    scores, keys = _packed(scores, by)
     # equal scores are counted first: groups of any size meet as value counts, never as rows
     counts = scores.where(value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     v, c = F.col("_v"), F.col("_c")
-    found = counts.groupBy(*keys).agg(
+    found = materialise(counts.groupBy(*keys).agg(
         F.sum(c).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v * c) / F.sum(c)).alias("mean"),
         F.sqrt(F.greatest(F.sum(v * v * c) / F.sum(c) - F.pow(F.sum(v * c) / F.sum(c), 2), F.lit(0.0))).alias("deviation"),
-        F.expr("percentile(_v, 0.5, _c)").alias("median"),
+    ).where("n > 0"))
+    middle, last = (F.col("n") - 1) / 2, F.floor(0.95 * (F.col("n") - 1))
+    places = found.select(*keys, F.floor(middle).alias("lower"), F.ceil(middle).alias("upper"), last.alias("p95"))
+    ranks = places.select(*keys, F.explode(F.array("lower", "upper", "p95")).alias("rank")).distinct()
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("rank")) for name in ("lower", "upper", "p95")])).alias("p")
+    values = places.select(*keys, named).select(*keys, "p.name", "p.rank").join(at_ranks(scores, keys, column, ranks), [*keys, "rank"])
+    picked = values.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ("lower", "upper", "p95")])
+    picked = picked.select(*keys, ((F.col("lower") + F.col("upper")) / 2).alias("median"), "p95")
+    whole = found.join(picked, keys) if keys else found.join(F.broadcast(picked))
+    named_by = ["_k.*"] if keys else []
+    return whole.select(
+        *named_by, "n", "low", "high", "mean", "deviation", "median", "p95", distribution(*map(F.col, ("n", "low", "high", "mean", "deviation"))).alias("kind")
     )
-    within = Window.partitionBy(*keys).orderBy("_v")
-    place = counts.select(*keys, "_v", F.sum(c).over(within).alias("_upto"))
-    floor_at = F.floor(0.95 * (F.col("n") - 1)) + 1
-    if keys:
-        joined = place.join(found.select(*keys, "n"), keys)
-    else:
-        joined = place.join(F.broadcast(found.select("n")))
-    p95 = joined.where(F.col("_upto") >= floor_at).groupBy(*keys).agg(F.min("_v").alias("p95"))
-    whole = found.join(p95, keys) if keys else found.join(p95)
-    return whole.withColumn("kind", distribution(*map(F.col, ("n", "low", "high", "mean", "deviation"))))
 
 
 def distribution(n: Column, low: Column, high: Column, mean: Column, deviation: Column) -> Column:

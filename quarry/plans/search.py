@@ -244,10 +244,8 @@ def score_statistics(spark, sf_dir):
 )
 def percentile_bounds(spark, sf_dir):
     """Interpolated bounds, unlike the floor index of score_statistics."""
-    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.95)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select(
-        "event_type", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high")
-    )
+    found = S.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"low": 0.05, "high": 0.95})
+    return found.select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(
