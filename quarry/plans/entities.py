@@ -17,31 +17,6 @@ def rows_n():
     return F.count(F.lit(1))
 
 
-_ORGS = (
-    # name, base, country, cleaned, type, class, uri, needs country
-    ("Ministry of Health (Japan)", "Ministry of Health", "Japan", "public", "HealthMinistry", "sg:Org_ministry_of_health_japan", False),
-    ("World Bank", "World Bank", "", "international", "DevelopmentBank", "sg:Org_world_bank", False),
-    ("Acme Consulting Group", "Acme Consulting Group", "", "private", "ConsultingFirm", "sg:Org_acme_consulting_group", True),
-    ("Global  Insurance Co", "Global  Insurance Co", "", "international", "InsuranceCompany", "sg:Org_global_insurance_co", False),
-    ("Bureau of Statistics (Lao PDR)", "Bureau of Statistics", "Lao PDR", "public", "StatisticalOffice", "sg:Org_bureau_of_statistics_lao_pdr", False),
-    ("University of X", "University of X", "", "private", "University", "sg:Org_university_of_x", True),
-    ("UNDP", "UNDP", "", "unknown", "UNAgency", "sg:Org_undp", False),
-    ("Nobody", "Nobody", "", "unknown", "org:Organization", "sg:Org_nobody", False),
-)
-
-
-@query("organisations", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{b}', '{c}', '{t}', '{k}', '{u}', {str(x).lower()})" for n, b, c, t, k, u, x in _ORGS)
-       + ") v(name, base, country, kind, class, uri, needs_country)")
-def organisations(spark, sf_dir):
-    name = F.col("name")
-    rows = spark.createDataFrame([(o[0],) for o in _ORGS], "name string")
-    kind = T.organisation_type(name)
-    return rows.select(
-        "name", T.base_name(name).alias("base"), T.country_of(name).alias("country"), kind.alias("kind"),
-        T.organisation_class(name, kind).alias("class"), T.organisation_uri(name).alias("uri"), T.needs_country(name).alias("needs_country"),
-    )
-
-
 @query("org_class_counts", """WITH p AS (SELECT CASE p_size % 4 WHEN 0 THEN 'Ministry of Health (' || p_brand || ')' WHEN 1 THEN 'Asian Development Fund' WHEN 2 THEN p_brand || ' Insurance' ELSE p_name END AS name,
       CASE p_size % 4 WHEN 0 THEN 'HealthMinistry' WHEN 1 THEN 'DevelopmentBank' WHEN 2 THEN 'InsuranceCompany' ELSE 'PrivateOrganization' END AS class FROM part)
     SELECT class, count(DISTINCT name) AS n FROM p GROUP BY class""")
@@ -52,30 +27,6 @@ def org_class_counts(spark, sf_dir):
     return rows.withColumn("class", T.organisation_class(F.col("name"), F.lit("private"))).groupBy("class").agg(F.countDistinct("name").alias("n"))
 
 
-_NAMES = (("Min of  Health, ", "Ministry of Health"), ("Natl Univ of X (Y)", "National University of X"), ("Intl Org Ltd", "International Organization Limited"), ("Dept of Gov", "Department of Government"))
-
-
-@query("normalised_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMES) + ") v(name, normalised)")
-def normalised_names(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in _NAMES], "name string")
-    return rows.select("name", T.normalise_organisation(F.col("name")).alias("normalised"))
-
-
-_CONCEPTS = (("Increased Penetration", "Increase Penetration"), ("Leveraging Tech", "Leveraging Technology"), ("A Risk B", None), ("Raising  Awareness", "Raising Awareness"), ("Reduced Penetration", "Reduce Penetration"), ("Accessibilty", "Accessibility"))
-
-
-@query("normalised_concepts", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', " + (f"'{b}'" if b else "NULL") + ")" for a, b in _CONCEPTS) + ") v(concept, canonical)")
-def normalised_concepts(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in _CONCEPTS], "concept string")
-    return rows.select("concept", T.normalise_concept(F.col("concept")).alias("canonical"))
-
-
-@query("cleaned_names", "SELECT * FROM (VALUES (' A  b.,', 'A b'), ('NIL', NULL), ('n/a', NULL), ('x;', 'x'), ('.,;', NULL)) v(name, cleaned)")
-def cleaned_names(spark, sf_dir):
-    rows = spark.createDataFrame([(" A  b.,",), ("NIL",), ("n/a",), ("x;",), (".,;",)], "name string")
-    return rows.select("name", T.clean_organisation(F.col("name")).alias("cleaned"))
-
-
 @query("similar_names")
 def similar_names(spark, sf_dir):
     """Greedy fuzzy groups; checked by tests."""

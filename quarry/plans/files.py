@@ -95,12 +95,6 @@ def mapping_lines(spark, sf_dir):
     return I.read_mapping(spark, path)
 
 
-@query("script_requests", "SELECT * FROM (VALUES (0, 'PREFIX a: <b>' || chr(10) || 'INSERT DATA { x }'), (1, 'PREFIX a: <b>' || chr(10) || 'PREFIX c: <d>' || chr(10) || 'DELETE { y }')) v(n, request)")
-def script_requests(spark, sf_dir):
-    requests = I.split_script("# c\nPREFIX a: <b>\nINSERT DATA { x } ;\nPREFIX c: <d>\nDELETE { y }")
-    return spark.createDataFrame(list(enumerate(requests)), "n int, request string")
-
-
 @query("paged_rows", "SELECT n_nationkey AS id, n_name AS name FROM nation")
 def paged_rows(spark, sf_dir):
     """Pages of seven rows with a token each, put together."""

@@ -205,28 +205,6 @@ def one_hop_pattern(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where("s_acctbal > 0").join(nations, "s_nationkey").select("s_suppkey", "n_name")
 
 
-_ONTOLOGIES = (("climate", 1, ("risk", "hazard")), ("places", 2, ("location",)), ("all", 3, ("risk", "location", "org")), ("off", 4, ()))
-
-
-@query("ontology_routing", "SELECT * FROM (VALUES ('climate', 1), ('all', 3)) v(ontology_id, priority)")
-def ontology_routing(spark, sf_dir):
-    rows = spark.createDataFrame([(a, b, list(c)) for a, b, c in _ONTOLOGIES], "ontology_id string, priority int, scopes array<string>")
-    return rows.where(F.arrays_overlap("scopes", F.array(F.lit("risk"), F.lit("org")))).select("ontology_id", "priority").orderBy("priority")
-
-
-_MATCHES = (("earthquake", "earthquake", "exact", 1.0), ("earthquake", "earthquake disaster", "partial", 0.8), ("disaster", "earthquake disaster", "partial", 0.8), ("quake", "earthquake", "fuzzy", 0.7))
-
-
-@query("match_ladder", "SELECT text, concept, kind, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES " + ", ".join(str(m) for m in _MATCHES) + ") v(text, concept, kind, confidence)")
-def match_ladder(spark, sf_dir):
-    """Exact, whole-word containment, then fuzzy."""
-    rows = spark.createDataFrame([m[:2] for m in _MATCHES], "text string, concept string")
-    text, concept = F.col("text"), F.col("concept")
-    kind = F.when(text == concept, "exact").when(T.whole_word(concept, text) | T.whole_word(text, concept), "partial").otherwise("fuzzy")
-    score = F.when(kind == "exact", 1.0).when(kind == "partial", 0.8).otherwise(0.7)
-    return rows.select("text", "concept", kind.alias("kind"), score.alias("confidence"))
-
-
 @query("context_scoring", """WITH c AS (SELECT c_custkey AS id, c_custkey % 5 <> 0 AS places, ['US', 'FR', 'IN', 'BR'][c_custkey % 4 + 1] AS country, c_custkey * 1000 AS people, c_custkey % 3 AS t FROM customer),
     b AS (SELECT *, CASE WHEN t = 0 THEN CASE WHEN country = 'US' THEN 0.3 ELSE -0.15 END WHEN t = 1 AND country = 'FR' OR t = 2 AND country = 'IN' THEN 0.3 ELSE 0 END + 0.4 + CASE WHEN country = 'IN' THEN 0.32 ELSE 0 END
       + CASE WHEN people > 1000000 THEN 0.1 WHEN people > 100000 THEN 0.05 ELSE 0 END + 0.2 AS boost FROM c)

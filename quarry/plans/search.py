@@ -273,26 +273,6 @@ def filter_terms_any(spark, sf_dir):
     ).select("p_partkey")
 
 
-_SLUGS = ("natural-catastrophe", "cyber", "unknown-slug", "health")
-
-
-@query(
-    "filter_labels",
-    """SELECT * FROM (VALUES ('natural-catastrophe', 'Natural Catastrophe'), ('cyber', 'Cyber'), ('unknown-slug', 'unknown-slug'), ('health', 'Health'),
-    ('thailand', 'Thailand'), ('sri lanka', 'Sri Lanka')) t(slug, label)""",
-)
-def filter_labels(spark, sf_dir):
-    """Unknown slugs pass through; unknown countries are title-cased."""
-    rows = spark.createDataFrame(
-        [(s, "solution_category") for s in _SLUGS] + [("thailand", "countries"), ("sri lanka", "countries")], "slug string, field string"
-    )
-    label = F.when(F.col("field") == "countries", F.initcap("slug")).otherwise(F.col("slug"))
-    for field, labels in C.FILTER_LABELS.items():
-        for old, new in labels.items():
-            label = F.when((F.col("field") == field) & (F.col("slug") == old), new).otherwise(label)
-    return rows.select("slug", label.alias("label"))
-
-
 @query(
     "any_term_match",
     rf"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents)

@@ -104,43 +104,6 @@ def slugs(spark, sf_dir):
     )
 
 
-_ENTITIES = (
-    ("PERSON", "Dr. Ada Lovelace"), ("PERSON", "Prof Mr. X"), ("ORGANIZATION", "World Bank"), ("ORGANIZATION", "IPCC"),
-    ("ORGANIZATION", "Some Other  Body, Inc."), ("LOCATION", "Kuala Lumpur"), ("DATE", "12 May 2020"), ("QUANTITY", "5 km²"),
-    ("NATURAL_EVENT", "Flood of 1953"), ("CONCEPT", "a very long concept name that goes on for more than fifty characters"),
-)
-_MINTED = (
-    "kr:person/ada_lovelace", "kr:person/x", "kr:organization/world_bank", "kr:organization/ipcc",
-    "kr:organization/some_other_body_inc", "kr:location/kuala_lumpur", "kr:date/12_may_2020", None,
-    "kr:naturalevent/flood_of_1953", None,
-)
-
-
-@query(
-    "typed_uris",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{k}', '{t}', " + (f"'{m}'" if m else (
-            "'kr:quantity/5km²_' || substr(md5('5 km²'), 1, 12)" if k == "QUANTITY" else f"'kr:concept/averylon_' || substr(md5('{t}'), 1, 12)"
-        )) + ")" for (k, t), m in zip(_ENTITIES, _MINTED)
-    ) + ") v(kind, text, uri)",
-)
-def typed_uris(spark, sf_dir):
-    rows = spark.createDataFrame([(k, t) for k, t in _ENTITIES], "kind string, text string")
-    return rows.select("kind", "text", T.mint_uri(F.col("kind"), F.col("text")).alias("uri"))
-
-
-@query(
-    "curies",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{p}:Thing', '{s}Thing', true)" for p, s in C.PREFIXES.items())
-    + ", ('none:Thing', 'none:Thing', true), ('a b', 'a b', false), ('ab', 'ab', false)) v(curie, uri, valid)",
-)
-def curies(spark, sf_dir):
-    rows = spark.createDataFrame([(f"{p}:Thing",) for p in C.PREFIXES] + [("none:Thing",), ("a b",), ("ab",)], "curie string")
-    return rows.select("curie", T.expand_curie(F.col("curie")).alias("uri"), T.has_uri_characters(F.col("curie")).alias("valid"))
-
-
 @query(
     "year_parse",
     r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y') || ' and 07' WHEN 1 THEN 'from ' || strftime(o_orderdate, '%y') || ' to ' || strftime(o_orderdate, '%Y')
@@ -178,18 +141,6 @@ def record_format(spark, sf_dir):
     )
 
 
-_KINDS = (
-    ("Risk Reduction, Insurance", "risk reduction|insurance penetration"), ("Capital funding", "risk financing"),
-    ("Something else", "risk reduction"), ("", ""), ("prevention and coverage and financing", "risk reduction|insurance penetration|risk financing"),
-)
-
-
-@query("solution_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _KINDS) + ") v(kind, categories)")
-def solution_categories(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in _KINDS], "kind string")
-    return rows.select("kind", F.array_join(T.categories(F.col("kind")), "|").alias("categories"))
-
-
 @query(
     "snippets",
     r"""SELECT doc_id, CASE WHEN length(trim(split_part(text, '.', 1), chr(10) || ' ')) > 20 THEN trim(split_part(text, '.', 1), chr(10) || ' ') || '.' END AS highlight,
@@ -263,39 +214,6 @@ def match_normalisation(spark, sf_dir):
     )
 
 
-_VALUES = (
-    # value, geo_point, boolean, double, long, language
-    ("12.5, 99", True, False, False, False, False), ("91,0", False, False, False, False, False), ("TRUE", False, True, False, False, True),
-    ("1.0", False, True, True, True, False), ("-0", False, True, True, True, False), ("1e3", False, False, True, False, False),
-    ("9223372036854775808", False, False, True, False, False), ("12.00", False, False, True, True, False), ("en-GB", False, False, False, False, True),
-    ("", False, False, False, False, False), ("abc", False, False, False, False, True),
-)
-
-
-@query(
-    "typed_value_checks",
-    "SELECT * FROM (VALUES " + ", ".join("('" + v[0] + "', " + ", ".join(str(x).lower() for x in v[1:]) + ")" for v in _VALUES)
-    + ") t(value, geo_point, boolean_value, double_value, long_value, language)",
-)
-def typed_value_checks(spark, sf_dir):
-    rows = spark.createDataFrame([(v[0],) for v in _VALUES], "value string")
-    v = F.col("value")
-    return rows.select(
-        "value", T.is_geo_point(v).alias("geo_point"), T.is_boolean(v).alias("boolean_value"), T.is_double(v).alias("double_value"),
-        T.is_long(v).alias("long_value"), T.is_language_tag(v).alias("language"),
-    )
-
-
-@query(
-    "datatype_tokens",
-    """SELECT * FROM (VALUES ('http://www.w3.org/2001/XMLSchema#dateTime', 'datetime'), ('http://www.w3.org/2001/XMLSchema#long', 'long'), ('http://x.org/y', 'string')) v(uri, token)""",
-)
-def datatype_tokens(spark, sf_dir):
-    space = "http://www.w3.org/2001/XMLSchema#"
-    rows = spark.createDataFrame([(f"{space}dateTime",), (f"{space}long",), ("http://x.org/y",)], "uri string")
-    return rows.select("uri", T.datatype_token(F.col("uri")).alias("token"))
-
-
 @query(
     "storage_urls",
     """SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN 'bucket-' || p_size END AS bucket, CASE WHEN p_size % 4 <> 0 THEN 'data/' || p_partkey || '.json' END AS key FROM part""",
@@ -359,15 +277,6 @@ def chunk_ids(spark, sf_dir):
     )
 
 
-@query(
-    "uri_labels",
-    """SELECT * FROM (VALUES ('sg:FloodRisk', 'Flood Risk', 'sg:FloodRisk'), ('sg:Early Warning(System)', 'Early  Warning( System)', 'sg:EarlyWarningSystem'), ('Plain', 'Plain', 'sg:Plain'), ('sg:()', '()', 'sg:Unknown')) v(uri, label, clean)""",
-)
-def uri_labels(spark, sf_dir):
-    rows = spark.createDataFrame([("sg:FloodRisk",), ("sg:Early Warning(System)",), ("Plain",), ("sg:()",)], "uri string")
-    return rows.select("uri", T.camel_label(F.col("uri")).alias("label"), T.sanitise_uri(F.col("uri")).alias("clean"))
-
-
 @query(
     "interval_predicates",
     """SELECT o_orderkey, l_linenumber, CAST(epoch(l_shipdate - o_orderdate) AS BIGINT) AS seconds, l_shipdate > o_orderdate + INTERVAL 60 DAY AS late,

@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def load() -> None:
-    from quarry.plans import entities, files, graph, outputs, plugs, relational, search, spans, streams, texts  # noqa: F401
+    from quarry.plans import columns, entities, files, graph, outputs, plugs, relational, search, spans, streams, texts  # noqa: F401

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.session import scratch
+from quarry.session import scratch, ship_code
 
 CSV_FIELDS = {
     # fixed values: column heads as the files have them
@@ -153,6 +153,14 @@ def split_script(text: str) -> list[str]:
     return requests
 
 
+def script_requests(scripts: DataFrame, id_col: str, script_col: str) -> DataFrame:
+    """(id, n, request): the requests of each script, numbered from 0. A null script has none."""
+    ship_code(scripts.sparkSession)
+    split = F.udf(split_script, "array<string>", useArrow=True)
+    text = F.coalesce(F.col(script_col), F.lit(""))
+    return scripts.select(id_col, F.posexplode(split(text)).alias("n", "request"))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(label, uri) of the concepts of a Turtle vocabulary."""
     blocks = read_turtle_blocks(spark, path)
