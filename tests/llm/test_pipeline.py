@@ -111,3 +111,10 @@ def test_stages_bear_messy_and_empty_tables(spark, folder):
 def test_import_errors_are_not_hidden():
     source = open(P.__file__).read() + open(decontaminate.__file__).read()
     assert "except ImportError" not in source and "ModuleNotFoundError" not in source
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = documents(spark, corpus()).withColumn("a.b", F.lit(1)).withColumn("row", F.lit(2)).withColumn("x`y", F.lit(3))
+    for _, stage in P.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns and {(r["a.b"], r["row"], r["x`y"]) for r in found.collect()} <= {(1, 2, 3)}
