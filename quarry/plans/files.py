@@ -97,12 +97,13 @@ def mapping_lines(spark, sf_dir):
 
 @query("paged_rows", "SELECT n_nationkey AS id, n_name AS name FROM nation")
 def paged_rows(spark, sf_dir):
-    """Pages of seven rows with a token each, put together."""
-    held = [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(25).collect()]
+    """Pages of seven rows with a token each, put together: a page starts at the key
+    that its token names, and the driver holds one page at a time."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     def fetch(token):
-        at = int(token or 0)
-        return held[at : at + 7], str(at + 7) if at + 7 < len(held) else None
+        page = [tuple(r) for r in rows.where(F.col("n_nationkey") >= int(token or 0)).orderBy("n_nationkey").limit(7).collect()]
+        return page, str(page[-1][0] + 1) if len(page) == 7 else None
 
     return I.read_pages(spark, fetch, "id bigint, name string", together=2)
 
