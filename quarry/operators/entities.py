@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as C
 from quarry.functions import text as T
+from quarry.session import materialise
 
 
 def _title_boost(title: Column, country: Column) -> Column:
@@ -134,86 +135,136 @@ def name_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, _normalised(a.lower()), _normalised(b.lower())).ratio()
 
 
-def _grams(text: str) -> list[str]:
-    """Pairs of neighbouring characters, each with its how-manieth occurrence."""
+def _pieces(text: str, size: int) -> list[str]:
+    """All pieces of size neighbouring characters, each with its how-manieth occurrence."""
     seen: Counter[str] = Counter()
     out = []
-    for at in range(len(text) - 1):
-        gram = text[at : at + 2]
-        seen[gram] += 1
-        out.append(f"{gram}{seen[gram]}")
+    for at in range(len(text) - size + 1):
+        piece = text[at : at + size]
+        seen[piece] += 1
+        out.append(f"{size}{piece}{seen[piece]}")
     return out
 
 
-def similar_names(names: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
-    """(canonical, name): groups of similar names (column name), greedy in sorted
-    order, compared only when both lack a country or share it; all names with one
-    another, or those of a block if one is given. Null names are left out.
+def _prefixes(texts: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """texts (keys, norm) with size and, one row each, the rarest pieces by which a
+    text must meet every text of a ratio of threshold or more: piece, place, need.
 
-    Pairs are proposed so that none of the threshold t is missed. For a ratio of
-    at least t of two names of s characters together, at least t * s / 2 match,
-    in one block more than characters are left over at most, so at least
-    (1.5 * t - 1) * s - 1 character pairs are common; and the shorter name has
-    t * s / 2 characters. Names too short for a common pair meet by the empty one.
-    The greedy pass is sequential: names that have a partner go to one task.
+    For a ratio of t, texts of s characters together have t * s / 2 characters in
+    common, in one block more than characters are left over at most, so at least
+    need = (1.5 * t - 1) * s - 1 pairs of characters, and the shorter one has
+    t * s / 2 characters. Where that need may be zero, single characters serve
+    too. Of n pieces, need of which are common, one of the first n - need + 1
+    in an order that all texts share is common; rare pieces come first.
     """
-    rate = 1.5 * threshold - 1
+    rate, least = 1.5 * threshold - 1, threshold / (2 - threshold)
     short = 1 / rate if rate > 0 else float("inf")
 
-    @F.pandas_udf("string")
-    def normalised(bases: pd.Series) -> pd.Series:
-        return bases.map(lambda n: _normalised(n.lower()))
+    @F.pandas_udf("array<struct<piece:string,n:int,need:double>>")
+    def pieces(norms: pd.Series) -> pd.Series:
+        def of(norm: str) -> list[dict]:
+            both = len(norm) * (1 + least)  # with the shortest text that may match
+            sets = [(2, both * rate - 1)] if both * rate > 1 else []
+            sets += [(1, both * threshold / 2)] if both * least <= short else []  # a partner may have no pairs
+            return [{"piece": g, "n": len(norm) - size + 1, "need": need} for size, need in sets for g in _pieces(norm, size)]
+
+        return norms.map(of)
 
-    @F.pandas_udf("array<string>")
-    def grams(norms: pd.Series) -> pd.Series:
-        return norms.map(lambda n: _grams(n) + [""] * (len(n) <= short))
+    held = materialise(texts.withColumn("size", F.length("norm")).select("*", F.inline(pieces("norm"))))
+    counts = materialise(held.groupBy("piece").agg(F.count(F.lit(1)).alias("texts")))
+    order = Window.partitionBy(*keys, "norm", F.substring("piece", 1, 1)).orderBy("texts", "piece")
+    placed = held.join(counts, "piece").withColumn("place", F.row_number().over(order))
+    return materialise(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("need") - 1e-9) + 1).drop("texts", "need"))
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
-    rows = names.select("name").where("name is not null").distinct().select(
-        "name", T.base_name(F.col("name")).alias("base"), T.country_of(F.col("name")).alias("country"), (F.lit("") if block is None else block).alias("block")
-    ).withColumn("norm", normalised("base"))
-    classes = rows.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("n"))
-    held = classes.select("block", "norm", F.length("norm").alias("size"), F.explode(grams("norm")).alias("gram"))
-    other = held.select("block", "gram", F.col("norm").alias("norm_b"), F.col("size").alias("size_b"))
+def near_texts(texts: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, norm, other): ordered pairs of different texts (norm) that agree in keys,
+    of a matching-block ratio of threshold or more. No pair is missed.
+
+    A prefix join proposes pairs: a piece that most texts hold is not among the
+    rarest of a text, unless what most texts hold is over half of it (at 0.85).
+    The pieces that two texts can still share behind the one they meet by must suffice. Both sides are plain shuffles, so a frequent piece
+    can be split. The ratio is taken once for each pair and direction.
+    """
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            m = SequenceMatcher(None, x, y)
+            out.append(m.quick_ratio() >= threshold and m.ratio() >= threshold)
+        return pd.Series(out, dtype=bool)
+
+    mine = _prefixes(texts, keys, threshold)
+    other = mine.select(*keys, "piece", F.col("norm").alias("other"), F.col("size").alias("size_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
     total = F.col("size") + F.col("size_b")
+    need = F.when(F.substring("piece", 1, 1) == "2", total * (1.5 * threshold - 1) - 1).otherwise(total * threshold / 2)
     pairs = (
-        held.join(other, ["block", "gram"]).where(F.col("norm") != F.col("norm_b"))
+        mine.join(other, [*keys, "piece"]).where(F.col("norm") < F.col("other"))
         .where(F.least("size", "size_b") * 2 >= total * threshold - 1e-9)
-        .groupBy("block", "norm", "norm_b", "size", "size_b").agg(F.count(F.lit(1)).alias("common"))
-        .where(F.col("common") >= total * rate - 1 - 1e-9)
-        .select("block", "norm", "norm_b").where(ratio("norm", "norm_b") >= threshold)
+        .where(1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= need - 1e-9)
+        .select(*keys, "norm", "other").distinct()
     )
-    kin = pairs.select("block", "norm").union(pairs.select("block", F.col("norm_b"))).union(classes.where("n > 1").select("block", "norm"))
-    left = rows.join(kin.distinct().toDF("block", "norm"), ["block", "norm"], "left_semi").select("block", "norm", "name", "base", "country")
-
-    def group(frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(edges["norm"], edges["norm_b"]):
-            near.setdefault(a, []).append(b)
-        members: dict[str, dict[str, tuple]] = {}
-        for name, base, country, norm in sorted(zip(frame["name"], frame["base"], frame["country"], frame["norm"])):
-            members.setdefault(norm, {})[name] = (name, base, country)
-        out, gone = [], set()
-        for name, base, country, norm in sorted(zip(frame["name"], frame["base"], frame["country"], frame["norm"])):
-            if name in gone:
-                continue
-            kin = [(name, base)]
-            del members[norm][name]
-            for close in [norm, *near.get(norm, [])]:
-                for other in list(members[close].values()):
-                    if not (country and other[2] and country != other[2]):
-                        kin.append(other[:2])
-                        gone.add(other[0])
-                        del members[close][other[0]]
-            if len(kin) > 1:
-                canonical = min(kin, key=lambda k: (len(k[1]), k[0]))[0]
-                out += [(canonical, k[0]) for k in kin]
-        return pd.DataFrame(out, columns=["canonical", "name"])
-
-    return left.groupBy("block").cogroup(pairs.toDF("block", "norm", "norm_b").groupBy("block")).applyInPandas(group, "canonical string, name string")
+    both = F.explode(F.array(F.struct("norm", "other"), F.struct(F.col("other").alias("norm"), F.col("norm").alias("other"))))
+    return pairs.select(*keys, both.alias("pair")).select(*keys, "pair.*").where(near("norm", "other"))
+
+
+def first_fit(edges: DataFrame) -> DataFrame:
+    """(node, head) of the nodes that an earlier one takes: the groups of a greedy pass
+    in ascending order, in which every node not yet taken becomes a head and takes
+    all later nodes that an edge (a, b) with a < b leads to.
+
+    In rounds: whoever has no earlier neighbour left is a head, so its neighbours
+    are taken and leave with their edges. As many rounds as the longest chain in which
+    each node waits for the one before; all independent groups go on at once.
+    """
+    edges = materialise(edges.select("a", "b").where("a < b").distinct())
+    taken, left = [], edges
+    while not left.isEmpty():
+        heads = materialise(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        gone = materialise(left.join(heads, "a", "left_semi").select("b").distinct())
+        taken.append(gone)
+        left = materialise(left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+    if not taken:
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("head"))
+    gone = materialise(reduce(DataFrame.union, taken)).withColumnRenamed("b", "a")
+    return edges.join(gone, "a", "left_anti").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head"))
+
+
+def similar_names(names: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
+    """(canonical, name): groups of similar names (column name), greedy in sorted
+    order, compared only when both lack a country or share it; all names with one
+    another, or those of a block if one is given. Null names are left out.
+
+    Names of one normalised base and country have the same neighbours and are one
+    node, named by its smallest name; its other names share its fate. A country's
+    node meets its own country's and those without one, so nodes of one base
+    are joined by a line for each country and not by all pairs.
+    """
+
+    @F.pandas_udf("string")
+    def normalised(bases: pd.Series) -> pd.Series:
+        return bases.map(lambda n: _normalised(n.lower()))
+
+    rows = materialise(names.select("name").where("name is not null").distinct().select(
+        "name", T.base_name(F.col("name")).alias("base"), F.coalesce(T.country_of(F.col("name")), F.lit("")).alias("country"), (F.lit("") if block is None else block).alias("block")
+    ).withColumn("norm", normalised("base")))
+    nodes = materialise(rows.groupBy("block", "norm", "country").agg(F.min("name").alias("node")))
+    near = materialise(near_texts(nodes.select("block", "norm").distinct(), ["block"], threshold))
+    same = nodes.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "norm", F.col("norm").alias("other"))
+    mine = nodes.withColumnRenamed("node", "a").join(near.union(same), ["block", "norm"])
+    theirs = nodes.select("block", F.col("norm").alias("other"), F.col("country").alias("country_b"), F.col("node").alias("b"))
+    abroad = mine.where("country <> ''")
+    edges = [
+        mine.join(theirs.withColumnRenamed("country_b", "country"), ["block", "other", "country"]).select("a", "b"),
+        mine.where("country = ''").join(theirs.where("country_b <> ''"), ["block", "other"]).select("a", "b"),
+        abroad.join(theirs.where("country_b = ''"), ["block", "other"]).select("a", "b"),
+    ]
+    taken = materialise(first_fit(reduce(DataFrame.union, edges)))
+    placed = nodes.join(taken, "node", "left").select("block", "norm", "country", F.coalesce("head", "node").alias("head"))
+    members = materialise(rows.join(materialise(placed), ["block", "norm", "country"]).select("head", "name", "base"))
+    groups = members.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", F.struct(F.length("base"), "name")).alias("canonical")).where("n > 1")
+    return members.join(materialise(groups), "head").select("canonical", "name")
 
 
 def best_names(groups: DataFrame) -> DataFrame:
