@@ -35,6 +35,22 @@ def stream_upsert(spark, sf_dir):
     return state.read().select("user_id", "event_type", "event_id")
 
 
+@query("stream_documents", """WITH r AS (SELECT event_id, user_id, event_type, CAST(CAST(floor(value) AS BIGINT) % 7 AS VARCHAR) AS value FROM events),
+    t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY event_id DESC) = 1)
+    SELECT user_id, event_type AS field, string_agg(value, ',' ORDER BY value) AS held FROM t WHERE event_id % 3 <> 0 AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL""")
+def stream_documents(spark, sf_dir):
+    """Search documents of entities, kept up from bundles that add and remove values."""
+    documents = S.Documents(spark)
+
+    def each(batch, batch_id):
+        op = F.when(F.col("event_id") % 3 == 0, "REMOVE").otherwise("ADD")
+        value = (F.floor("value") % 7).cast("string")
+        documents.add(batch.select(F.floor(F.col("event_id") / 100).alias("commit_num"), F.col("event_id").alias("op_num"), F.col("user_id").alias("key"), op.alias("op"), F.col("event_type").alias("field"), value.alias("value")).where("value is not null and key is not null"), batch_id)
+
+    S.drain(S.table_stream(spark, sf_dir, "events"), each, scratch(spark))
+    return documents.read().select(F.col("key").alias("user_id"), F.explode("fields").alias("field", "held")).select("user_id", "field", F.array_join("held", ",").alias("held"))
+
+
 @query("stream_filtered", """SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL""")
 def stream_filtered(spark, sf_dir):
     """A stream-static semi join with a rule table, then record checks."""
