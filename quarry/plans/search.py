@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import constants as C
 from quarry.functions import text as T
 from quarry.functions.stem import stem, stemmed_tokens
-from quarry.operators import postings, vector_index
+from quarry.operators import fuzzy, postings, vector_index
 from quarry.operators import search as S
 from quarry.registry import query
 from quarry.session import materialise, scratch, table
@@ -365,11 +365,25 @@ def filtered_listing(spark, sf_dir):
 )
 def fuzzy_term_match(spark, sf_dir):
     """Terms of Latin letters; edits allowed by the term's length: none below three characters, one below six, else two."""
-    term = "ereden"
-    edits = 0 if len(term) < 3 else 1 if len(term) < 6 else 2
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 1))).alias("w"))
-    near = words.where(F.col("w").rlike("^[a-z]+$")).where(F.abs(F.length("w") - len(term)) <= edits).where(F.levenshtein("w", F.lit(term)) <= edits)
-    return near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("score"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), 1))).alias("term")).where(F.col("term").rlike("^[a-z]+$"))
+    near = fuzzy.near_terms(words, spark.createDataFrame([("ereden",)], "query string"))
+    return words.join(near.select("term"), "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("score"))
+
+
+@query(
+    "fuzzy_index_search",
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS term FROM documents),
+    q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part), k AS (SELECT query, CASE WHEN length(query) < 3 THEN 0 WHEN length(query) < 6 THEN 1 ELSE 2 END AS k FROM q),
+    n AS (SELECT query, term, levenshtein(query, term) AS d FROM (SELECT DISTINCT term FROM w) JOIN k ON abs(length(query) - length(term)) <= k AND levenshtein(query, term) <= k)
+    SELECT query, doc_id, count(DISTINCT term) AS terms, count(*) AS hits, min(d) AS nearest FROM w JOIN n USING (term) GROUP BY ALL""",
+)
+def fuzzy_index_search(spark, sf_dir):
+    """Every word of the parts' names against the terms of the documents' index."""
+    path = scratch(spark)
+    letters = lambda c: F.filter(T.tokens(c, 1), lambda w: w.rlike("^[a-z]+$"))
+    postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text")}, path, letters)
+    queries = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("query"))
+    return fuzzy.fuzzy_search(spark, path, queries)
 
 
 @query(
