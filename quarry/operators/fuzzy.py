@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import materialise
+
 #: The shortest words that may differ by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 3, 6
 
@@ -54,6 +56,19 @@ def near_terms(terms: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("query", "term")).where(F.col("distance") <= F.col("k")).select("query", "term", "distance")
 
 
+def fuzzy_words(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """fuzzy_search without an index: over words (doc_id, term), one row for each time a
+    document holds a term. Words that are near no query leave before the shuffle if
+    the near terms are few, and with the join otherwise."""
+    near = materialise(near_terms(words.select("term"), queries))
+    each = words.join(near, "term").groupBy("query", "doc_id", "term", "distance").agg(F.count(F.lit(1)).alias("tf"))
+    return _matches(each)
+
+
+def _matches(each: DataFrame) -> DataFrame:
+    return each.groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"), F.min("distance").alias("nearest"))
+
+
 def fuzzy_search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """(query, doc_id, terms, hits, nearest) from the postings index under path: documents
     with a term near a query; how many distinct terms, how often, and the least distance.
@@ -66,4 +81,4 @@ def fuzzy_search(spark: SparkSession, path: str, queries: DataFrame) -> DataFram
     near = near_terms(blocks.select("term"), queries)
     posting = blocks.join(near, "term").select("query", "term", "distance", F.inline("postings"))
     each = posting.groupBy("query", "doc_id", "term").agg(F.sum("tf").alias("tf"), F.min("distance").alias("distance"))
-    return each.groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"), F.min("distance").alias("nearest"))
+    return _matches(each)

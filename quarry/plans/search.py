@@ -371,19 +371,18 @@ def fuzzy_term_match(spark, sf_dir):
 
 
 @query(
-    "fuzzy_index_search",
+    "fuzzy_word_search",
     r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS term FROM documents),
     q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part), k AS (SELECT query, CASE WHEN length(query) < 3 THEN 0 WHEN length(query) < 6 THEN 1 ELSE 2 END AS k FROM q),
     n AS (SELECT query, term, levenshtein(query, term) AS d FROM (SELECT DISTINCT term FROM w) JOIN k ON abs(length(query) - length(term)) <= k AND levenshtein(query, term) <= k)
     SELECT query, doc_id, count(DISTINCT term) AS terms, count(*) AS hits, min(d) AS nearest FROM w JOIN n USING (term) GROUP BY ALL""",
 )
-def fuzzy_index_search(spark, sf_dir):
-    """Every word of the parts' names against the terms of the documents' index."""
-    path = scratch(spark)
-    letters = lambda c: F.filter(T.tokens(c, 1), lambda w: w.rlike("^[a-z]+$"))
-    postings.build(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text")}, path, letters)
+def fuzzy_word_search(spark, sf_dir):
+    """Every word of the parts' names against the words of every text."""
+    words = F.filter(T.tokens(F.col("text"), 1), lambda w: w.rlike("^[a-z]+$"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("term"))
     queries = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("query"))
-    return fuzzy.fuzzy_search(spark, path, queries)
+    return fuzzy.fuzzy_words(rows, queries)
 
 
 @query(
