@@ -52,41 +52,50 @@ def packed(parts: Column, most: int = 1000, glue: str = "\n\n") -> Column:
     )
 
 
-_BOUNDARY = re.compile(r"\s*[.!?]+\s+(?=[A-Z])")
+#: A run of final marks, white space, and a capital after it; or the control character
+#: that stands for such an end already. Blanks before the marks go when a piece is trimmed.
+_BOUNDARY = re.compile(r"(?<![.!?])[.!?]+[ \t\n\f\r]+(?=[A-Z])|\x01")
 
 
-def split_sentences(text: str | None) -> list[str]:
+def split_sentences(text: str | None, trim: str | None = None) -> list[str]:
     """Sentences without their final marks; after an abbreviation the next piece is
-    joined on again with a bare full stop."""
+    joined on again with a bare full stop. trim: the characters that are taken off
+    both ends of a piece, white space unless given."""
     out: list[str] = []
     before = ""
     for at, piece in enumerate(_BOUNDARY.split(text or "")):
-        piece = piece.strip()
+        piece = piece.strip(trim)
         if at and before.endswith(C.ABBREVIATIONS):
             out[-1] += "." + piece
         else:
             out.append(piece)
         before = piece
-    return [s for s in (s.strip() for s in out) if s]
+    return [s for s in (s.strip(trim) for s in out) if s]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(split_sentences)
+def sentences(text: str | Column, trim: str | None = None) -> Column:
+    """The array of split_sentences()."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_sentences(t, trim))
+
+    return split(text)
 
 
 _WORD_ENDS = frozenset(" \n\t.!?")
 
 
-def split_with_offsets(text: str | None, size: int = 4500) -> list[tuple[int, str]]:
-    """(start, chunk) of at most size characters, cut at word ends where there are any."""
+def split_with_offsets(text: str | None, size: int = 4500, trim: str | None = None) -> list[tuple[int, str]]:
+    """(start, chunk) of at most size characters, cut at word ends where there are any.
+    trim: the characters taken off both ends of a chunk, white space unless given."""
     text, at, out = text or "", 0, []
     while at < len(text):
         end = min(at + size, len(text))
         if end < len(text):
             cut = next((k for k in range(end, at, -1) if text[k] in _WORD_ENDS), end)
             end = cut
-        if chunk := text[at:end].strip():
+        if chunk := text[at:end].strip(trim):
             out.append((at, chunk))
         at = end
         while at < len(text) and text[at] in " \n\t":
@@ -94,9 +103,15 @@ def split_with_offsets(text: str | None, size: int = 4500) -> list[tuple[int, st
     return out
 
 
-@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("chunk", StringType())))
-def offset_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "chunk": c} for a, c in split_with_offsets(t)])
+def offset_chunks(text: str | Column, trim: str | None = None) -> Column:
+    """The array of split_with_offsets()."""
+    kind = ArrayType(StructType().add("start", IntegerType()).add("chunk", StringType()))
+
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "chunk": c} for a, c in split_with_offsets(t, trim=trim)])
+
+    return cut(text)
 
 
 def overlap_join(spans: DataFrame, chunks: DataFrame, key: str = "doc_id", bucket: int = 512) -> DataFrame:
