@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, packing, shingle_dedup, substring_dedup
+from quarry.llm import decontaminate, langid, packing, shingle_dedup, simhash, substring_dedup
 from quarry.llm._shared import anti_join, materialise, table
 
 
@@ -58,9 +58,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: texts whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more, and what is linked
-    through them.
+    """Keeps one document of each group of near-duplicates: texts whose SimHashes over
+    five-word shingles differ in two bits at most, and what is linked through them.
+    So few bits miss most pairs at a similarity of 0.8, so texts whose sets of these
+    shingles have a Jaccard similarity of 0.8 or more are linked too; a group may
+    hold links of both kinds.
 
     The document kept is that of the smallest doc_id, null ids last; texts of one
     id are told apart, and ties go to the smaller hash of the text. A row that
@@ -68,7 +70,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text is compared whole. Other columns pass through, whatever their names; an
     empty table gives an empty one.
     """
-    found = shingle_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
+    texts = docs.select(F.xxhash64("text").alias("copy"), "text")
+    hashed = simhash.near_duplicates(texts, shingle=5, max_distance=2, id_col="copy")
+    labels = hashed.select(F.col("doc_id").alias("copy"), F.col("component_id").alias("label")).distinct()
+    found = shingle_dedup.near_duplicates(docs, shingle=5, threshold=0.8, labels=labels)
     gone = materialise(found.where("not kept").select(F.col("doc_id").alias("id"), F.col("copy").alias("hash")).distinct())
     repeated = (
         found.where("kept").groupBy(F.col("doc_id").alias("id"), F.col("copy").alias("hash"))

@@ -187,7 +187,8 @@ def _large_groups(members: DataFrame, edges: DataFrame, shingle: int, threshold:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, copy, component_id, kept), one row per row of docs; copy is the
     text's xxhash64, and kept holds for the row of the smallest (doc_id, copy) of
@@ -199,6 +200,9 @@ def near_duplicates(
     that shares a band is compared exactly, and so are all others of its group;
     a pair at 0.8 shares no band with probability 1.2e-10, less above.
 
+    labels (copy, label), one row per text at least, adds links of another method:
+    texts of one label are linked too, and chains run over links of both kinds.
+
     Null or empty text: the empty set, one class. Null doc_id: the row takes its
     class's component, but names none (component_id is null if no row of the
     component has a doc_id). Repeated rows each give a row. An empty table gives
@@ -250,6 +254,16 @@ def near_duplicates(
             "doc_id", "copy", F.coalesce("linked", "class").alias("linked")
         )
     )
+    if labels is not None:
+        # a star over the components that share a label
+        met = materialise(joined.select("copy", "linked").distinct().join(labels, "copy").select("label", "linked").distinct())
+        hub = met.groupBy("label").agg(F.min("linked").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        both = connected_components(met.join(hub, "label").select("u", F.col("linked").alias("v"))).withColumnRenamed("node", "linked")
+        alone, joined = joined, materialise(
+            joined.join(both, "linked", "left").select("doc_id", "copy", F.coalesce("root", "linked").alias("linked"))
+        )
+        forget(alone)
+        forget(met)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
     least = materialise(joined.groupBy("linked").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first")))
     found = materialise(

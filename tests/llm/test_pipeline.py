@@ -58,6 +58,22 @@ def test_near_dedup_stage_tells_texts_of_one_id_apart(spark, folder):
     assert collect(P.near_dedup(spark, alone, folder), "doc_id", "text") == sorted([(7, b), (None, c)], key=repr)
 
 
+def test_near_dedup_stage_links_by_simhash_and_by_similarity(spark, folder):
+    a, b, tail = words(7, 1, 3000), words(60, 2, 3000), words(9, 3, 3000)
+    much = f"{a} " * 60
+    # 1, 2: close SimHashes, sets of shingles not alike; 5, 6: alike
+    rows = [(1, f"{much}{words(20, 4, 3000)}"), (2, f"{much}{tail} {words(8, 5, 3000)}"), (5, b), (6, f"{b} two more"), (7, words(30, 6, 3000))]
+    first, second = (slow_simhash(t, 5) for _, t in rows[:2])
+    assert (first ^ second).bit_count() <= 2
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    assert collect(P.near_dedup(spark, documents(spark, rows).select(*COLUMNS), folder), "doc_id") == [(1,), (5,), (7,)]
+    # 8 is near 2 by its set alone, so it goes with 1 through a link of each kind
+    chain = [*rows, (8, f"{a} {a} {tail} {words(8, 5, 3000)}")]
+    assert (slow_simhash(chain[-1][1], 5) ^ first).bit_count() > 2
+    assert collect(P.near_dedup(spark, documents(spark, chain).select(*COLUMNS), folder), "doc_id") == [(1,), (5,), (7,)]
+
+
 def test_language_stage_uses_its_prediction(spark, folder):
     rows = [(i, f"the house of the river and the {'green' if i % 2 else 'blue'} hill", "en") for i in range(30)]
     rows += [(40, "the house and the hill", None), (41, "ξψωφ θδλπ ςρτυ ξψωφ", None), (42, "ξψ", "en"), (43, None, "en"), (44, "12 34", None)]
