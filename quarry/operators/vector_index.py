@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.search import QUERY_BLOCK, against, cosine
+from quarry.operators.search import cosine, nearest
 
+#: Query vectors that are looked up at a time.
+QUERY_BLOCK = 4096
 #: Vectors that the cells and code books are fitted on, and rows of a cell aimed at.
 FIT_ROWS, CELL_ROWS = 20_000, 512
 #: Most cells: each is a folder, and the sample must give every one some vectors.
@@ -177,17 +179,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, visi
     if visits is None:
         width = _model(spark, path)[0]
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-        scored = against(stored(spark, path).where("cell >= 0"), queries.where((F.size("v") == width) & finite), "id", "vector")
-    else:
-        blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), None
-        for block in range(blocks):
-            some = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else queries
-            close = candidates(spark, path, some, (k + skip_self) * CANDIDATES, visits)
-            rows = stored(spark, path).select("id", "cell", "vector")
-            exact = close.join(rows, ["cell", "id"]).join(some.select("q", F.col("v").cast("array<double>").alias("v")), "q")
-            one = exact.select("q", F.col("id").alias("doc_id"), F.round(cosine(F.col("vector"), F.col("v")), 6).alias("score"))
-            parts = one if parts is None else parts.union(one)
-        scored = parts.distinct()
+        return nearest(stored(spark, path).where("cell >= 0"), queries.where((F.size("v") == width) & finite), k, "id", "vector", skip_self)
+    blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else queries
+        close = candidates(spark, path, some, (k + skip_self) * CANDIDATES, visits)
+        rows = stored(spark, path).select("id", "cell", "vector")
+        exact = close.join(rows, ["cell", "id"]).join(some.select("q", F.col("v").cast("array<double>").alias("v")), "q")
+        one = exact.select("q", F.col("id").alias("doc_id"), F.round(cosine(F.col("vector"), F.col("v")), 6).alias("score"))
+        parts = one if parts is None else parts.union(one)
+    scored = parts.distinct()
     if skip_self:
         scored = scored.where(F.col("q") != F.col("doc_id"))
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
