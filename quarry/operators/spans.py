@@ -235,15 +235,21 @@ def structured(blocks: list[tuple[str, str]], least: int = 150, most: int = 1200
     return out
 
 
-def structured_chunks(blocks: DataFrame, least: int = 150, most: int = 1200, overlap: int = 1) -> DataFrame:
-    """(doc_id, chunk_index, context, text, kinds) of blocks (doc_id, n, kind, text)."""
+def structured_column(kinds: Column, texts: Column, least: int = 150, most: int = 1200, overlap: int = 1) -> Column:
+    """structured() of two arrays, as an array of (context, text, kinds): a document's
+    blocks in one row, so nothing is shuffled and a batch of documents is one call."""
+    kind = StructType().add("context", StringType()).add("text", StringType()).add("kinds", ArrayType(StringType()))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("n")
-        found = structured(list(zip(frame["kind"], frame["text"])), least, most, overlap)
-        rows = [(frame["doc_id"].iloc[0], i, *chunk) for i, chunk in enumerate(found)]
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "context", "text", "kinds"])
+    @F.pandas_udf(ArrayType(kind))
+    def chunks(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        names = ("context", "text", "kinds")
+        return pd.Series([[dict(zip(names, c)) for c in structured(list(zip(k, t)), least, most, overlap)] for k, t in zip(kinds, texts)], dtype=object)
 
-    return blocks.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n", "kind", "text").groupBy("doc_id").applyInPandas(
-        fold, "doc_id bigint, chunk_index int, context string, text string, kinds array<string>"
-    )
+    return chunks(kinds, texts)
+
+
+def structured_chunks(blocks: DataFrame, least: int = 150, most: int = 1200, overlap: int = 1) -> DataFrame:
+    """(doc_id, chunk_index, context, text, kinds) of blocks (doc_id, n, kind, text)."""
+    held = blocks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n", "kind", "text"))).alias("b"))
+    found = structured_column(F.col("b.kind"), F.col("b.text"), least, most, overlap)
+    return held.select("doc_id", F.posexplode(found).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")

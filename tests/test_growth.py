@@ -24,3 +24,8 @@ def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
     monkeypatch.setattr(relational, "PAIR_ROWS", 10**9)
     one = registry.QUERIES["shared_value_pairs"](spark, SF)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_structured_chunks_shuffle_nothing(spark):
+    plan = plan_of(registry.QUERIES["structured_chunks"](spark, SF))
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan
