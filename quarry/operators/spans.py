@@ -146,11 +146,47 @@ def located(chunks: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def highlighted(text: Column, terms: list[str], fragments: int = 3, size: int = 150) -> Column:
-    """Up to three marked fragments around terms; an approximation of an engine's fragmenter."""
+    """Up to three marked fragments around terms; an approximation of an engine's fragmenter.
+
+    A fragment starts half the size before a term, or where the last one ended, and ends
+    half the size after the last term that begins within half the size of its start: what
+    the pattern .{0,half}term.{0,half} takes, but that tries every start of a text. Here
+    the text is cut at its terms once and its pieces are gone through in order.
+    """
     pattern = "|".join(map(re.escape, sorted(terms, key=len, reverse=True)))
     half = size // 2
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?is)(.{{0,{half}}}\b(?:{pattern})\b.{{0,{half}}})"), F.lit(1))
-    return F.transform(F.slice(pieces, 1, fragments), lambda p: F.regexp_replace(p, rf"(?i)\b({pattern})\b", "<mark>$1</mark>"))
+    found = F.regexp_extract_all(text, F.lit(rf"(?is)(?=\b({pattern})\b)"), F.lit(1))
+    pieces = F.split(text, rf"(?is)(?=\b(?:{pattern})\b)")
+    # the piece before the first term, unless the text begins with one
+    lead = F.when(F.size(found) == F.size(pieces), 0).otherwise(F.length(pieces[0]))
+    rest = F.when(F.size(found) == F.size(pieces), pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    whole = F.length(text)
+
+    def step(state: Column, item: Column) -> Column:
+        at, low, high, used, done = (state[c] for c in ("at", "low", "high", "used", "done"))
+        ends = at + F.length(item["term"])
+        inside = (low >= 0) & (at - low <= half)
+        closed = (low >= 0) & ~inside
+        after = F.when(closed, F.least(high + half, whole)).otherwise(used)
+        opens = ~inside & (at >= after)
+        return F.struct(
+            (at + F.length(item["piece"])).alias("at"),
+            F.when(inside, low).when(opens, F.greatest(after, at - half)).otherwise(-1).alias("low"),
+            F.when(inside | opens, ends).otherwise(high).alias("high"),
+            after.alias("used"),
+            F.when(closed, F.concat(done, F.array(F.struct(low.alias("low"), after.alias("high"))))).otherwise(done).alias("done"),
+        )
+
+    none = F.array().cast("array<struct<low:int,high:int>>")
+    start = F.struct(lead.alias("at"), F.lit(-1).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("used"), none.alias("done"))
+    last = lambda s: F.array(F.struct(s["low"].alias("low"), F.least(s["high"] + half, whole).alias("high")))
+    enough = lambda s, x: F.when(F.size(s["done"]) < fragments, step(s, x)).otherwise(s)
+    spots = F.aggregate(
+        F.arrays_zip(rest.alias("piece"), found.alias("term")), start, enough,
+        lambda s: F.when(s["low"] >= 0, F.concat(s["done"], last(s))).otherwise(s["done"]),
+    )
+    cut = lambda x: F.substring(text, x["low"] + 1, x["high"] - x["low"])
+    return F.transform(F.slice(spots, 1, fragments), lambda x: F.regexp_replace(cut(x), rf"(?i)\b({pattern})\b", "<mark>$1</mark>"))
 
 
 def reconstruct_offsets(text: str, chunk: str) -> tuple[int, int] | None:
