@@ -23,6 +23,8 @@ from quarry.session import materialise
 
 #: Documents of a slice, aimed at; folders of terms.
 SLICE_DOCS, BUCKETS = 64, 64
+#: Slices that a task builds.
+TASK_SLICES = 32
 
 
 def _bucket(term: Column) -> Column:
@@ -42,28 +44,29 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, Column], path: str, an
     an id like any other. A very long text has one posting for each of its terms.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(id_col).alias("doc_id"), *[analyser(value).alias(name) for name, value in fields.items()])
-    lengths = materialise(words.select("doc_id", *[F.size(name).alias(name) for name in fields]))
-    stats = lengths.agg(F.count(F.lit(1)).alias("total"), *[F.avg(name).alias(name) for name in fields]).first()
-    kind = words.schema["doc_id"].dataType.simpleString()
+    raw = docs.select(F.col(id_col).alias("doc_id"), *[value.alias(name) for name, value in fields.items()])
+    sizes = raw.select(*[F.size(analyser(F.col(name))).alias(name) for name in fields])
+    stats = sizes.agg(F.count(F.lit(1)).alias("total"), *[F.avg(name).alias(name) for name in fields]).first()
+    kind = raw.schema["doc_id"].dataType.simpleString()
     rows = [(name, int(stats["total"]), float(stats[name] or 0.0), kind) for name in fields]
     spark.createDataFrame(rows, "field string, total long, average double, kind string").write.parquet(f"{path}/fields")
     slices = max(1, -(-int(stats["total"]) // SLICE_DOCS))
-    each = [
-        words.select("doc_id", F.lit(name).alias("field"), F.size(name).alias("n"), F.lit(float(stats[name] or 0.0)).alias("average"), F.explode(name).alias("term"))
-        for name in fields
-    ]
-    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice")
-    counted = reduce(DataFrame.union, each).groupBy("term", "field", slice_of, "doc_id", "n", "average").agg(F.count(F.lit(1)).alias("tf"))
-    share = _share(F.col("tf"), F.col("n"), F.col("average"))
-    blocks = counted.groupBy("term", "field", "slice").agg(
-        F.max(share).alias("most"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n"))).alias("postings")
-    )
+    # the texts are dealt out by slice, once; a task then has all postings of its slices, and
+    # both counts below follow without a shuffle of words
+    tasks = max(spark.sparkContext.defaultParallelism, -(-slices // TASK_SLICES))
+    dealt = raw.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).repartition(tasks, "slice")
+    each = F.array(*[F.struct(F.lit(name).alias("field"), analyser(F.col(name)).alias("words")) for name in fields])
+    listed = dealt.select("slice", "doc_id", F.inline(each)).select("slice", "doc_id", "field", F.size("words").alias("n"), F.explode("words").alias("term"))
+    counted = listed.groupBy("slice", "term", "field", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf"))
+    gathered = counted.groupBy("slice", "term", "field").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n"))).alias("postings"))
     # sorted by term, so that a file's row groups are skipped by their smallest and largest
-    # term; a term of very many blocks lies in several files
-    order = ["bucket", "term", "field", "slice"]
-    ready = blocks.withColumn("bucket", _bucket(F.col("term")))
-    ready.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")
+    # term; a term of very many blocks lies in several files. What follows from the postings
+    # is not shuffled with them
+    ranged = gathered.repartitionByRange(_bucket(F.col("term")), "term", "field", "slice")
+    average = reduce(lambda c, r: F.when(F.col("field") == r[0], r[2]).otherwise(c), rows, F.lit(0.0))
+    most = F.array_max(F.transform("postings", lambda p: _share(p["tf"], p["n"], average)))
+    ready = ranged.select("term", "field", "slice", most.alias("most"), F.size("postings").cast("bigint").alias("df"), "postings", _bucket(F.col("term")).alias("bucket"))
+    ready.sortWithinPartitions("bucket", "term", "field", "slice").write.partitionBy("bucket").parquet(f"{path}/blocks")
 
 
 def blocks_of(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:

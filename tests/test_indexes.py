@@ -178,3 +178,22 @@ def test_few_slices_are_scored(spark, library, monkeypatch):
     bounds, _, best_ = seen
     least = best_.agg(F.min("score")).first()[0]
     assert bounds.where(F.col("bound") >= least).count() < every
+
+
+def test_build_shuffles_texts_and_blocks_alone(spark, tmp_path, monkeypatch):
+    """Words are counted where their slice is: no shuffle of words, one of finished blocks."""
+    rows = [(i % 400, " ".join(f"w{(i * k) % 97}" for k in range(1, 60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, sort = [], type(docs).sortWithinPartitions
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", lambda df, *order: plans.append(df._jdf.queryExecution().executedPlan().toString()) or sort(df, *order))
+    postings.build(docs, "doc_id", {"title": F.substring("text", 1, 20), "content": F.col("text")}, str(tmp_path / "index"))
+    (plan,) = plans
+    assert plan.count("Exchange hashpartitioning(slice") == plan.count("Exchange hashpartitioning") == plan.count("Exchange rangepartitioning") == 1
+    held = spark.read.parquet(str(tmp_path / "index" / "blocks"))
+    got = {(r.term, r.field, r.doc_id, r.n): r.tf for r in held.select("term", "field", F.inline("postings")).collect()}
+    want = Counter()
+    for i, text in rows:
+        for field, words in (("title", text[:20].split()), ("content", text.split())):
+            words = [w for w in words if len(w) >= 2]
+            want.update((w, field, i, len(words)) for w in words)
+    assert got == want and held.where("df != size(postings)").count() == 0
