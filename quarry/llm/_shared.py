@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.session import ship_code
 
 #: Bytes of one Arrow batch sent to a Python worker, where the session sets none.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of one Arrow batch: texts can be long.
 BATCH_ROWS = 1000
 

@@ -101,35 +101,46 @@ class Model:
         codes[symbols] = np.arange(len(symbols))
         self._codes = codes.tobytes()
         self._bits = np.array([math.log2(sum(map(len, t)) + 2) for t in texts])
-        tables, self._roots, base = [], [], 0
-        for some in texts:
+        made, self._roots, base = [], [], 0
+        for k in range(len(texts)):
             automaton = SuffixAutomaton()
-            for text in some:
+            for text in texts[k]:
                 automaton.add(text)
-            tables.append(self._table(automaton, base))
+            texts[k] = None
+            made.append(self._moves(automaton))
             self._roots.append(base << 1)
-            base += tables[-1].size
-        self._steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def _table(self, automaton: SuffixAutomaton, base: int) -> np.ndarray:
+            base += made[-1][0] * self._width
+        # one array that each language's rows are laid into, so it is never held twice
+        self._steps = np.empty(base, dtype=np.int32)
+        for root in self._roots:
+            self._lay(root >> 1, *made.pop(0))
+
+    def _moves(self, automaton: SuffixAutomaton) -> tuple:
+        """States, and of each transition the state, the symbol and the next state."""
+        code, rows = self._codes, automaton.next
+        sizes = np.array([len(r) for r in rows], dtype=np.int32)
+        at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        over = np.fromiter((code[c] for r in rows for c in r), dtype=np.uint8, count=at.size)
+        to = np.fromiter((q for r in rows for q in r.values()), dtype=np.int32, count=at.size)
+        return len(rows), at, over, to
+
+    def _lay(self, base: int, states: int, at: np.ndarray, over: np.ndarray, to: np.ndarray) -> None:
         """Row of each state: twice the place of the next state's row, plus one where a phrase starts."""
-        width, code, rows = self._width, self._codes, automaton.next
+        width = self._width
+        steps = (base + to * np.int32(width)) << 1
+        of_root = int(np.searchsorted(at, 1))
         first = np.full(width, base << 1 | 1, dtype=np.int32)
-        for c, to in rows[0].items():
-            first[code[c]] = (base + to * width) << 1 | 1
-        table = np.tile(first, (len(rows), 1))
-        at = np.repeat(np.arange(1, len(rows)), [len(r) for r in rows[1:]])
-        over = np.array([code[c] for r in rows[1:] for c in r], dtype=np.int64)
-        to = np.array([q for r in rows[1:] for q in r.values()], dtype=np.int64)
-        table[at, over] = (base + to * width) << 1
-        return table.ravel()
+        first[over[:of_root]] = steps[:of_root] | 1
+        table = self._steps[base : base + states * width].reshape(states, width)
+        table[:] = first
+        table[at[of_root:], over[of_root:]] = steps[of_root:]
 
     def phrases(self, texts: Sequence[bytes]) -> np.ndarray:
         """Phrases of each normalised text (rows) in each language (columns)."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        coded = [texts[i].translate(self._codes) for i in order]
-        sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        symbols = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        sizes = np.array([len(texts[i]) for i in order], dtype=np.int64)
+        coded = b"".join([texts[i] for i in order]).translate(self._codes)
+        symbols = np.frombuffer(coded, dtype=np.uint8)
         place = np.cumsum(sizes) - sizes
         state = np.repeat(np.array(self._roots, dtype=np.int32)[:, None], len(texts), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
@@ -143,8 +154,9 @@ class Model:
             count[:, :n] += found
             place[:n] += 1
         steps = memoryview(self._steps)
-        for k in range(min(_FEW, len(coded))):
-            rest = coded[k][end:]
+        ends = np.cumsum(sizes).tolist()
+        for k in range(min(_FEW, len(order))):
+            rest = coded[ends[k] - int(sizes[k]) + end : ends[k]]
             for lang in range(len(self.langs)) if rest else ():
                 x, n = int(state[lang, k]), 0
                 for c in rest:
@@ -183,7 +195,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return {}
     share = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(sizes)))
-    wanted = docs.sparkSession.createDataFrame([(r["l"], (4.0 * share + 8) / r["count"]) for r in sizes], "l string, most double")
+    # as an Arrow table: a list of rows would start Python workers of their own on every executor
+    most = {"l": pa.array([r["l"] for r in sizes], pa.string()), "most": pa.array([(4.0 * share + 8) / r["count"] for r in sizes], pa.float64())}
+    wanted = docs.sparkSession.createDataFrame(pa.table(most))
     nth = F.row_number().over(Window.partitionBy("l").orderBy("d", "i", F.xxhash64("t")))
     room = F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0))
     start = (F.abs(F.xxhash64("i", F.lit(1)) % F.lit(1 << 40)) / F.lit(float(1 << 40)) * room).cast("int") + 1

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 from helpers import CLASH, collect, documents
@@ -92,3 +93,25 @@ def test_messy_rows(spark):
 def test_nothing_to_learn(spark):
     docs = documents(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in L.identify(docs).collect()} == {"und"}
+
+
+def test_table_of_the_model_is_held_once():
+    texts = {f"l{k}": [prose(lang, 400, 200 + k)] for k in range(9) for lang in [list(SYLLABLES)[k % 3]]}
+    tracemalloc.start()
+    try:
+        model = L.Model(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.7 * model._steps.nbytes
+
+
+def test_fit_starts_no_python_workers_of_its_own(spark, monkeypatch):
+    docs = documents(spark, [(i, prose("en", 9, i)) for i in range(8)]).localCheckpoint()
+    want = L.fit(docs)
+
+    def refused(*_, **__):
+        raise AssertionError("a list of rows goes through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert L.fit(docs) == want
