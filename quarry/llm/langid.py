@@ -32,7 +32,7 @@ from quarry.llm._shared import only, prepare
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 160, 4000
 #: Bytes of text whose documents step together, and the number of documents
 #: still running from which on each is walked by itself.
-_TOGETHER, _FEW = 6 << 20, 10
+_TOGETHER, _FEW = 3 << 20, 10
 
 #: What separates the drawn documents; no parsed text holds it.
 _BREAK = b"\n"
@@ -173,6 +173,7 @@ class Model:
         found: list[tuple[str, float, float | None]] = [("und", 0.0, None)] * len(texts)
         asked = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         plain = [normalised(texts[i].decode("utf-8", "replace")) for i in asked]
+        del texts  # the parse needs room of a few times the texts
         for i, text, phrases in zip(asked, plain, self.phrases(plain)):
             cost = phrases * self._bits
             best = int(np.argmin(cost))
@@ -224,8 +225,7 @@ def predict(
     key = uuid.uuid4().hex
 
     def judged(model: Model, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for batch in held for t in batch.column(1).cast(pa.binary())]
-        found = iter(model.predict(texts))
+        found = iter(model.predict([t.as_py() for batch in held for t in batch.column(1).cast(pa.binary())]))
         for batch in held:
             some = [next(found) for _ in range(batch.num_rows)]
             columns = [pa.array([f[k] for f in some], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
